@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentlens.llm import lines, mixing, pieces, quality, simhash
+from contentlens.llm import fingerprints, language, lines, mixing, neighbours, pieces, quality, secrets, sharding, simhash
 from contentlens.llm.common import held_out, table
 
 
@@ -22,6 +22,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language.predict(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
     same = F.col("decoded").eqNullSafe(F.translate("text", pieces.MARK, " "))
@@ -33,13 +38,43 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def _of_kind(kind: str):
+    return lambda x: x["kind"] == kind
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("found")
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secrets.RULES if r.base]
+    base = F.filter(found, lambda x: x["kind"].isin(kinds))
+    text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    many = [F.size(F.filter(found, _of_kind(k))).cast("long").alias(f"n_{k}") for k in kinds]
+    return out.select("doc_id", *many, F.sha2(text(base), 256).alias("base_sha256"), text(found).alias("spans"))
+
+
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), 16)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op4_sentencepiece, op5_simhash_near_dedup, op10_source_mixing)
-}
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_quality_classifier, op3_language_id, op4_sentencepiece, op5_simhash_near_dedup,
+        op6_nearest_neighbours, op7_secret_scan, op8_order_minhash, op9_sharding, op10_source_mixing,
+    )
+}
 
 #: Exact distinct counts stand for the sketches: near the threshold the operator counts exactly too.
 ORACLES: dict[str, str] = {
