@@ -1 +1,149 @@
-"""Queries."""
+"""Ordered queries over events, embeddings and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from contentlens.operators import series as s
+from contentlens.operators.monitoring import nearest_rank
+from contentlens.plans.base import query, r6, table
+
+_MS = "e AS (SELECT event_id, user_id, event_type, value, ts, floor(epoch_us(ts) / 1000)::BIGINT AS ms FROM events)"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ms", s.millis(F.col("ts")))
+
+
+@query(f"WITH {_MS} SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) AS in_window, (count(*) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) > 1) AS limited FROM e")
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-13: requests of the last minute, rejected ones included."""
+    e = _events(spark, sf_dir)
+    n = s.sliding_count(e, "user_id", "ms")
+    return e.select("event_id", n.alias("in_window")).withColumn("limited", F.col("in_window") > 1)
+
+
+@query(f"""WITH {_MS}, g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w < 1800000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS session FROM g)
+SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, max(ms) - min(ms) AS span_ms, round(avg(value), 6) AS mean_value, count(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM k GROUP BY 1, 2""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-04: sessions by half an hour of silence, and their summary."""
+    k = s.sessions(_events(spark, sf_dir), "user_id", "ms", ["event_id"], 1_800_000)
+    return k.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), (F.max("ms") - F.min("ms")).alias("span_ms"), r6(F.avg("value")).alias("mean_value"), F.count_if(F.col("event_type") == "purchase").alias("purchases"))
+
+
+@query("""WITH o AS (SELECT *, value >= 100 AS flag, lead(event_id) OVER w AS nxt, lag(value >= 100) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum(CASE WHEN flag AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM o)
+SELECT user_id, CAST(run AS BIGINT) AS run, min(event_id) AS "start", coalesce(max_by(nxt, event_id), max(event_id)) AS "end", round(avg(value), 6) AS mean, round(max(value), 6) AS peak, CASE WHEN max(value) >= 200 THEN 'high' ELSE 'medium' END AS severity FROM r WHERE flag GROUP BY 1, 2""")
+def flagged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-05 F-18: runs of flagged rows; a run ends at the first row past it."""
+    r = s.flagged_runs(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 100)
+    return r.withColumn("severity", F.when(F.col("peak") >= 200, "high").otherwise("medium")).withColumn("mean", r6("mean")).withColumn("peak", r6("peak"))
+
+
+@query(f"""WITH {_MS}, d AS (SELECT user_id, value - lag(value) OVER w AS d1, ms, event_id FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)), d2 AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS d2 FROM d)
+SELECT user_id, round(stddev_pop(d1), 6) AS first_std, round(stddev_pop(d2), 6) AS second_std, count(d2) AS n FROM d2 GROUP BY 1""")
+def score_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-06: deviation of first and second differences."""
+    d = s.differences(_events(spark, sf_dir), "user_id", ["ms", "event_id"], "value")
+    return d.groupBy("user_id").agg(r6(F.stddev_pop("d1")).alias("first_std"), r6(F.stddev_pop("d2")).alias("second_std"), F.count("d2").alias("n"))
+
+
+@query(f"""WITH {_MS}, g AS (SELECT user_id, ms, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS gap FROM e), a AS (SELECT user_id, avg(gap) AS m, stddev_pop(gap) AS sd, count(*) AS n, max(ms) - min(ms) AS span FROM g GROUP BY 1)
+SELECT user_id, round(sd / nullif(m, 0), 9) AS gap_cv, round(greatest(0, 1 - sd / nullif(m, 0)), 6) AS regularity, CASE WHEN span < 5000 THEN 0.5 ELSE round(n / (span / 60000.0::DOUBLE), 9) END AS per_minute FROM a""")
+def interval_regularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-07: variation of intervals, and events a minute."""
+    w = W.partitionBy("user_id").orderBy("ms", "event_id")
+    g = _events(spark, sf_dir).select("user_id", "ms", (F.col("ms") - F.lag("ms").over(w)).alias("gap"))
+    a = g.groupBy("user_id").agg(F.avg("gap").alias("m"), F.stddev_pop("gap").alias("sd"), F.count(F.lit(1)).alias("n"), (F.max("ms") - F.min("ms")).alias("span"))
+    cv = F.try_divide("sd", "m")
+    return a.select("user_id", F.round(cv, 9).alias("gap_cv"), r6(F.greatest(F.lit(0), 1 - cv)).alias("regularity"), F.when(F.col("span") < 5000, 0.5).otherwise(F.round(F.try_divide(F.col("n"), F.col("span") / 60000), 9)).alias("per_minute"))
+
+
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+
+
+@query(f"""WITH p AS (SELECT label, vec_id, embedding AS v, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS u FROM embeddings),
+c AS (SELECT label, {_DOT.format('u', 'v')} / (sqrt({_DOT.format('u', 'u')}) * sqrt({_DOT.format('v', 'v')})) AS cosine FROM p WHERE u IS NOT NULL) SELECT label, round(avg(1 - cosine), 6) AS drift, round(stddev_pop(cosine), 6) AS spread, count(*) AS n FROM c GROUP BY 1""")
+def embedding_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-08: cosine from one vector to the next."""
+    v = table(spark, sf_dir, "embeddings")
+    p = v.select("label", "embedding", F.lag("embedding").over(W.partitionBy("label").orderBy("vec_id")).alias("before")).where("before is not null")
+    c = p.select("label", s.cosine(F.col("before"), F.col("embedding")).alias("cosine"))
+    return c.groupBy("label").agg(r6(F.avg(1 - F.col("cosine"))).alias("drift"), r6(F.stddev_pop("cosine")).alias("spread"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_MS} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS rolling FROM e""")
+def rolling_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-09: mean of the last four."""
+    return _events(spark, sf_dir).select("event_id", r6(s.rolling_mean("user_id", ["ms", "event_id"], "value")).alias("rolling"))
+
+
+@query(f"""WITH {_MS}, r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ms DESC, event_id DESC) - 1 AS back FROM e) SELECT user_id, round(sum(0.15 * pow(0.85, back) * value), 6) AS ewma FROM r GROUP BY 1""")
+def ewma_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-10: exponentially weighted mean in closed form."""
+    return s.ewma(_events(spark, sf_dir), "user_id", ["ms", "event_id"], "value").withColumn("ewma", r6("ewma"))
+
+
+@query()
+def debounced_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-11 W-12: alerts at least an hour apart; a fold that SQL does not express, held against a loop in the tests."""
+    hot = _events(spark, sf_dir).where("value >= 100").select("user_id", "ms")
+    return s.debounce(hot, "user_id", "ms", 3_600_000)
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars / 15.0::DOUBLE AS total FROM documents), c AS (SELECT doc_id, total, unnest(range(0, greatest(ceil((total - 30) / 28), 0)::BIGINT + 1)) AS i FROM d)
+SELECT doc_id, round(i * 28.0, 6) AS "start", round(least(i * 28.0 + 30, total), 6) AS "end" FROM c""")
+def overlapping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-02: thirty-second chunks with two seconds of overlap; reading time stands for a duration."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.inline(s.chunks(F.col("n_chars") / 15)))
+    return d.select("doc_id", r6(F.col("start").cast("double")).alias("start"), r6(F.col("end").cast("double")).alias("end"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, length(text) AS n, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, count(*) AS pairs, round(corr(before, n), 6) AS r, CASE WHEN corr(before, n) < 0.3 THEN 'mismatch' ELSE 'consistent' END AS verdict FROM p WHERE before IS NOT NULL GROUP BY 1 HAVING count(*) >= 3""")
+def series_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-17 P-19: correlation of two aligned series of a conversation."""
+    p = table(spark, sf_dir, "conversations").select("conv_id", F.length("text").alias("n"), F.lag(F.length("text")).over(W.partitionBy("conv_id").orderBy("turn")).alias("before")).where("before is not null")
+    g = p.groupBy("conv_id").agg(F.count(F.lit(1)).alias("pairs"), F.corr("before", "n").alias("c")).where("pairs >= 3")
+    return g.select("conv_id", "pairs", r6("c").alias("r"), F.when(F.col("c") < 0.3, "mismatch").otherwise("consistent").alias("verdict"))
+
+
+@query(f"""WITH {_MS}, f AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS a, count(DISTINCT event_type) AS kinds, stddev_pop(value) / avg(value) AS cv FROM e GROUP BY 1)
+SELECT user_id, ((cv < 0.5)::INT + (a = 0)::INT + (kinds < 4)::INT) AS signs, ((cv < 0.5)::INT + (a = 0)::INT + (kinds < 4)::INT >= 2) AS agent FROM f""")
+def agent_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-17: at least two signs of automation."""
+    f = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("a"), F.count_distinct("event_type").alias("kinds"), (F.stddev_pop("value") / F.avg("value")).alias("cv"))
+    signs = (F.col("cv") < 0.5).cast("int") + (F.col("a") == 0).cast("int") + (F.col("kinds") < 4).cast("int")
+    return f.select("user_id", signs.alias("signs"), (signs >= 2).alias("agent"))
+
+
+@query(f"""WITH {_MS}, r AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ms, event_id) AS i, value FROM e), g AS (SELECT event_type, count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, avg((value <= 100)::INT) AS on_time FROM r GROUP BY 1)
+SELECT event_type, n, round(m, 6) AS mean, round(sd, 6) AS std, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p99, 6) AS p99, round(100 * on_time, 6) AS pct_on_time, (p95 <= 150) AS target_met FROM g""")
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-25 D-11 D-12: linear percentiles and the share on time."""
+    g = table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("std"), r6(F.percentile("value", 0.5)).alias("p50"), r6(F.percentile("value", 0.95)).alias("p95"),
+        r6(F.percentile("value", 0.99)).alias("p99"), r6(100 * F.avg((F.col("value") <= 100).cast("double"))).alias("pct_on_time"),
+    )
+    return g.withColumn("target_met", F.col("p95") <= 150)
+
+
+@query(f"""WITH {_MS}, g AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS tick, user_id % 4 AS worker, sum(value) AS rss, max(value) AS cpu FROM e GROUP BY 1, 2) SELECT tick, round(sum(rss), 6) AS rss_total, round(max(rss), 6) AS rss_max, round(avg(cpu), 6) AS cpu_mean, count(*) AS workers FROM g GROUP BY 1""")
+def fleet_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-33: by worker and tick, then over workers."""
+    g = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), (F.col("user_id") % 4).alias("worker")).agg(F.sum("value").alias("rss"), F.max("value").alias("cpu"))
+    return g.groupBy(F.col("w.start").alias("tick")).agg(r6(F.sum("rss")).alias("rss_total"), r6(F.max("rss")).alias("rss_max"), r6(F.avg("cpu")).alias("cpu_mean"), F.count(F.lit(1)).alias("workers"))
+
+
+@query(f"""WITH {_MS}, r AS (SELECT CAST(ts AS DATE) AS day, value, event_type, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY CAST(ts AS DATE)) AS n FROM e),
+g AS (SELECT day, max(n) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, max(value) FILTER (WHERE i = round_even(0.95 * (n - 1), 0)) AS p95 FROM r GROUP BY day)
+SELECT day, n, errors, round(errors / n, 6) AS error_rate, round(p95, 6) AS p95, CASE WHEN n / 334.0 >= 0.95 AND p95 <= 150 AND errors < 30 THEN 'STABLE' WHEN n / 334.0 >= 0.75 THEN 'DEGRADED' ELSE 'SATURATED' END AS status, CAST(floor(n / 50.0 + 0.9999) AS BIGINT) AS pods FROM g""")
+def load_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-26 P-28 P-29 D-10: load by day, its state and the pods it takes."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    g = e.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")).join(nearest_rank(e, ["day"], "value", {"p95": 0.95}), "day")
+    ratio = F.col("n") / 334
+    status = F.when((ratio >= 0.95) & (F.col("p95") <= 150) & (F.col("errors") < 30), "STABLE").when(ratio >= 0.75, "DEGRADED").otherwise("SATURATED")
+    return g.select("day", "n", "errors", r6(F.col("errors") / F.col("n")).alias("error_rate"), r6("p95").alias("p95"), status.alias("status"), F.floor(F.col("n") / 50 + 0.9999).alias("pods"))
