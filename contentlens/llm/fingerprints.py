@@ -1,6 +1,6 @@
 """Order MinHash document fingerprints (DataFrame functions only).
 
-The k-mers of a text are its runs of three words, numbered by occurrence, so
+The k-mers of a text are its runs of two words, numbered by occurrence, so
 repeats count.  Each numbered k-mer has one hash; its top bits choose one of
 ``BINS`` bins (one-permutation hashing stands for as many hash functions).  In
 each bin the ``PICK`` least are selected, put back in text order and hashed as a
@@ -13,7 +13,7 @@ exploded or shuffled, and memory is bounded by the longest text.
 
 Defined cases: a null text counts as empty; a text without words has an empty
 fingerprint, which is 1.0 like another empty one and 0.0 like any other; a text
-of fewer than three words is one k-mer; repeated rows (same id and text) count
+of one word is one k-mer; repeated rows (same id and text) count
 once in the order of documents and each get the same result; null ids sort
 after all others; a lone document is its own neighbour.
 """
@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import materialise, shuffle_partitions
-
 BIN_BITS, PICK = 6, 2
+#: Documents in a bucket of neighbouring ids, and the most buckets.
+BUCKET, MOST_BUCKETS = 2000, 4096
 #: Low bits that hold a k-mer's place; the others order it.
 _PLACE = (1 << 26) - 1
 _SHIFT = 64 - BIN_BITS
@@ -47,8 +47,8 @@ def signature(df: DataFrame, text: str, out: str) -> DataFrame:
     ws = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "")
     df = df.withColumn(w, F.transform(F.coalesce(ws, no_words), lambda x: F.xxhash64(x)))
     # get() past the end gives null, which the hash leaves out: one k-mer for a short text
-    kmers = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    df = df.withColumn(h, F.slice(kmers, 1, F.when(F.size(w) > 2, F.size(w) - 2).otherwise(F.least(F.size(w), F.lit(1)))))
+    kmers = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1)))
+    df = df.withColumn(h, F.slice(kmers, 1, F.greatest(F.size(w) - 1, F.least(F.size(w), F.lit(1)))))
     places = F.transform(h, lambda x, i: _packed(x, i.cast("long")))
     df = df.withColumn(s, F.sort_array(places))
     # equal k-mers are neighbours now: where runs of them start (null if there is none to number)
@@ -88,63 +88,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used)
 
 
-def neighbours(keyed: DataFrame) -> DataFrame:
-    """Each distinct document (doc_id, t, n) with the next one's key and the previous one's key and need, by descending id, in a ring.
+def bounds(documents: DataFrame) -> tuple[list[int], int | None]:
+    """Ids that cut the documents, in descending order, into buckets; and the largest id.  At most MOST_BUCKETS of them, from ids alone."""
+    n = documents.count()
+    many = max(1, min(MOST_BUCKETS, n // BUCKET))
+    cuts = F.percentile_approx("doc_id", F.array(*[F.lit(i / many) for i in range(1, many)] or [F.lit(0.5)]), F.lit(20_000))
+    top, got = documents.agg(F.max("doc_id"), cuts).first()
+    return sorted({c for c in (got or []) if c < top} if many > 1 else (), reverse=True), top
+
+
+def with_next(documents: DataFrame) -> DataFrame:
+    """Adds next: the following document by descending id, in a ring, as a struct of ``documents``'s columns.
 
-    Documents are dealt by ranges of ids; only the first and last of each
-    range look past it, through a table with a row for each range.
+    Input: doc_id, t (a hash of the text) and any more.  One shuffle: rows go to
+    the bucket of their id, and a bucket's first rows also visit the bucket
+    before it, where they follow its last.  Equal rows count once.
     """
-    parts = shuffle_partitions(keyed.sparkSession)
-    order = [F.desc_nulls_last("doc_id"), F.asc("t")]
-    ranged = materialise(keyed.distinct().repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
-    w = W.partitionBy("part").orderBy(*order)
-    me = F.struct("doc_id", "t", "n")
-    rows = ranged.select("part", "doc_id", "t", "n", F.lead(me).over(w).alias("next"), F.lag(me).over(w).alias("last"))
-    ends = ranged.groupBy("part").agg(
-        F.min_by(me, F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(20)"), F.col("t"))).alias("head"),
-        F.max_by(me, F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(20)"), F.col("t"))).alias("tail"),
-    )
-    ring = W.orderBy("part")  # at most one row a range
-    all_ = ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ends = ends.select(
-        "part",
-        F.coalesce(F.lead("head").over(ring), F.first("head").over(all_)).alias("head"),
-        F.coalesce(F.lag("tail").over(ring), F.last("tail").over(all_)).alias("tail"),
-    )
-    # broadcast: a row for each of the ranges
-    joined = rows.join(F.broadcast(ends), "part")
-    return joined.select("doc_id", "t", "n", F.coalesce("next", "head").alias("next"), F.coalesce("last", "tail").alias("last"))
+    cuts, top = bounds(documents)
+    more = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    home = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(more, lambda c: F.col("doc_id") <= c)))
+    first = F.coalesce(F.col("doc_id").eqNullSafe(F.lit(top)) | F.array_contains(more, F.col("doc_id")), F.lit(False))
+    before = F.when(F.col("doc_id").eqNullSafe(F.lit(top)), len(cuts)).otherwise(home - 1)
+    own = F.struct(home.alias("bucket"), F.lit(False).alias("guest"))
+    visits = F.when(first, F.array(own, F.struct(before.alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(own))
+    me = F.struct(*documents.columns)
+    rows = documents.withColumn("at", F.explode(visits)).select(*documents.columns, "at.bucket", "at.guest")
+    place = F.dense_rank().over(W.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), "t"))
+    rows = rows.withColumn("place", place)
+    following = F.first(me).over(W.partitionBy("bucket").orderBy("place").rangeBetween(1, 1))
+    return rows.withColumn("next", following).where(~F.col("guest")).drop("bucket", "guest", "place")
 
 
 def fingerprint_edits(documents: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the next document's are."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    docs = docs.withColumn("n", F.length("text").cast("long"))
-    near = materialise(neighbours(docs.select("doc_id", "t", "n")))
-    own = materialise(signature(docs, "text", "sig").select("doc_id", "t", "sig"))
-
-    def key(a: str, b: str) -> Column:
-        return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.t") == F.col(f"{b}.t"))
-
-    # what the document before takes of a text: its head only is sent
-    heads = (
-        docs.alias("d").join(near.alias("k"), key("d", "k"))
-        .select("k.last.doc_id", "k.last.t", F.expr("substring(d.text, 1, cast(k.last.n div 2 as int))").alias("head"))
-        .dropDuplicates(["doc_id", "t"])
-    )
-    once = own.dropDuplicates(["doc_id", "t"])
-    facts = (
-        near.alias("k").join(once.alias("o"), key("k", "o")).select("k.*", "o.sig").alias("k")
-        .join(once.alias("x"), F.col("k.next.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("k.next.t") == F.col("x.t")))
-        .select("k.doc_id", "k.t", "k.sig", likeness(F.col("k.sig"), F.col("x.sig")).alias("near_next"))
-    )
-    edited = (
-        docs.alias("d").join(heads.alias("h"), key("d", "h"))
-        .select("d.doc_id", "d.t", "d.n", F.expr("concat(substring(d.text, 1, cast(d.n - d.n div 2 as int)), h.head)").alias("edited"))
-    )
-    edited = signature(edited, "edited", "edited_sig").withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
-    out = edited.alias("e").join(facts.alias("f"), key("e", "f"))
-    return out.select(
-        "e.doc_id", F.col("e.n").alias("n_chars"), "e.edited_sha256", as_text(F.col("f.sig")).alias("fingerprint"), as_text(F.col("e.edited_sig")).alias("edited_fingerprint"),
-        likeness(F.col("f.sig"), F.col("e.edited_sig")).alias("near_edited"), "f.near_next",
+    rows = with_next(signature(docs, "text", "sig"))
+    n = F.length("text")
+    edited = F.expr("concat(substring(text, 1, cast(length(text) - length(text) div 2 as int)), substring(next.text, 1, cast(length(text) div 2 as int)))")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "sig", F.col("next.sig").alias("next_sig"), edited.alias("edited"))
+    rows = signature(rows, "edited", "edited_sig")
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sig")).alias("fingerprint"), as_text(F.col("edited_sig")).alias("edited_fingerprint"),
+        likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"),
     )
