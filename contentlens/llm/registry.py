@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentlens.llm import fingerprints, language, lines, mixing, neighbours, pieces, quality, secrets, sharding, simhash
+from contentlens.llm import fingerprints, language, lines, mixing, neighbours, pieces, quality, secret_scan, sharding, simhash
 from contentlens.llm.common import held_out, table
 
 
@@ -48,8 +48,8 @@ def _of_kind(kind: str):
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.col("found")
-    out = secrets.scan(table(spark, sf_dir, "documents"))
-    kinds = [r.kind for r in secrets.RULES if r.base]
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secret_scan.RULES if r.base]
     base = F.filter(found, lambda x: x["kind"].isin(kinds))
     text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     many = [F.size(F.filter(found, _of_kind(k))).cast("long").alias(f"n_{k}") for k in kinds]
