@@ -147,7 +147,9 @@ def mix(documents: DataFrame, seed: int = 11, block: int = BLOCK, shards: int =
     # broadcast: one row a source
     named = sized.join(F.broadcast(by), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     packed = materialise(pack(named, seed))
-    return packed, pieces(packed, block).join(plan(spark, target, seed, block, shards), ["source_no", "block_no"])
+    # the plan's size is not known to the optimiser, which would broadcast it
+    slots = plan(spark, target, seed, block, shards).hint("merge")
+    return packed, pieces(packed, block).hint("merge").join(slots, ["source_no", "block_no"])
 
 
 def taken(documents: DataFrame, **options) -> DataFrame:
