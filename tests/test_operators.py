@@ -37,6 +37,14 @@ def test_nearest_rank_half_even(spark):
     assert r.p50 == 30  # index 1.5 rounds to 2
 
 
+def test_nearest_rank_of_many_rows(spark):
+    df = spark.range(40_000).select((F.col("id") % 2).alias("k"), F.pmod(F.xxhash64("id"), F.lit(9001)).alias("v"))
+    got = {r.k: (r.a, r.b) for r in monitoring.nearest_rank(df, ["k"], "v", {"a": 0.5, "b": 0.95}).collect()}
+    for k in (0, 1):
+        vs = sorted(r.v for r in df.where(F.col("k") == k).collect())
+        assert got[k] == (vs[round(0.5 * (len(vs) - 1))], vs[round(0.95 * (len(vs) - 1))])
+
+
 def test_auroc_ties_and_single_class(spark):
     rows = [("a", 0.9, 1), ("a", 0.5, 0), ("a", 0.5, 1), ("a", 0.1, 0), ("b", 0.3, 1)]
     got = {r.k: r.auroc for r in evaluation.auroc(spark.createDataFrame(rows, "k string, s double, y int"), ["k"], "s", "y").collect()}
