@@ -176,7 +176,7 @@ def logistic_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SCORED}, v AS (SELECT doc_id, [l1, l2, CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE l3 END, 0.5] AS s, [1.0, 1.0, CASE WHEN doc_id % 3 = 0 THEN 0.0 ELSE 1.0 END, 0.0] AS ok FROM scored),
 k AS (SELECT *, list_filter(s, lambda x, i: ok[i] > 0.5) AS good FROM v), m AS (SELECT *, list_sum(good) / len(good) AS mean FROM k)
-SELECT doc_id, round(s[1], 6) AS f1, round(s[2], 6) AS f2, round(s[3], 6) AS f3, round(s[4], 6) AS f4, round(list_sum(ok), 6) AS n_ok, round(sqrt(list_sum(list_transform(good, lambda x: (x - mean) * (x - mean))) / len(good)), 6) AS spread FROM m""")
+SELECT doc_id, round(s[1], 6) AS f1, round(s[2], 6) AS f2, round(s[3], 6) AS f3, round(s[4], 6) AS f4, round(list_sum(ok)::DOUBLE, 6) AS n_ok, round(sqrt(list_sum(list_transform(good, lambda x: (x - mean) * (x - mean))) / len(good)), 6) AS spread FROM m""")
 def layer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-08 P-09: layer scores with defaults, which ran, and their spread over those that ran."""
     third = F.col("doc_id") % 3 == 0

@@ -197,7 +197,7 @@ def latest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LATENCY = [10.0, 25.0, 50.0, 100.0, 250.0]
-_CUM = "e AS (SELECT event_type, value FROM events), c AS (" + " UNION ALL ".join(f"SELECT event_type, {x} AS le, count(*) FILTER (WHERE value <= {x}) AS n FROM e GROUP BY 1" for x in LATENCY) + " UNION ALL SELECT event_type, NULL, count(*) FROM e GROUP BY 1)"
+_CUM = "e AS (SELECT event_type, value FROM events), c AS (" + " UNION ALL ".join(f"SELECT event_type, {x}::DOUBLE AS le, count(*) FILTER (WHERE value <= {x}) AS n FROM e GROUP BY 1" for x in LATENCY) + " UNION ALL SELECT event_type, NULL, count(*) FROM e GROUP BY 1)"
 
 
 @query(f"WITH {_CUM} SELECT event_type, le, n FROM c")

@@ -95,7 +95,7 @@ def debounced_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT doc_id, n_chars / 15.0::DOUBLE AS total FROM documents), c AS (SELECT doc_id, total, unnest(range(0, greatest(ceil((total - 30) / 28), 0)::BIGINT + 1)) AS i FROM d)
-SELECT doc_id, round(i * 28.0, 6) AS "start", round(least(i * 28.0 + 30, total), 6) AS "end" FROM c""")
+SELECT doc_id, round(i * 28.0::DOUBLE, 6) AS "start", round(least(i * 28.0::DOUBLE + 30, total), 6) AS "end" FROM c""")
 def overlapping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-02: thirty-second chunks with two seconds of overlap; reading time stands for a duration."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.inline(s.chunks(F.col("n_chars") / 15)))

@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from contentlens.functions import calibration, texts, udfs
+from contentlens.functions import calibration, provenance, texts, udfs
 from contentlens.functions.decisions import POLICIES, label_zone, normal_upper_tail, psi_class, trust_state
 
 
@@ -128,3 +128,20 @@ def test_calibration(spark):
     assert all(0.01 <= r.calibrated <= 0.99 for r in out) and out[0].calibrated < 0.2 < 0.8 < out[-1].calibrated
     meta = calibration.fit_meta(train.withColumn("other", F.lit(0.3)), ["score", "other"])
     assert meta(spark.createDataFrame([(0.9, None)], "score double, other double")).first().meta > 0.5
+
+
+def test_passports(spark):
+    df = provenance.issue(spark.createDataFrame([(1, "text one"), (2, "text two")], "id long, text string"), F.col("text"), "me", "key", kind=F.lit("text"))
+    check = lambda d, key="key": {r.id: r.verdict for r in provenance.verify(d, F.col("text"), key).collect()}
+    assert check(df) == {1: "valid", 2: "valid"}
+    assert check(df.withColumn("text", F.lit("text one"))) == {1: "valid", 2: "changed"}
+    assert set(check(df, "other").values()) == {"forged"}
+    assert set(check(df.withColumn("passport", F.when(F.col("id") > 9, F.col("passport")))).values()) == {"missing"}
+    marks = one(spark, [(bytearray(b"xx c2pa jumb"),)], "d binary", m=provenance.byte_marks(F.col("d")))[0].m
+    assert marks == ["c2pa", "jumb"]
+
+
+def test_faces(spark):
+    flat, odd = [5.0] * 64, [float((i * 31) % 97) for i in range(64)]
+    r = spark.createDataFrame([(flat, 8), (odd, 8), (None, 8)], "p array<double>, w int").select(udfs.face_artifacts(F.col("p"), F.col("w")).alias("f")).collect()
+    assert r[0].f.sharpness == 0 and r[0].f.texture == 0 and r[1].f.sharpness > 0 and r[1].f.texture > 1
