@@ -7,11 +7,11 @@ two neighbouring pieces are stable, which means that the merge rules, run on
 just these two, leave them as they are.  BPE gives every prefix exactly one
 admitted path, so each boundary keeps one surviving backpointer.
 
-Streaming: backpointers live in a window of at most twice the longest piece.
-No piece starts before ``at - longest``, so whenever the surviving paths of the
-last ``longest`` boundaries go through one common boundary, the ids up to it are
-committed and the window moves on.  No piece crosses from a letter to the word
-mark that stands for a space, so paths converge at every word; words that were
+Streaming: no piece starts before ``at - longest``, so the paths that survive at
+a boundary are those of the last ``longest`` boundaries; whenever they go
+through one common boundary, the ids up to it are committed and the window
+moves on.  Two neighbouring characters that no piece holds side by side are such
+a boundary at once, as are most ends of words; stretches between them that were
 seen before take their ids from a bounded memo.
 
 Characters outside the vocabulary become byte pieces.  A space is U+2581; one
@@ -28,17 +28,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose ids a worker remembers, and pairs of pieces whose stability it remembers.
-MEMO = 600_000
+#: Entries of each of a worker's memos: words, stretches; and pairs of pieces known to be stable or not.
+MEMO, PAIRS = 200_000, 500_000
 #: Above all piece numbers and code points.
 _WIDE = 1 << 21
-_UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_UNIT = re.compile(r" *[^ \n]+| +|\n+")
 
 
 class Pieces:
@@ -55,14 +57,15 @@ class Pieces:
         self.id = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (1, 4)}
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.longest = max(map(len, self.id))
-        self.crosses = any(MARK in p.lstrip(MARK) for p in self.id)
         self.rank = {p: -self.score[i] for p, i in self.id.items()}
+        #: Characters that some piece holds side by side.
+        self.pairs = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.stable: dict[int, bool] = {}
-        #: How far back a piece can start, by the three characters that it ends in (2, if by none).
-        self.reach: dict[str, int] = {}
-        for p in self.id:
-            self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 2))
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.words, self.stretches = Memo(), Memo()
+        self.find = ahocorasick.Automaton()
+        for p, i in self.id.items():
+            self.find.add_word(p, (i, len(p)))
+        self.find.make_automaton()
 
     def stays(self, a: str, b: str) -> bool:
         """Whether the merge rules (best score first, then leftmost), run on the characters of a + b, end in a, b."""
@@ -80,43 +83,43 @@ class Pieces:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
     def walk(self, text: str) -> Iterator[tuple[str, ...]]:
-        """The pieces of a text in runs, each committed as soon as the surviving paths share a boundary."""
-        # number of a piece: its id; of a character outside the vocabulary: below 0
-        number, stable, reach, longest, size = self.id.get, self.stable, self.reach.get, self.longest, len(text)
-        done, come, last = 0, [0] * (size + 1), [0] * (size + 1)  # at each boundary: start and number of the piece that ends there
-        for at in range(1, size + 1):
-            first = at - reach(text[at - 3 : at], 2) if at > 2 else 0
-            for start in range(first if first > done else done, at):
-                n = number(text[start:at])
-                if n is None:
-                    if at - start > 1:
-                        continue
-                    n = -ord(text[start])
-                # a pair as one number; the first piece of a text has no left neighbour
-                pair = last[start] * (2 * _WIDE) + n if start else n - (1 << 60)
-                ok = stable.get(pair)
-                if ok is None:
-                    if len(stable) >= MEMO:
-                        stable.clear()
-                    left, piece = text[come[start] : start], text[start:at]
-                    ok = stable[pair] = self.stays(left, piece) if start else self.stays(piece, "")
-                if ok:
-                    come[at], last[at] = start, n
-                    break
-            if at - done >= 2 * longest and at < size and (meet := self._meet(come, done, at)) > done:
-                yield self._path(text, come, done, meet)
-                done = meet
+        """The pieces of a text of known characters in runs, each committed as soon as the surviving paths share a boundary.
+
+        Backpointers are kept for the window only: from the last commit to the character read.
+        """
+        stable, longest, size = self.stable, self.longest, len(text)
+        done, come, last = 0, {0: 0}, {0: 0}  # at each boundary: start and number of the piece that ends there
+        for end, (n, long) in self.find.iter(text):
+            at = end + 1
+            start = at - long
+            if at in come or start < done:
+                continue  # this boundary has its path; or the piece starts before what is committed
+            # a pair as one number; the first piece has no left neighbour
+            pair = last[start] * _WIDE + n if start else -1 - n
+            ok = stable.get(pair)
+            if ok is None:
+                if len(stable) >= PAIRS:
+                    stable.clear()
+                piece = text[start:at]
+                ok = stable[pair] = self.stays(self.text[last[start]], piece) if start else self.stays(piece, "")
+            if ok:
+                come[at], last[at] = start, n
+                if at - done >= 2 * longest and at < size and (meet := self._meet(come, done, at)) > done:
+                    yield self._path(text, come, done, meet)
+                    for b in range(done, meet):
+                        del come[b], last[b]
+                    done = meet
         yield self._path(text, come, done, size)
 
     @staticmethod
-    def _path(text: str, come: list[int], done: int, end: int) -> tuple[str, ...]:
+    def _path(text: str, come: dict[int, int], done: int, end: int) -> tuple[str, ...]:
         out = []
         while end > done:
             out.append(text[come[end] : end])
             end = come[end]
         return tuple(out[::-1])
 
-    def _meet(self, come: list[int], done: int, at: int) -> int:
+    def _meet(self, come: dict[int, int], done: int, at: int) -> int:
         """The last boundary that all surviving paths go through: those of the last ``longest`` boundaries."""
         paths = set(range(at - self.longest + 1, at + 1))
         while len(paths) > 1 and (top := max(paths)) > done:
@@ -124,41 +127,103 @@ class Pieces:
             paths.add(come[top])
         return min(paths)
 
+    def bytes_of(self, i: int) -> bytes:
+        if self.kind[i] == 6:
+            return bytes([int(self.text[i][1:-1], 16)])
+        if self.kind[i] in (2, 3):  # unknown, control
+            return " \u2047 ".encode() if self.kind[i] == 2 else b""
+        return self.text[i].replace(MARK, " ").encode("utf-8")
+
     def ids(self, piece: str) -> list[int]:
         i = self.id.get(piece)
         return [i] if i is not None else [self.byte[b] for b in piece.encode("utf-8")]
 
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        text, memo, out = MARK + text.replace(" ", MARK), self.memo, []
-        for unit in _UNIT.findall(text) if not self.crosses else [text]:
-            got = memo.get(unit)
+    def _stretches(self, word: str) -> Iterator[str]:
+        """A word, cut where no piece holds the two characters at the cut."""
+        first, pairs = 0, self.pairs
+        for k in range(1, len(word)):
+            if word[k - 1 : k + 1] not in pairs:
+                yield word[first:k]
+                first = k
+        yield word[first:]
+
+    def _window(self, text: str) -> list[int]:
+        """The ids of a stretch that fits the window: as ``walk``, with one commit at its end."""
+        stable, size = self.stable, len(text)
+        come, last = [0] * (size + 1), [0] * (size + 1)
+        for end, (n, long) in self.find.iter(text):
+            at = end + 1
+            if last[at]:
+                continue
+            start = at - long
+            pair = last[start] * _WIDE + n if start else -1 - n
+            ok = stable.get(pair)
+            if ok is None:
+                if len(stable) >= PAIRS:
+                    stable.clear()
+                piece = text[start:at]
+                ok = stable[pair] = self.stays(text[come[start] : start], piece) if start else self.stays(piece, "")
+            if ok:
+                come[at], last[at] = start, n
+        out = []
+        while size:
+            out.append(last[size])
+            size = come[size]
+        return out[::-1]
+
+    def _word(self, word: str) -> list[int]:
+        """The ids of a word that the first memo lacks; it takes words that come again."""
+        words = self.words
+        if (got := words.old.get(word)) is not None:
+            words.put(word, got)
+            return got
+        out, again, stretches = [], True, self.stretches
+        for part in self._stretches(word.replace(" ", MARK)):
+            got = stretches.new.get(part) or stretches.old.get(part)
             if got is None:
-                got = tuple(i for run in self.walk(unit) for p in run for i in self.ids(p))
-                if len(unit) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[unit] = got
+                again = False
+                if len(part) == 1:
+                    got = self.ids(part)
+                elif len(part) <= 2 * self.longest:
+                    got = self._window(part)
+                else:
+                    got = [i for run in self.walk(part) for p in run for i in self.ids(p)]
+                stretches.put(part, got)
             out += got
+        if again:
+            words.put(word, out)
         return out
 
+    def encode(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.int32)
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        out, words = [], self.words
+        for word in _UNIT.findall(" " + text):
+            got = words.new.get(word)
+            out += self._word(word) if got is None else got
+        return np.array(out, np.int32)
+
     def decode(self, ids) -> str:
-        out, raw = [], bytearray()
-        for i in ids:
-            if self.kind[i] == 6:
-                raw.append(int(self.text[i][1:-1], 16))
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.text[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        text = b"".join(map(self.bytes_of, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+class Memo:
+    """Two generations of remembered ids: what is asked for again outlives the older one."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+
+    def put(self, key: str, ids: list[int]) -> None:
+        if len(key) <= 64:
+            if len(self.new) >= MEMO:
+                self.old, self.new = self.new, {}
+            self.new[key] = ids
+
+
 _loaded: dict[bytes, Pieces] = {}
 
 
@@ -183,19 +248,17 @@ def encode(documents: DataFrame, text: str = "text", model: str = MODEL, out: st
     def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         p = _pieces(shared)
         for s in parts:
-            yield pd.Series([None if t is None else p.encode(t) for t in s], dtype=object)
+            for i in range(0, len(s), 500):  # ids leave in small batches
+                yield pd.Series([None if t is None else p.encode(t) for t in s.iloc[i : i + 500]], dtype=object)
 
     return documents.withColumn(out, ids.asNondeterministic()(text))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL, out: str = "decoded") -> DataFrame:
-    """Add the text of a column of ids."""
-    shared = _broadcast(encoded, model)
-
-    @F.pandas_udf("string")
-    def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        p = _pieces(shared)
-        for s in parts:
-            yield pd.Series([None if i is None else p.decode(i) for i in s], dtype=object)
-
-    return encoded.withColumn(out, text.asNondeterministic()(ids))
+    """Add the text of a column of ids, in the JVM: the bytes of each piece, joined.  Ids outside the vocabulary add nothing."""
+    with open(model, "rb") as f:
+        p = Pieces(f.read())
+    table = F.split(F.lit(",".join(p.bytes_of(i).hex() for i in range(len(p.text)))), ",")
+    joined = F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
+    text = F.make_valid_utf8(F.unhex(joined).cast("string"))
+    return encoded.withColumn(out, F.when(text.startswith(" "), F.substring(text, F.lit(2), F.length(text))).otherwise(text))
