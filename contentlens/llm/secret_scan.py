@@ -16,7 +16,6 @@ pass through ``scan`` unless they are named like its results.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,13 +34,14 @@ class Rule:
     group: int = 0  # the group whose length counts
     least: int = 0
     base: bool = False
+    fast: str = ""  # a pattern that finds the same long matches sooner
 
 
 #: Fixed values, in the order that breaks ties; the first three are the base rules.
 RULES = (
     Rule("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True),
-    Rule("hex", r"[0-9a-f]+", 0, 32, True),
+    Rule("hex", r"[0-9a-f]+", 0, 32, True, fast=r"[0-9a-f]{32,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
@@ -117,7 +117,7 @@ _compiled: dict[str, re.Pattern] = {}
 def find(rule: Rule, text: str) -> list[tuple[int, int]]:
     r = _compiled.get(rule.pattern)
     if r is None:
-        r = _compiled[rule.pattern] = re.compile(rule.pattern.replace("[0-9a-f]+", f"[0-9a-f]{{{rule.least},}}") if rule.kind == "hex" else rule.pattern, re.ASCII)
+        r = _compiled[rule.pattern] = re.compile(rule.fast or rule.pattern, re.ASCII)
     return [m.span() for m in r.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
 
@@ -156,7 +156,3 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     rest = [F.col(f"`{c}`") for c in documents.columns if c != "found"]
     return joined.withColumn("__found", verify.asNondeterministic()("text", "__kinds")).select(*rest, F.col("__found").alias("found"))
-
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()

@@ -35,7 +35,9 @@ from contentlens.llm.components import components
 
 RADIUS, HALF_RADIUS, SHINGLE = 3, 1, 3
 #: Distinct fingerprints that a shard is home to, the most sampled to fit the top of a tree, and the size at which search stops splitting.
-SHARD, SAMPLE, LEAF = 4096, 16384, 512
+SHARD, SAMPLE, LEAF = 4096, 1 << 16, 512
+#: The top of a tree has at most 2 ** MAX_DEPTH shards, which bounds what is broadcast; beyond that shards grow and their own trees go deeper.
+MAX_DEPTH = 16
 _BLOCK = 1 << 16
 
 
@@ -156,7 +158,7 @@ def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, in
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all fingerprints within RADIUS bits; input: a column fp of distinct fingerprints."""
     spark, n = distinct.sparkSession, distinct.count()
-    depth = max(0, math.ceil(math.log2(max(n, 1) / SHARD)))
+    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(n, 1) / SHARD))))
     sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE if depth else 1).collect()], np.int64)
     trees = spark.sparkContext.broadcast([fit_tree(_half(sample, w), depth, w + 1) if depth else None for w in (0, 1)])
 
