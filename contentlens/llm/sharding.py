@@ -40,7 +40,7 @@ def preferences(shards: int, vnodes: int = VNODES, slots: int = SLOTS) -> list[l
     out: list[list[int]] = [[] for _ in range(slots)]
     ahead: list[int] = []  # shards clockwise of the place, nearest first
     for place in range(2 * slots - 1, -1, -1):
-        here = sorted(stands.get(place % slots, []))
+        here = sorted(set(stands.get(place % slots, [])))  # two nodes of a shard can share a place
         if here:
             ahead = here + [s for s in ahead if s not in here]
         if place < slots:
@@ -64,6 +64,8 @@ def assign(counts: dict[int, int], shards: int) -> list[dict]:
                 taken[place] += k
                 left[place] -= k
         left = {p: n for p, n in left.items() if n}
+    if left:
+        raise RuntimeError("the ring has no room left")  # cannot be: quotas add up to the rows
     return runs
 
 
