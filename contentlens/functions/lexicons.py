@@ -26,6 +26,16 @@ CONTRACTIONS = (
     "i've i'll i'd we're we've we'll they're they've they'll you're you've you'll it's that's there's here's what's who's let's"
 ).split()
 
+# The shorter lists of a demonstration scorer, and openings and auxiliaries that survive back-translation.
+DEMO_HEDGES = (
+    "additionally furthermore moreover consequently nevertheless specifically particularly significantly essentially fundamentally "
+    "undeniably arguably notably importantly remarkably interestingly comprehensive innovative crucial robust leveraging utilizing "
+    "enhancing facilitating delve tapestry multifaceted paradigm"
+).split()
+DEMO_CASUALS = "lol gonna wanna kinda yeah nah tbh imo btw idk omg haha hmm ok okay yep nope cuz tho ain't".split()
+OPENINGS = "furthermore moreover additionally consequently therefore however".split()
+AUXILIARIES = "was were is are been being".split()
+
 # Signals of tone, as substrings of the lower-case text or the text, and as patterns.
 CASUAL_TONE = "lol lmao tbh ngl idk omg haha gonna wanna kinda gotta".split()
 CASUAL_MARKS = ["!!", "...", "??"]

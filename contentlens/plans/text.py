@@ -368,9 +368,55 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 l AS (SELECT doc_id, len(w) AS n, list_transform(o, lambda x: length(x)) AS ls, len(list_distinct(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS d FROM w), m AS (SELECT *, list_sum(ls) / n AS mean FROM l)
 SELECT doc_id, round(sqrt(list_sum(list_transform(ls, lambda x: (x - mean) * (x - mean))) / n) / mean, 5) AS length_cv, round(d / greatest(n - 1, 1), 5) AS distinct_bigrams FROM m WHERE n > 0""")
 def zero_shot_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-27 T-28: variation of word length, share of distinct word pairs."""
+    """T-28: variation of word length, share of distinct word pairs."""
     w = _docs(spark, sf_dir).select("doc_id", t.split_words(F.col("text")).alias("o"), t.split_words(F.lower("text")).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("ls", F.transform("o", F.length))
     m = t.moments(F.col("ls"))
     pairs = F.when(F.size("w") > 1, F.size(F.array_distinct(t.bigrams(F.col("w"))))).otherwise(0)
     return w.select("doc_id", F.round(m["std"] / m["mean"], 5).alias("length_cv"), F.round(pairs / F.greatest(F.size("w") - 1, F.lit(1)), 5).alias("distinct_bigrams"))
+
+
+_DEMO = rf"""b AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z'']+') AS w, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {STRIP.format('x')}), lambda x: length(x) > 5) AS s FROM documents),
+l AS (SELECT *, len(w) AS n, list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> ''))) AS ls, len(regexp_extract_all(text, '\b\w+''\w+\b')) AS short FROM b),
+m AS (SELECT *, list_sum(ls) / len(ls) AS mean FROM l), c AS (SELECT *, CASE WHEN len(s) >= 3 AND mean > 0 THEN sqrt(list_sum(list_transform(ls, lambda x: (x - mean) * (x - mean))) / len(ls)) / mean END AS cv, {_IN(lex.DEMO_HEDGES)} / nullif(n, 0) AS hr, {_IN(lex.DEMO_CASUALS)} / nullif(n, 0) AS cr, len(list_distinct(w)) / nullif(n, 0) AS ttr, short / nullif(n, 0) AS sr, {_IN(lex.FIRST_PERSON_WIDE)} / nullif(n, 0) AS fr FROM m),
+g AS (SELECT doc_id, text, CASE WHEN cv IS NULL THEN 0.5 WHEN cv < 0.15 THEN 0.85 WHEN cv > 0.6 THEN 0.15 ELSE 0.85 - (cv - 0.15) * (0.7 / 0.45) END AS g1, CASE WHEN n < 10 THEN 0.5 WHEN hr > 0.04 THEN 0.9 WHEN hr > 0.02 THEN 0.7 ELSE greatest(0.1, 0.5 - hr * 10) END AS g2,
+  CASE WHEN n < 10 THEN 0.5 WHEN cr > 0.03 THEN 0.1 WHEN cr > 0.01 THEN 0.3 ELSE 0.6 END AS g3, CASE WHEN n < 20 THEN 0.5 WHEN ttr < 0.4 THEN 0.75 WHEN ttr > 0.7 THEN 0.2 ELSE 0.75 - (ttr - 0.4) * (0.55 / 0.3) END AS g4,
+  CASE WHEN n < 20 THEN 0.5 WHEN sr > 0.03 THEN 0.15 WHEN sr > 0.01 THEN 0.35 ELSE 0.7 END AS g5, CASE WHEN n < 20 THEN 0.5 WHEN fr > 0.04 THEN 0.15 WHEN fr > 0.02 THEN 0.35 ELSE 0.65 END AS g6 FROM c),
+d AS (SELECT doc_id, CASE WHEN length({STRIP.format('text')}) < 40 THEN 0.5 ELSE (g1 * 1.5 + g2 * 2.5 + g3 + g4 * 0.5 + g5 * 2 + g6 * 2)::DOUBLE / 9.5 END AS score FROM g)"""
+
+
+@query(f"WITH {_DEMO} SELECT doc_id, round(score, 9) AS score, CASE WHEN score > 0.55 THEN 'AI_GENERATED' WHEN score < 0.4 THEN 'HUMAN' ELSE 'UNCERTAIN' END AS label FROM d")
+def demo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-26: six piecewise signals; texts under 40 characters are UNCERTAIN."""
+    x = F.col("text")
+    parts = F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+"), t.strip), lambda s: F.length(s) > 5)
+    d = _docs(spark, sf_dir).withColumn("w", F.regexp_extract_all(F.lower(x), F.lit("[a-z']+"), F.lit(0))).withColumn("ls", F.transform(parts, lambda s: F.size(t.split_words(s))))
+    n, m = F.size("w"), t.moments(F.col("ls"))
+    rate = lambda c: F.try_divide(c, n)
+    cv, hedge, casual = F.try_divide(m["std"], m["mean"]), rate(t.among(F.col("w"), lex.DEMO_HEDGES)), rate(t.among(F.col("w"), lex.DEMO_CASUALS))
+    ttr, short, first = rate(F.size(F.array_distinct("w"))), rate(F.size(F.regexp_extract_all(x, F.lit(r"\b\w+'\w+\b"), F.lit(0)))), rate(t.among(F.col("w"), lex.FIRST_PERSON_WIDE))
+    signals = [
+        (1.5, F.when((F.size("ls") < 3) | cv.isNull(), 0.5).when(cv < 0.15, 0.85).when(cv > 0.6, 0.15).otherwise(0.85 - (cv - 0.15) * (0.7 / 0.45))),
+        (2.5, F.when(n < 10, 0.5).when(hedge > 0.04, 0.9).when(hedge > 0.02, 0.7).otherwise(F.greatest(F.lit(0.1), 0.5 - hedge * 10))),
+        (1.0, F.when(n < 10, 0.5).when(casual > 0.03, 0.1).when(casual > 0.01, 0.3).otherwise(0.6)),
+        (0.5, F.when(n < 20, 0.5).when(ttr < 0.4, 0.75).when(ttr > 0.7, 0.2).otherwise(0.75 - (ttr - 0.4) * (0.55 / 0.3))),
+        (2.0, F.when(n < 20, 0.5).when(short > 0.03, 0.15).when(short > 0.01, 0.35).otherwise(0.7)),
+        (2.0, F.when(n < 20, 0.5).when(first > 0.04, 0.15).when(first > 0.02, 0.35).otherwise(0.65)),
+    ]
+    score = F.when(F.length(t.strip(x)) < 40, 0.5).otherwise(sum((s * w for w, s in signals), F.lit(0.0)) / 9.5)
+    d = d.withColumn("score", score)
+    label = F.when(F.col("score") > 0.55, "AI_GENERATED").when(F.col("score") < 0.4, "HUMAN").otherwise("UNCERTAIN")
+    return d.select("doc_id", F.round("score", 9).alias("score"), label.alias("label"))
+
+
+@query(rf"""WITH {_HEUR}, k AS (SELECT doc_id, score, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w, {sents(4)} AS s FROM h),
+r AS (SELECT doc_id, score, len(list_filter(range(2, len(w) + 1), lambda i: list_contains({_list(lex.AUXILIARIES)}, w[i - 1]) AND ends_with(w[i], 'ed'))) / greatest(len(w), 1) AS passive, len(list_filter(s, lambda x: regexp_matches(lower(x), '^({"|".join(lex.OPENINGS)})'))) / greatest(len(s), 1) AS coord FROM k)
+SELECT doc_id, round(passive, 9) AS passive_rate, round(coord, 9) AS coord_start_rate, round(least(0.99, score + (passive * 0.5 + coord * 0.3) * (1 - score)), 9) AS adjusted FROM r""")
+def back_translation_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-27: passive pairs and coordinating openings, which move the score up."""
+    d = _heuristic(_docs(spark, sf_dir)).select("doc_id", "score", t.split_words(F.lower("text")).alias("w"), t.sentences(F.col("text"), 4).alias("s"))
+    passive = F.size(F.filter("w", lambda x, i: (i > 0) & x.endswith("ed") & F.coalesce(F.get("w", i - 1).isin(lex.AUXILIARIES), F.lit(False))))
+    coord = F.size(F.filter("s", lambda x: F.lower(x).rlike(f"^({'|'.join(lex.OPENINGS)})")))
+    d = d.select("doc_id", "score", (passive / F.greatest(F.size("w"), F.lit(1))).alias("p"), (coord / F.greatest(F.size("s"), F.lit(1))).alias("c"))
+    adjusted = F.least(F.lit(0.99), F.col("score") + (F.col("p") * 0.5 + F.col("c") * 0.3) * (1 - F.col("score")))
+    return d.select("doc_id", F.round("p", 9).alias("passive_rate"), F.round("c", 9).alias("coord_start_rate"), F.round(adjusted, 9).alias("adjusted"))
