@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,10 +155,68 @@ def bigrams(words: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
 
 
-def minhash(df: DataFrame, key: str, text: str, seeds: int = 16, k: int = 3) -> DataFrame:
-    """(key, seed, least): for each seed the least md5 of seed:shingle over the distinct character shingles of the lower-case text."""
+#: Documents whose shingles are counted for the dictionary of hashes, and the shingles that it holds: both bound what is broadcast, not what is hashed.
+DICTIONARY_ROWS, DICTIONARY = 2000, 16384
+
+
+def shingles(text: Column, k: int = 3) -> Column:
+    """Distinct character shingles of the lower-case text; a shorter text is one shingle."""
     low = F.lower(text)
-    shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - k + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(k))))
-    rows = df.select(key, F.explode(shingles).alias("shingle"))
-    parts = [F.min(F.md5(F.concat(F.lit(f"{s}:"), F.col("shingle")).cast("binary"))).alias(str(s)) for s in range(seeds)]
-    return rows.groupBy(key).agg(*parts).unpivot(key, [str(s) for s in range(seeds)], "seed", "least")
+    # one character a match, looking ahead over the shingle: a substring by place would walk the text again for each
+    return F.when(F.length(low) < k, F.array(low)).when(low.isNotNull(), F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{k}}}))."))))
+
+
+def _seeded(shingle: Column, seeds: int) -> Column:
+    """For each seed the first 15 hex digits of md5 of seed:shingle, as a number: in the order of the md5."""
+    md5 = lambda s: F.md5(F.concat(s, F.lit(":"), shingle).cast("binary"))
+    return F.transform(F.array(*[F.lit(str(s)) for s in range(seeds)]), lambda s: F.conv(F.substring(md5(s), 1, 15), 16, 10).cast("long"))
+
+
+def signatures(df: DataFrame, key: str, text: str, seeds: int = 100, k: int = 3) -> DataFrame:
+    """(key, signature): for each seed the least hash over the shingles of all texts of the key.
+
+    The hashes of frequent shingles are looked up, those of others computed: the result does not depend on the dictionary.
+    """
+    rows = df.select(key, F.explode(shingles(F.col(text), k)).alias("shingle"))
+    some = df.select(text).limit(DICTIONARY_ROWS).select(F.explode(shingles(F.col(text), k)).alias("shingle"))
+    known = some.groupBy("shingle").count().orderBy(F.desc("count"), "shingle").limit(DICTIONARY).select("shingle", _seeded(F.col("shingle"), seeds).alias("h"))
+    # broadcast: at most DICTIONARY rows
+    hashed = rows.join(F.broadcast(known), "shingle", "left").select(key, F.coalesce("h", _seeded(F.col("shingle"), seeds)).alias("h"))
+    least = hashed.groupBy(key).agg(*[F.min(F.get("h", F.lit(i))).alias(str(i)) for i in range(seeds)])
+    return least.select(key, F.array(*[F.col(f"`{i}`") for i in range(seeds)]).alias("signature"))
+
+
+def minhash(df: DataFrame, key: str, text: str, seeds: int = 100, k: int = 3) -> DataFrame:
+    """(key, seed, least): for each seed the least md5 of seed:shingle over the distinct character shingles of the lower-case text."""
+    sig = signatures(df, key, text, seeds, k).select(key, F.posexplode("signature").alias("__s", "__h"))
+    # a signature names a hash by 60 of its bits; the distinct shingles give the rest
+    distinct = df.select(F.explode(shingles(F.col(text), k)).alias("__x")).distinct()
+    full = distinct.select("__x", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("__s")).select("__s", F.md5(F.concat_ws(":", F.col("__s").cast("string"), "__x").cast("binary")).alias("least"))
+    full = full.withColumn("__h", F.conv(F.substring("least", 1, 15), 16, 10).cast("long"))
+    return sig.join(full, ["__s", "__h"]).select(key, F.col("__s").cast("string").alias("seed"), "least")
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, bands: int = 20, per_band: int = 5, least: float = 0.85) -> DataFrame:
+    """(a, b, similarity): near-duplicate links by MinHash, verified on the whole signature.
+
+    Texts of one signature are one group, named by its least key: each other
+    member has one row with that key as a and similarity 1, so copies are never
+    expanded into pairs.  Of different signatures every pair that shares a band
+    and matches in at least ``least`` of its places has a row, by group.
+    """
+    seeds = bands * per_band
+    rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__id"), F.sha2(F.lower(text), 256).alias("__text"), F.lower(text).alias("__low"))
+    sig = signatures(rows.dropDuplicates(["__text"]), "__text", "__low", seeds)
+    named = sig.withColumn("__group", F.md5(F.array_join(F.col("signature").cast("array<string>"), ",").cast("binary"))).persist(StorageLevel.DISK_ONLY)
+    member = rows.select("__id", "__text").join(named.select("__text", "__group"), "__text")
+    names = member.groupBy("__group").agg(F.min("__id").alias("__name"))
+    copies = member.join(names, "__group").where("__id <> __name").select(F.col("__name").alias("a"), F.col("__id").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    groups = named.select("__group", "signature").dropDuplicates(["__group"]).join(names, "__group").select("__name", "signature")
+    cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * per_band + 1, per_band)))
+    band = groups.select("__name", F.posexplode(cut).alias("band", "k"))
+    x, y = band.alias("x"), band.alias("y")
+    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.__name") < F.col("y.__name"))).select(F.col("x.__name").alias("a"), F.col("y.__name").alias("b")).distinct()
+    left, right = groups.select(F.col("__name").alias("a"), F.col("signature").alias("__l")), groups.select(F.col("__name").alias("b"), F.col("signature").alias("__r"))
+    same = F.size(F.filter(F.zip_with("__l", "__r", lambda p, q: p == q), lambda m: m))
+    pairs = near.join(left, "a").join(right, "b").select("a", "b", (same / seeds).alias("similarity")).where(F.col("similarity") >= least)
+    return copies.unionByName(pairs)

@@ -279,8 +279,8 @@ _SHINGLES = "list_distinct(list_transform(range(1, greatest(length(text) - 2, 1)
 
 @query(f"WITH s AS (SELECT item_id, unnest({_SHINGLES}) AS x FROM benchmark) SELECT item_id, CAST(seed AS VARCHAR) AS seed, min(md5(seed || ':' || x)) AS least FROM s, range(16) t(seed) GROUP BY 1, 2")
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-32: sixteen seeded minima over character shingles."""
-    return t.minhash(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    """T-32: a hundred seeded minima over character shingles of each document."""
+    return t.minhash(_docs(spark, sf_dir), "doc_id", "text")
 
 
 @query(f"""WITH s AS (SELECT item_id, unnest({_SHINGLES}) AS x FROM benchmark), m AS (SELECT item_id, seed, min(md5(seed || ':' || x)) AS least FROM s, range(16) t(seed) GROUP BY 1, 2),
@@ -288,14 +288,8 @@ b AS (SELECT item_id, seed // 2 AS band, string_agg(least, ',' ORDER BY CAST(see
 c AS (SELECT DISTINCT x.item_id AS a, y.item_id AS b FROM b x JOIN b y ON x.band = y.band AND x.k = y.k AND x.item_id < y.item_id)
 SELECT c.a, c.b, round(avg(CASE WHEN x.least = y.least THEN 1.0 ELSE 0.0 END), 4) AS similarity FROM c JOIN m x ON x.item_id = c.a JOIN m y ON y.item_id = c.b AND y.seed = x.seed GROUP BY 1, 2""")
 def minhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-33 T-34 J-13: pairs that share a band, with their similarity; a band of two rows."""
-    m = t.minhash(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    band = F.floor(F.col("seed").cast("int") / 2)
-    b = m.groupBy("item_id", band.alias("band")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seed", "least"))), lambda x: x["least"]), ",").alias("k"))
-    x, y = b.alias("x"), b.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.item_id") < F.col("y.item_id"))).select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).distinct()
-    left, right = m.select(F.col("item_id").alias("a"), "seed", F.col("least").alias("l1")), m.select(F.col("item_id").alias("b"), "seed", F.col("least").alias("l2"))
-    return pairs.join(left, "a").join(right, ["b", "seed"]).groupBy("a", "b").agg(F.round(F.avg((F.col("l1") == F.col("l2")).cast("double")), 4).alias("similarity"))
+    """T-33 T-34 J-13: documents of one signature, and pairs that share one of 20 bands of 5 and match in at least .85 of their signatures."""
+    return t.near_duplicates(_docs(spark, sf_dir), "doc_id", "text")
 
 
 _HTML = "html"
