@@ -53,21 +53,33 @@ def simplex(spark: SparkSession, step: int = 20) -> DataFrame:
     return grid.select((F.col("i") / step).alias("w1"), (F.col("j") / step).alias("w2"), ((F.lit(step) - F.col("i") - F.col("j")) / step).alias("w3"))
 
 
-def grid_search(df: DataFrame, scores: list[str], y: str, thresholds: list[float], step: int = 20, digits: int = 4) -> DataFrame:
+def exceeded(s: Column, thresholds: list[float]) -> Column:
+    """How many of the sorted thresholds s exceeds, by bisection; 0 for null."""
+
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(s > thresholds[mid], among(mid + 1, hi)).otherwise(among(lo, mid))
+
+    return among(0, len(thresholds))
+
+
+def grid_search(df: DataFrame, scores: list[str], y: str, thresholds: list[float], step: int = 20) -> DataFrame:
     """Confusion of every weight vector and threshold.
 
-    Rows are first counted by their rounded scores, and each vector's fused
-    scores by rounded value, so that thresholds meet counts and not rows.
+    Rows are first counted by their scores as they are; each vector's fused
+    score falls in one of len(thresholds) + 1 cells, so that a vector is a
+    small histogram before anything is shuffled.
     """
-    spark = df.sparkSession
-    small = df.groupBy(*[F.round(s, 2).alias(s) for s in scores]).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    spark, ts = df.sparkSession, sorted(thresholds)
+    small = df.groupBy(*scores).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
     fused = small.crossJoin(F.broadcast(simplex(spark, step)))  # broadcast: (step + 1)(step + 2) / 2 rows
-    s = F.round(sum((F.col(c) * F.col(f"w{i + 1}") for i, c in enumerate(scores)), F.lit(0.0)), digits)
-    g = fused.groupBy("w1", "w2", "w3", s.alias("s")).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    t = F.array(*[F.lit(x) for x in thresholds])
-    over = lambda c: F.transform(t, lambda x: F.when(F.col("s") > x, c).otherwise(0))
-    wide = g.select("w1", "w2", "w3", "pos", F.explode(F.arrays_zip(t.alias("threshold"), over(F.col("pos")).alias("tp"), over(F.col("n")).alias("yes"))).alias("z"))
-    out = wide.groupBy("w1", "w2", "w3", F.col("z.threshold").alias("threshold")).agg(F.sum("z.tp").alias("tp"), F.sum("z.yes").alias("yes"), F.sum("pos").alias("p"))
+    s = sum((F.col(c) * F.col(f"w{i + 1}") for i, c in enumerate(scores)), F.lit(0.0))
+    cells = fused.withColumn("s", s).groupBy("w1", "w2", "w3", exceeded(F.col("s"), ts).alias("cell")).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(ts)]))
+    wide, over = cells.withColumn("z", at), lambda c: F.sum(F.when(F.col("cell") > F.col("z.i"), F.col(c)).otherwise(0))
+    out = wide.groupBy("w1", "w2", "w3", F.col("z.threshold").alias("threshold")).agg(over("pos").alias("tp"), over("n").alias("yes"), F.sum("pos").alias("p"))
     return out.withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("yes") + F.col("p")), F.lit(0.0)))
 
 

@@ -99,8 +99,8 @@ x AS (SELECT w1, w2, w3, round(round(l1, 2) * w1 + round(l2, 2) * w2 + round(l3,
 g AS (SELECT w1, w2, w3, threshold, count(*) FILTER (WHERE s > threshold AND y = 1) AS tp, count(*) FILTER (WHERE s > threshold) AS yes, CAST(sum(y) AS BIGINT) AS p FROM x, t GROUP BY ALL)
 SELECT round(w1, 6) AS w1, round(w2, 6) AS w2, round(w3, 6) AS w3, threshold, round(2 * tp / (yes + p), 6) AS f1 FROM g ORDER BY round(2 * tp / (yes + p), 9) DESC, w3 DESC, w1, threshold LIMIT 10""")
 def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-21 J-12: 231 weight vectors by 41 thresholds; the ten best, ties to the larger w3."""
-    g = e.grid_search(scored(spark, sf_dir), ["l1", "l2", "l3"], "y", [round(0.3 + i * 0.01, 2) for i in range(41)])
+    """A-21 J-12: 231 weight vectors by the 41 thresholds from .40 to .80; the ten best, ties to the larger w3."""
+    g = e.grid_search(scored(spark, sf_dir), ["l1", "l2", "l3"], "y", [round(0.4 + i * 0.01, 2) for i in range(41)])
     top = g.orderBy(F.desc(F.round("f1", 9)), F.desc("w3"), "w1", "threshold").limit(10)
     return top.select(r6("w1").alias("w1"), r6("w2").alias("w2"), r6("w3").alias("w3"), "threshold", r6("f1").alias("f1"))
 
