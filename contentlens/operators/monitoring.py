@@ -37,7 +37,7 @@ def day_metrics(predictions: DataFrame) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], method: str = "round") -> DataFrame:
-    """Order statistics at index round_half_even(q (n - 1)), or floor(n q) capped, of a group: exact, without interpolation.
+    """Order statistics at index round_half_even(q (n - 1)), floor(n q) capped, or the lower or upper neighbour of q (n - 1), of a group: exact, without interpolation.
 
     A sketch brackets each rank first; only distinct values within a bracket,
     a five-hundredth of the rows or so, are ordered, and the rest is counted.
@@ -49,7 +49,8 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: dict[str, float
     small = F.col("n") < 10 / slack  # too few rows for the slack to cover a rank on either side
     out = bounds.select(*keys)
     for i, (name, q) in enumerate(qs.items()):
-        at = F.bround(F.lit(q) * (F.col("n") - 1)) if method == "round" else F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1)
+        place = F.lit(q) * (F.col("n") - 1)
+        at = {"round": F.bround(place), "floor": F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1), "lower": F.floor(place), "upper": F.ceil(place)}[method]
         one = bounds.select(*keys, at.alias("__at"), F.when(small, F.col("__min")).otherwise(F.col("__e")[2 * i]).alias("__lo"), F.when(small, F.col("__max")).otherwise(F.col("__e")[2 * i + 1]).alias("__hi"))
         near = rows.join(one, keys).where("__v <= __hi")
         # what lies below the bracket counts as one value of it
@@ -60,6 +61,16 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: dict[str, float
     return out
 
 
+def linear_percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Percentiles by linear interpolation between the two ranks around q (n - 1): exact, and no group's values meet in one buffer."""
+    rows = df.where(F.col(value).isNotNull())
+    low, high = (nearest_rank(rows, keys, value, {f"__{m}_{name}": q for name, q in qs.items()}, m) for m in ("lower", "upper"))
+    both = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).join(low, keys).join(high, keys)
+    part = lambda q: F.lit(q) * (F.col("__n") - 1) - F.floor(F.lit(q) * (F.col("__n") - 1))
+    mixed = lambda name, q: (1 - part(q)) * F.col(f"__lower_{name}") + part(q) * F.col(f"__upper_{name}")
+    return both.select(*keys, *[mixed(name, q).alias(name) for name, q in qs.items()])
+
+
 def length_bucket(length: Column) -> Column:
     names = [f"{a}-{b}" for a, b in zip(LENGTH_EDGES, LENGTH_EDGES[1:])] + [f"{LENGTH_EDGES[-1]}+"]
     out = None
