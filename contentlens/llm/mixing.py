@@ -1,12 +1,13 @@
 """Mixing sources to target weights, by blocks.
 
 The words of each source, its documents in a seeded order, form one stream that
-is packed into blocks of ``block`` words.  A source fills K = round(target /
-size * blocks) slots of the mix.  How many of them each output shard holds is a
-multinomial draw; conditioned on K, so that no source drifts from its target.
+is packed into blocks of ``block`` words.  A source fills as many slots of the
+mix as round(target) words take, the short last block counted as it is; the
+last slot is cut to the words still missing.  How many of them each output shard holds is a
+multinomial draw; conditioned on their number, so that no source drifts from its target.
 Slot k of a source maps to block perm(k mod blocks), with a pseudorandom
 permutation of its own for each source and epoch, and blocks join the slots by
-number.  As K <= most * blocks, no word is taken more than ``most`` times.
+number.  As a target is at most most * size, no word is taken more than ``most`` times.
 
 Sizes are words.  Sources by code point, null last, weigh ``weights`` in turn
 and share all words; a target stops at ``most`` times its source's size, and
@@ -99,34 +100,68 @@ def permute(i: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def unpermute(i: int, n: int, seed: int) -> int:
+    """The place at which permute(., n, seed) gives i: its rounds backwards."""
+    bits, full = max(1, (max(n - 1, 1).bit_length() + 1) // 2), 2**64 - 1
+    mask = (1 << bits) - 1
+    while True:
+        left, right = i >> bits, i & mask
+        for r in reversed(range(4)):
+            mixed = (left + (seed * 4 + r + 1) * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & full
+            mixed = (mixed ^ (mixed >> 29)) * 0x94D049BB133111EB & full
+            left, right = right ^ ((mixed >> 32) & mask), left
+        i = (left << bits) | right
+        if i < n:
+            return i
+
+
+def _seed(seed: int, no: int, epoch: int) -> int:
+    return seed * 1_000_003 + no * 101 + epoch
+
+
+def slots_for(words: int, size: int, block: int, seed: int, no: int) -> tuple[int, int]:
+    """Slots that take ``words`` words of a source, and the words of the last one."""
+    if not size or not words:
+        return 0, 0
+    n, (epochs, left) = -(-size // block), divmod(words, size)
+    if not left:
+        return epochs * n, block
+    short = n * block - size
+    k, end = -(-left // block), unpermute(n - 1, n, _seed(seed, no, epochs))
+    if end < k and left + short > k * block:  # the short block comes before the words are full
+        k += 1
+    have = (k - 1) * block - (short if end < k - 1 else 0)
+    return epochs * n + k, left - have
+
+
 def plan(spark: SparkSession, target: list[tuple], seed: int, block: int, shards: int) -> DataFrame:
-    """Slots of the mix: shard, source_no, slot (number k in its source), epoch, block_no."""
+    """Slots of the mix: shard, source_no, slot (number k in its source), epoch, block_no, upto (words of the block that it takes at most)."""
     rng, draws = np.random.default_rng(seed), []
     for _, no, size, aim in target:
         n = -(-size // block)
-        k = round(aim / size * n) if size else 0
+        k, cut = slots_for(round(aim), size, block, seed, no)
         count = rng.multinomial(k, np.full(shards, 1 / shards))
         first = 0
         for shard, c in enumerate(count.tolist()):
             if c:
-                draws.append((no, shard, n, first, c))
+                draws.append((no, shard, n, first, c, k - 1, cut))
             first += c
-    counts = spark.createDataFrame(draws, "source_no int, shard int, blocks long, first long, many long")
+    counts = spark.createDataFrame(draws, "source_no int, shard int, blocks long, first long, many long, last long, cut long")
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for no, shard, n, lo, hi in b[["source_no", "shard", "blocks", "lo", "hi"]].itertuples(index=False):
+            for no, shard, n, lo, hi, last, cut in b[["source_no", "shard", "blocks", "lo", "hi", "last", "cut"]].itertuples(index=False):
                 k = np.arange(lo, hi)
                 number = np.empty(len(k), np.int64)
                 for epoch in np.unique(k // n):
                     own = k // n == epoch
-                    number[own] = permute(k[own] % n, n, seed * 1_000_003 + no * 101 + int(epoch))
-                yield pd.DataFrame({"shard": shard, "source_no": no, "slot": k, "epoch": k // n, "block_no": number})
+                    number[own] = permute(k[own] % n, n, _seed(seed, no, int(epoch)))
+                yield pd.DataFrame({"shard": shard, "source_no": no, "slot": k, "epoch": k // n, "block_no": number, "upto": np.where(k == last, cut, block)})
 
     starts = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("many") - 1, F.lit(CHUNK)))
     chunks = counts.withColumn("lo", starts).withColumn("hi", F.least(F.col("lo") + CHUNK, F.col("first") + F.col("many")))
     spread = chunks.repartition("source_no", "shard", "lo")
-    return spread.mapInPandas(slots, "shard int, source_no int, slot long, epoch int, block_no long")
+    return spread.mapInPandas(slots, "shard int, source_no int, slot long, epoch int, block_no long, upto long")
 
 
 def pieces(packed: DataFrame, block: int) -> DataFrame:
@@ -149,7 +184,9 @@ def mix(documents: DataFrame, seed: int = 11, block: int = BLOCK, shards: int =
     packed = materialise(pack(named, seed))
     # the plan's size is not known to the optimiser, which would broadcast it
     slots = plan(spark, target, seed, block, shards).hint("merge")
-    return packed, pieces(packed, block).hint("merge").join(slots, ["source_no", "block_no"])
+    got = pieces(packed, block).hint("merge").join(slots, ["source_no", "block_no"])
+    upto = F.least("hi", F.col("block_no") * block + F.col("upto") - F.col("start"))
+    return packed, got.withColumn("hi", upto).where("lo < hi").drop("upto")
 
 
 def taken(documents: DataFrame, **options) -> DataFrame:
