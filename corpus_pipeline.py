@@ -43,7 +43,7 @@ STAGES = [
     ("tokenize", tokenize),
 ]
 
-#: Hashes, learned scores and token ids are beyond SQL: tests hold run() against brute force.
+#: Hashes, learned scores and token ids are beyond SQL: tests check what each stage must keep and that run() repeats.
 ORACLE_SQL = None
 
 
