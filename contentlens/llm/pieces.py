@@ -7,12 +7,16 @@ two neighbouring pieces are stable, which means that the merge rules, run on
 just these two, leave them as they are.  BPE gives every prefix exactly one
 admitted path, so each boundary keeps one surviving backpointer.
 
-Streaming: no piece starts before ``at - longest``, so the paths that survive at
-a boundary are those of the last ``longest`` boundaries; whenever they go
-through one common boundary, the ids up to it are committed and the window
-moves on.  Two neighbouring characters that no piece holds side by side are such
-a boundary at once, as are most ends of words; stretches between them that were
-seen before take their ids from a bounded memo.
+Streaming: a text is read in runs of at most ``RUN`` characters.  No piece
+starts before ``at - longest``, so the paths that survive at a boundary are
+those of the last ``longest`` boundaries; whenever they go through one common
+boundary, the ids up to it are committed and the window moves on.  Where no
+piece of the vocabulary can hold the characters on both sides (as before a
+space or a line feed, which is checked when a model is read), every path goes
+through that boundary and it commits at once.  What lies between two such
+boundaries, mostly a word, takes the same ids wherever it stands: ids are kept
+in a bounded memo, and the words of a run that are new go through the pass side
+by side, one character a step (``walk``).
 
 Characters outside the vocabulary become byte pieces.  A space is U+2581; one
 is put before the text (dropped again by ``decode``).  A literal U+2581 in a
@@ -20,7 +24,8 @@ text decodes as a space, as the model defines; ``decode(encode(text))`` equals
 the text otherwise.
 
 Defined cases: a null text gives null ids, an empty text none; repeated rows
-are encoded alike; extra columns pass through.
+are encoded alike; extra columns pass through, but for one named as the result
+(``ids``, ``decoded``), which is replaced: name another by ``out``.
 """
 
 from __future__ import annotations
@@ -28,21 +33,61 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contentlens.llm.common import free
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Entries of each of a worker's memos: words, stretches; and pairs of pieces known to be stable or not.
-MEMO, PAIRS = 200_000, 500_000
-#: Above all piece numbers and code points.
-_WIDE = 1 << 21
+#: Entries of a worker's memo of words and of its cache of pairs of pieces known to be stable or not; characters read at once.
+MEMO, PAIRS, RUN = 200_000, 1 << 20, 1 << 20
+#: Above all piece numbers, which are those of the model, or its size plus a code point outside the vocabulary; the last one stands for the start.
+_BITS = 22
+_WIDE = 1 << _BITS
+_START = _WIDE - 1
+_NEVER = (1 << 31) - 1
+#: Characters that no piece holds: between entries of a table, and for a byte beyond ASCII.
+_PRIVATE = "\uf8ff\uf8fe"
 _UNIT = re.compile(r" *[^ \n]+| +|\n+")
 
 
+def _hash(key: np.ndarray) -> np.ndarray:
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(36)).astype(np.int64)
+
+
+class Table:
+    """An open-addressed table from longs to ints, read by whole arrays."""
+
+    def __init__(self, items: dict[int, int]):
+        keys, values = np.fromiter(items.keys(), np.int64, len(items)), np.fromiter(items.values(), np.int32, len(items))
+        self.mask = (1 << max(4, (4 * len(items)).bit_length())) - 1
+        self.key, self.value = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32)
+        slot, todo = _hash(keys) & self.mask, np.arange(len(keys))
+        while len(todo):
+            free = todo[self.key[slot[todo]] < 0]
+            self.key[slot[free]], self.value[slot[free]] = keys[free], values[free]  # of several, one stays
+            todo = todo[self.key[slot[todo]] != keys[todo]]
+            slot[todo] = (slot[todo] + 1) & self.mask
+        self.value[slot] = values
+
+    def get(self, keys: np.ndarray, default: int) -> np.ndarray:
+        out, slot = np.full(len(keys), default, np.int32), _hash(keys) & self.mask
+        held = self.key[slot]
+        hit = held == keys
+        out[hit] = self.value[slot[hit]]
+        todo = np.flatnonzero(~hit & (held >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            held = self.key[slot[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.value[slot[todo[hit]]]
+            todo = todo[~hit & (held >= 0)]
+        return out
+
+
 class Pieces:
     """A vocabulary with scores, as read from a model file's bytes."""
 
@@ -53,79 +98,199 @@ class Pieces:
         proto.ParseFromString(model)
         self.text = [p.piece for p in proto.pieces]
         self.kind = [p.type for p in proto.pieces]
-        self.score = [p.score for p in proto.pieces]
         self.id = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (1, 4)}
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.longest = max(map(len, self.id))
-        self.rank = {p: -self.score[i] for p, i in self.id.items()}
-        #: Characters that some piece holds side by side.
-        self.pairs = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        self.stable: dict[int, bool] = {}
-        self.words, self.stretches = Memo(), Memo()
-        self.find = ahocorasick.Automaton()
-        for p, i in self.id.items():
-            self.find.add_word(p, (i, len(p)))
-        self.find.make_automaton()
-
-    def stays(self, a: str, b: str) -> bool:
-        """Whether the merge rules (best score first, then leftmost), run on the characters of a + b, end in a, b."""
-        symbols, rank, cut = list(a + b), self.rank, len(a)
+        order = np.unique([-p.score for p in proto.pieces], return_inverse=True)[1].tolist()
+        self.rank = {p: order[i] for p, i in self.id.items()}
+        #: Whether no piece goes over the ends of ``_UNIT``.
+        self.cuts = not any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in self.id)
+        #: Ranks of the merges of two pieces.
+        splits = ((self.id.get(p[:k]), self.id.get(p[k:]), r) for p, r in self.rank.items() for k in range(1, len(p)))
+        self.merges = Table({x << _BITS | y: r for x, y, r in splits if x is not None and y is not None})
+        self._grow_tree()
+        #: The merge rules run on each piece, as far as asked for: ranks of the merges, first and last symbol before each; whether they end in the piece.
+        shape = (len(self.text), self.longest)
+        self.traced, self.whole = np.zeros(shape[0], bool), np.zeros(shape[0], bool)
+        self.ranks, self.firsts, self.lasts = np.full(shape, _NEVER, np.int32), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        self.cache, self.words = np.full(PAIRS, -1, np.int64), Memo()
+
+    def _grow_tree(self) -> None:
+        """The pieces' prefix tree: (node, character) -> node, and the piece of each node or -1."""
+        nodes: dict[int, int] = {}
+        piece = {}
+        for text, i in self.id.items():
+            at = 0
+            for c in text:
+                at = nodes.setdefault(at << 21 | ord(c), len(nodes) + 1)
+            piece[at] = i
+        self.piece_at = np.full(len(nodes) + 1, -1, np.int64)
+        self.piece_at[list(piece)] = list(piece.values())
+        self.root = np.full(0x110000, -1, np.int32)
+        for key, to in nodes.items():
+            if key < 0x110000:
+                self.root[key] = to
+        self.tree = Table(nodes)
+
+    def find(self, code: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, number) of all pieces in characters ``code``, none going over the ``stop`` of its start; shorter ones first.
+
+        A character outside the vocabulary is found as the number that stands for it.
+        """
+        node = self.root[code]
+        lone = np.where(node >= 0, self.piece_at[node], -1)
+        strange = np.flatnonzero(lone < 0)
+        out = [(strange, np.ones(len(strange), np.int64), code[strange].astype(np.int64) + len(self.text))]
+        at, length = np.flatnonzero(node >= 0), 1
+        node = node[at]
+        while len(at):
+            number = self.piece_at[node]
+            ends = number >= 0
+            out.append((at[ends], np.full(int(ends.sum()), length), number[ends]))
+            more = at + length < stop[at]
+            at = at[more]
+            node = self.tree.get(node[more].astype(np.int64) << 21 | code[at + length], -1)
+            at, node, length = at[node >= 0], node[node >= 0], length + 1
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _trace(self, i: int) -> None:
+        """Runs the merge rules (best score first, then leftmost) on one piece."""
+        symbols, rank, step = list(self.text[i]), self.rank, 0
+        number = lambda x: self.id.get(x, len(self.text) + ord(x[0]))
         while True:
-            best, at = 1 << 60, -1
+            self.firsts[i, step], self.lasts[i, step] = number(symbols[0]), number(symbols[-1])
+            best, at = _NEVER, -1
             for k, pair in enumerate(map(str.__add__, symbols, symbols[1:])):
                 r = rank.get(pair)
                 if r is not None and r < best:
                     best, at = r, k
             if at < 0:
-                return symbols == [a, b] if b else symbols == [a]
-            if b and sum(map(len, symbols[: at + 1])) == cut:
-                return False  # this merge goes over the boundary
+                break
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            self.ranks[i, step] = best
+            step += 1
+        self.traced[i], self.whole[i] = True, len(symbols) == 1
 
-    def walk(self, text: str) -> Iterator[tuple[str, ...]]:
-        """The pieces of a text of known characters in runs, each committed as soon as the surviving paths share a boundary.
+    def stays(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the merge rules, run on the characters of pieces a and b, end in a, b; for arrays of pairs.
 
-        Backpointers are kept for the window only: from the last commit to the character read.
+        Until a merge goes over the boundary, each side's merges come in the
+        order they have alone.  A character outside the vocabulary merges with
+        nothing, and nothing stands before the start.
+        """
+        many = len(self.text)
+        for x in (a, b):
+            x = np.unique(x[x < many])
+            for i in x[~self.traced[x]].tolist():
+                self._trace(i)
+        ok = (b >= many) | self.whole[np.minimum(b, many - 1)]
+        ok &= (a >= many) | self.whole[np.minimum(a, many - 1)]
+        todo = np.flatnonzero(ok & (a < many) & (b < many))
+        a, b = a[todo], b[todo]
+        i, j = np.zeros(len(todo), np.int64), np.zeros(len(todo), np.int64)
+        while len(todo):
+            p, q = self.ranks[a, i], self.ranks[b, j]
+            over = self.merges.get(self.lasts[a, i] << _BITS | self.firsts[b, j], _NEVER)
+            bad = (over < p) & (over <= q)
+            ok[todo[bad]] = False
+            left = p <= q
+            i, j = i + left, j + ~left
+            go = ~bad & (np.minimum(p, q) < _NEVER)
+            todo, a, b, i, j = todo[go], a[go], b[go], i[go], j[go]
+        return ok
+
+    def _stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``stays`` through a direct-mapped cache."""
+        key = a << _BITS | b
+        slot = _hash(key) % PAIRS
+        held = self.cache[slot]
+        ok, lost = (held & 1).astype(bool), np.flatnonzero(held >> 1 != key)
+        if len(lost):
+            new, back = np.unique(key[lost], return_inverse=True)
+            fits = self.stays(new >> _BITS, new % _WIDE)[back]
+            ok[lost] = fits
+            self.cache[slot[lost]] = key[lost] << 1 | fits
+        return ok
+
+    def walk(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
+        """The streaming pass over texts side by side, one character a step: (number of the text, ids as packed ints) as they are committed.
+
+        Of each text a window of ``4 * longest`` characters is held.  At its end
+        the surviving paths, those of the last ``longest`` boundaries, are
+        followed back to the boundary that all share; the ids up to it are
+        committed and the window moves there.  Where the paths share none but
+        the window's start, the window doubles.
         """
-        stable, longest, size = self.stable, self.longest, len(text)
-        done, come, last = 0, {0: 0}, {0: 0}  # at each boundary: start and number of the piece that ends there
-        for end, (n, long) in self.find.iter(text):
-            at = end + 1
-            start = at - long
-            if at in come or start < done:
-                continue  # this boundary has its path; or the piece starts before what is committed
-            # a pair as one number; the first piece has no left neighbour
-            pair = last[start] * _WIDE + n if start else -1 - n
-            ok = stable.get(pair)
-            if ok is None:
-                if len(stable) >= PAIRS:
-                    stable.clear()
-                piece = text[start:at]
-                ok = stable[pair] = self.stays(self.text[last[start]], piece) if start else self.stays(piece, "")
-            if ok:
-                come[at], last[at] = start, n
-                if at - done >= 2 * longest and at < size and (meet := self._meet(come, done, at)) > done:
-                    yield self._path(text, come, done, meet)
-                    for b in range(done, meet):
-                        del come[b], last[b]
-                    done = meet
-        yield self._path(text, come, done, size)
-
-    @staticmethod
-    def _path(text: str, come: dict[int, int], done: int, end: int) -> tuple[str, ...]:
-        out = []
-        while end > done:
-            out.append(text[come[end] : end])
-            end = come[end]
-        return tuple(out[::-1])
-
-    def _meet(self, come: dict[int, int], done: int, at: int) -> int:
+        todo = [k for k, t in enumerate(texts) if t]
+        whole, wide = np.fromiter(map(len, texts), np.int64, len(texts)), np.full(len(texts), 4 * self.longest)
+        at, before = np.zeros(len(texts), np.int64), np.full(len(texts), _START)
+        while todo:
+            now = np.array(todo)
+            parts = [texts[k][i:j] for k, i, j in zip(todo, at[now].tolist(), (at + wide)[now].tolist())]
+            size = np.minimum(whole[now] - at[now], wide[now])
+            last, come, width = self._window(parts, size, before[now])
+            end = size.copy()
+            for i in np.flatnonzero(at[now] + size < whole[now]).tolist():
+                end[i] = self._meet(come[i * width : (i + 1) * width] - i * width, int(size[i]))
+            before[now] = last[np.arange(len(now)) * width + end]
+            wide[now] = np.where(end > 0, 4 * self.longest, 2 * wide[now])
+            at[now] += end
+            for k, ids in zip(todo, self._paths(last, come, width, end)):
+                if ids:
+                    yield k, ids
+            todo = now[at[now] < whole[now]].tolist()
+
+    def _window(self, parts: list[str], size: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """At each boundary of each part, in rows of ``width``: number of the piece that ends there on the path, and where it starts."""
+        width, first = int(size.max()) + 1, np.cumsum(size) - size
+        code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lane = np.repeat(np.arange(len(parts)), size)
+        at, long, number = self.find(code, (first + size)[lane])
+        lane = lane[at]
+        step = (at + long - first[lane]).astype(np.int16 if width < 1 << 15 else np.int64)  # small numbers sort by radix
+        base = lane * width
+        last, come = np.full(len(parts) * width, -1, np.int64), np.zeros(len(parts) * width, np.int64)
+        last[::width] = before
+        order = np.argsort(step, kind="stable")
+        edge = np.searchsorted(step[order], np.arange(width + 1))
+        for r in range(1, width):
+            i = order[edge[r] : edge[r + 1]]
+            to = base[i] + r
+            start = to - long[i]
+            reached = np.flatnonzero(last[start] >= 0)  # others start at a boundary that no path reaches
+            to, start, n = to[reached], start[reached], number[i[reached]]
+            ok = self._stable(last[start], n)
+            to = to[ok]
+            last[to], come[to] = n[ok], start[ok]
+        return last, come, width
+
+    def _meet(self, come: np.ndarray, size: int) -> int:
         """The last boundary that all surviving paths go through: those of the last ``longest`` boundaries."""
-        paths = set(range(at - self.longest + 1, at + 1))
-        while len(paths) > 1 and (top := max(paths)) > done:
+        paths = set(range(max(0, size - self.longest + 1), size + 1))
+        while len(paths) > 1:
+            top = max(paths)
             paths.remove(top)
-            paths.add(come[top])
-        return min(paths)
+            paths.add(int(come[top]))
+        return paths.pop()
+
+    def _paths(self, last: np.ndarray, come: np.ndarray, width: int, end: np.ndarray) -> list[bytes]:
+        """The ids of the paths to boundary ``end`` of each part."""
+        many, at, steps = len(self.text), np.arange(len(end)) * width + end, []
+        last[::width], come[::width] = -1, np.arange(len(end)) * width  # paths wait at their start
+        while len(now := last[at]) and now.max() >= 0:
+            steps.append(now)
+            at = come[at]
+        paths = np.array(steps, np.int32)[::-1].T if steps else np.full((len(end), 1), -1, np.int32)
+        held = paths >= 0
+        flat, ends = paths[held].tobytes(), (4 * np.cumsum(held.sum(1))).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for k in np.flatnonzero((paths >= many).any(1)).tolist():
+            ids = np.frombuffer(out[k], np.int32).tolist()
+            out[k] = np.array([i for x in ids for i in (self.bytes_ids(chr(x - many)) if x >= many else (x,))], np.int32).tobytes()
+        return out
+
+    def bytes_ids(self, char: str) -> list[int]:
+        return [self.byte[b] for b in char.encode("utf-8", "replace")]
 
     def bytes_of(self, i: int) -> bytes:
         if self.kind[i] == 6:
@@ -134,76 +299,42 @@ class Pieces:
             return " \u2047 ".encode() if self.kind[i] == 2 else b""
         return self.text[i].replace(MARK, " ").encode("utf-8")
 
-    def ids(self, piece: str) -> list[int]:
-        i = self.id.get(piece)
-        return [i] if i is not None else [self.byte[b] for b in piece.encode("utf-8")]
-
-    def _stretches(self, word: str) -> Iterator[str]:
-        """A word, cut where no piece holds the two characters at the cut."""
-        first, pairs = 0, self.pairs
-        for k in range(1, len(word)):
-            if word[k - 1 : k + 1] not in pairs:
-                yield word[first:k]
-                first = k
-        yield word[first:]
-
-    def _window(self, text: str) -> list[int]:
-        """The ids of a stretch that fits the window: as ``walk``, with one commit at its end."""
-        stable, size = self.stable, len(text)
-        come, last = [0] * (size + 1), [0] * (size + 1)
-        for end, (n, long) in self.find.iter(text):
-            at = end + 1
-            if last[at]:
-                continue
-            start = at - long
-            pair = last[start] * _WIDE + n if start else -1 - n
-            ok = stable.get(pair)
-            if ok is None:
-                if len(stable) >= PAIRS:
-                    stable.clear()
-                piece = text[start:at]
-                ok = stable[pair] = self.stays(text[come[start] : start], piece) if start else self.stays(piece, "")
-            if ok:
-                come[at], last[at] = start, n
-        out = []
-        while size:
-            out.append(last[size])
-            size = come[size]
-        return out[::-1]
-
-    def _word(self, word: str) -> list[int]:
-        """The ids of a word that the first memo lacks; it takes words that come again."""
-        words = self.words
-        if (got := words.old.get(word)) is not None:
-            words.put(word, got)
-            return got
-        out, again, stretches = [], True, self.stretches
-        for part in self._stretches(word.replace(" ", MARK)):
-            got = stretches.new.get(part) or stretches.old.get(part)
-            if got is None:
-                again = False
-                if len(part) == 1:
-                    got = self.ids(part)
-                elif len(part) <= 2 * self.longest:
-                    got = self._window(part)
-                else:
-                    got = [i for run in self.walk(part) for p in run for i in self.ids(p)]
-                stretches.put(part, got)
-            out += got
-        if again:
-            words.put(word, out)
-        return out
+    def _runs(self, texts: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
+        """The texts' units in runs of about ``RUN`` characters: [(number of the text, units)]; a long text goes over several runs."""
+        run, size = [], 0
+        for k, text in enumerate(texts):
+            text, i = f" {text.replace(MARK, ' ')}" if text else "", 0
+            while i < len(text):
+                end = min(len(text), i + RUN - size) if self.cuts else len(text)
+                while end < len(text) and (text[end] not in " \n" or text[end - 1] in " \n"):
+                    end += 1  # to the end of the unit
+                run.append((k, _UNIT.findall(text, i, end) if self.cuts else [text]))
+                size += end - i
+                i = end
+                if size >= RUN:
+                    yield run
+                    run, size = [], 0
+        yield run
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts, committed run by run."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        for run in self._runs(texts):
+            known = self.words.turn()
+            new = set().union(*(units for _, units in run)).difference(known)
+            unseen = [u for u in new if not self.words.again(u)]
+            for k, ids in self.walk([u.replace(" ", MARK) for u in unseen]):
+                u = unseen[k]
+                known[u] = known[u] + ids if u in known else ids
+            for k, units in run:
+                out[k].append(b"".join(map(known.__getitem__, units)))
+            for u in new:
+                if len(u) > 64:
+                    del known[u]
+        return [np.frombuffer(b"".join(parts), np.int32) for parts in out]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        if MARK in text:
-            text = text.replace(MARK, " ")
-        out, words = [], self.words
-        for word in _UNIT.findall(" " + text):
-            got = words.new.get(word)
-            out += self._word(word) if got is None else got
-        return np.array(out, np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes_of, ids)).decode("utf-8", "replace")
@@ -211,17 +342,24 @@ class Pieces:
 
 
 class Memo:
-    """Two generations of remembered ids: what is asked for again outlives the older one."""
+    """Two generations of remembered ids, packed: what is asked for again outlives the older one."""
 
     def __init__(self) -> None:
-        self.new: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def put(self, key: str, ids: list[int]) -> None:
-        if len(key) <= 64:
-            if len(self.new) >= MEMO:
-                self.old, self.new = self.new, {}
-            self.new[key] = ids
+    def turn(self) -> dict[str, bytes]:
+        """The younger generation, which holds at most ``MEMO`` units before a run."""
+        if len(self.new) > MEMO:
+            self.old, self.new = self.new, {}
+        return self.new
+
+    def again(self, unit: str) -> bool:
+        """Takes a unit over from the older generation, if it is there."""
+        ids = self.old.get(unit)
+        if ids is not None:
+            self.new[unit] = ids
+        return ids is not None
 
 
 _loaded: dict[bytes, Pieces] = {}
@@ -249,16 +387,29 @@ def encode(documents: DataFrame, text: str = "text", model: str = MODEL, out: st
         p = _pieces(shared)
         for s in parts:
             for i in range(0, len(s), 500):  # ids leave in small batches
-                yield pd.Series([None if t is None else p.encode(t) for t in s.iloc[i : i + 500]], dtype=object)
+                own = s.iloc[i : i + 500]
+                got = p.encode_all([t or "" for t in own])
+                yield pd.Series([None if t is None else g for t, g in zip(own, got)], dtype=object)
 
     return documents.withColumn(out, ids.asNondeterministic()(text))
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL, out: str = "decoded") -> DataFrame:
-    """Add the text of a column of ids, in the JVM: the bytes of each piece, joined.  Ids outside the vocabulary add nothing."""
+    """Add the text of a column of ids, in the JVM.  Ids outside the vocabulary add nothing.
+
+    The texts of the pieces are joined; where some are bytes of characters
+    beyond ASCII, the bytes of all pieces are.
+    """
     with open(model, "rb") as f:
         p = Pieces(f.read())
-    table = F.split(F.lit(",".join(p.bytes_of(i).hex() for i in range(len(p.text)))), ",")
-    joined = F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
-    text = F.make_valid_utf8(F.unhex(joined).cast("string"))
-    return encoded.withColumn(out, F.when(text.startswith(" "), F.substring(text, F.lit(2), F.length(text))).otherwise(text))
+    raw = [p.bytes_of(i) for i in range(len(p.text))]
+    if any(c in t for t in p.text for c in _PRIVATE):
+        raise ValueError("pieces hold the characters that mark entries here")
+    part = [_PRIVATE[1] if p.kind[i] == 6 and b[0] > 127 else b.decode("utf-8") for i, b in enumerate(raw)]
+    texts, hexes = F.split(F.lit(_PRIVATE[0].join(part)), _PRIVATE[0], -1), F.split(F.lit(",".join(b.hex() for b in raw)), ",", -1)
+    joined, text = (free(encoded, f"__{n}") for n in ("joined", "text"))
+    # columns of their own, so that each is computed once
+    df = encoded.withColumn(joined, F.array_join(F.transform(ids, lambda i: F.get(texts, i)), ""))
+    by_bytes = F.make_valid_utf8(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), "")).cast("string"))
+    df = df.withColumn(text, F.when(F.contains(joined, F.lit(_PRIVATE[1])), by_bytes).otherwise(F.col(joined)))
+    return df.withColumn(out, F.when(F.startswith(text, F.lit(" ")), F.substring(F.col(text), F.lit(2), F.length(text))).otherwise(F.col(text))).drop(joined, text)

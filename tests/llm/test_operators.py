@@ -148,17 +148,79 @@ def test_pieces_equal_the_library(real):
         assert p.decode(ids) == t
 
 
-def test_pieces_commit_early():
+@pytest.fixture(scope="module")
+def vocabulary():
     with open(pieces.MODEL, "rb") as f:
-        p = pieces.Pieces(f.read())
-    runs = list(p.walk("theinrsoa" * 200))
-    assert len(runs) > 5 and "".join(x for r in runs for x in r) == "theinrsoa" * 200
+        return pieces.Pieces(f.read())
+
+
+def test_pieces_commit_early(real, vocabulary, monkeypatch):
+    """Ordinary text, given whole and without the memo, is committed in many small runs from a window that stays small."""
+    import sentencepiece
+
+    p, sp = vocabulary, sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    held, window = [], p._window
+    monkeypatch.setattr(p, "_window", lambda parts, *a: held.append(max(map(len, parts))) or window(parts, *a))
+    texts = ["theinrsoa" * 200, *[r.text for r in real.orderBy("doc_id").limit(12).collect()]]
+    runs = collections.defaultdict(list)
+    for k, ids in p.walk([(" " + t).replace(" ", pieces.MARK) for t in texts]):
+        runs[k].append(np.frombuffer(ids, np.int32))
+    for k, t in enumerate(texts):
+        assert np.concatenate(runs[k]).tolist() == sp.encode(t)
+        assert max(map(len, runs[k])) <= 4 * p.longest and len(runs[k]) > len(t) / (8 * p.longest)
+    assert max(held) <= 4 * p.longest
+
+
+def test_pieces_window_doubles_where_paths_part(vocabulary, monkeypatch):
+    import sentencepiece
+
+    meet, seen = vocabulary._meet, []
+    monkeypatch.setattr(vocabulary, "_meet", lambda come, size: seen.append(size) or (meet(come, size) if size >= 16 * vocabulary.longest else 0))
+    text = "theinrsoa" * 120
+    got = np.frombuffer(b"".join(ids for _, ids in vocabulary.walk([pieces.MARK + text])), np.int32)
+    assert got.tolist() == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(text)
+    assert {4 * vocabulary.longest, 8 * vocabulary.longest, 16 * vocabulary.longest} <= set(seen)
 
 
-def test_pieces_odd(spark, odd, empty):
+def test_stable_pairs_brute_force(vocabulary):
+    """The merge rules run on both pieces at once."""
+    p, rng = vocabulary, random.Random(2)
+    ids = [i for t, i in p.id.items() if len(t) < 6]
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(3000)] + [(p.id[t[:k]], p.id[t[k:]]) for t in list(p.id)[3000:4000] for k in range(1, len(t)) if t[:k] in p.id and t[k:] in p.id]
+
+    def merged(text):
+        s = list(text)
+        while True:
+            best = min(((p.rank[a + b], k) for k, (a, b) in enumerate(zip(s, s[1:])) if a + b in p.rank), default=None)
+            if best is None:
+                return s
+            s[best[1] : best[1] + 2] = ["".join(s[best[1] : best[1] + 2])]
+
+    got = p.stays(*np.array(pairs, np.int64).T)
+    assert got.tolist() == [merged(p.text[a] + p.text[b]) == [p.text[a], p.text[b]] for a, b in pairs]
+
+
+def test_pieces_odd(spark, odd, empty, monkeypatch):
     out = pieces.decode(pieces.encode(odd)).collect()
     assert all(r.decoded == r.text for r in out) and [r.ids for r in out if r.doc_id == 3] == [[]]
     assert pieces.encode(empty).count() == 0
+    named = pieces.encode(odd.withColumn("ids", F.lit("mine")).withColumn("__joined", F.lit(1)), out="pieces")
+    assert {r.ids for r in named.collect()} == {"mine"} and pieces.decode(named, ids="pieces").where("not decoded <=> text or __joined <> 1").count() == 0
+    few = spark.createDataFrame([([5, 10**6, -1],), (None,)], "ids array<int>")
+    assert pieces.decode(few).where("ids is null and decoded is not null").count() == 0
+
+
+def test_pieces_over_run_ends(vocabulary, monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    monkeypatch.setattr(pieces, "RUN", 37)
+    monkeypatch.setattr(pieces, "MEMO", 5)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aeiou  \nxyz漢🎉.▁") for _ in range(rng.randint(0, 300))) for _ in range(40)]
+    assert [x.tolist() for x in vocabulary.encode_all(texts)] == [sp.encode(t) for t in texts]
+    monkeypatch.setattr(vocabulary, "cuts", False)
+    assert [x.tolist() for x in vocabulary.encode_all(texts)] == [sp.encode(t) for t in texts]
 
 
 # --- SimHash
