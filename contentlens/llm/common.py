@@ -24,6 +24,11 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """The columns of df that xxhash64 takes."""
+    return [f.name for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+
+
 _own: list[str] = []
 
 

@@ -13,9 +13,15 @@ Sizes are words.  Sources by code point, null last, weigh ``weights`` in turn
 and share all words; a target stops at ``most`` times its source's size, and
 the excess is shared again by weight until none is above.
 
+However many sources there are, they stay a table: they are numbered by ranges,
+the common level of the targets is found by sums over them, and each draws its
+slots in a task.  The driver sees a few sums.
+
 Defined cases: a null or empty text has size 0 and is never taken; an empty
 table gives an empty mix; repeated rows are documents of their own; rows with a
-null id take part like any other; extra columns pass through ``mixed_documents``.
+null id take part like any other; extra columns pass through ``mixed_documents``
+(of any type, and whatever their names; rows that differ only in columns of
+types without a hash may change places between runs).
 """
 
 from __future__ import annotations
@@ -24,63 +30,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import WORD, materialise, words
+from contentlens.llm.common import WORD, free, hashable, materialise, shuffle_partitions, words
 
 WEIGHTS, MOST, BLOCK, SHARDS = (5.0, 2.0, 1.0), 3, 128, 64
-#: Hash buckets by which a source's documents are put in order, so that a window holds a small share of a source.
-BUCKETS = 1024
+#: Rows of a source that one window puts in order, about: the number of hash ranges follows the table.
+WINDOW = 1 << 20
 #: Slot numbers that one row of the plan unfolds to.
 CHUNK = 8192
 
 
-_KEY = ("doc_id", "text", "source", "lang", "n_chars")
-
-
-def sizes(documents: DataFrame) -> DataFrame:
-    """Documents without text: a hash of the row, source and size in words."""
-    key = F.xxhash64(*[c for c in _KEY if c in documents.columns])
-    return documents.select("doc_id", "source", key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-
-
-def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> list[tuple]:
-    """(source, source_no, source_size, target) of each source, in order: one row a source, never a row a document."""
-    got = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
-    rows = sorted(((r["source"], int(r["n"] or 0)) for r in got), key=lambda r: (r[0] is None, r[0] or ""))
-    share = water_fill([n for _, n in rows], [weights[i % len(weights)] for i in range(len(rows))], most)
-    return [(s, i, n, float(t)) for i, ((s, n), t) in enumerate(zip(rows, share))]
-
-
-def water_fill(size: list[int], weight: list[float], most: float) -> list[float]:
-    """Targets that share sum(size) by weight, none above most * size."""
-    total, fixed = float(sum(size)), {}
+def sizes(documents: DataFrame, row: str) -> DataFrame:
+    """Documents without text: row, doc_id, source, size in words, and two hashes of the row that put it in order."""
+    columns = [F.col(f"`{c}`") for c in hashable(documents) if c != row]
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return documents.select(F.col(row).alias("row"), "doc_id", "source", size.alias("size"), *[F.xxhash64(*columns, F.lit(k)).alias(f"h{k}") for k in (1, 2)])
+
+
+def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """source, source_no, source_size and target of each source."""
+    order = F.asc_nulls_last("source")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    dealt = totals.repartitionByRange(shuffle_partitions(sized.sparkSession), order).withColumn("part", F.spark_partition_id())
+    dealt = materialise(dealt)
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    no = F.row_number().over(W.partitionBy("part").orderBy(order)) - 1
+    numbered = dealt.withColumn("no", no).join(F.broadcast(counts.select("part", before.alias("before"))), "part")
+    number = (F.col("no") + F.col("before")).cast("int")
+    weight = F.get(F.array(*map(F.lit, map(float, weights))), F.pmod(number, F.lit(len(weights))))
+    rows = materialise(numbered.select("source", number.alias("source_no"), "source_size", weight.alias("weight")))
+    level = water_level(rows, most)
+    target = F.least(most * F.col("source_size").cast("double"), F.lit(level) * F.col("weight"))
+    return rows.select("source", "source_no", "source_size", target.alias("target"))
+
+
+def water_level(rows: DataFrame, most: float) -> float:
+    """The level at which the least of level * weight and most * source_size, summed over the sources, gives all words."""
+    total, weight = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, full = float(total or 0) / weight if weight else 0.0, 0
     while True:
-        free = [i for i in range(len(size)) if i not in fixed]
-        left, w = total - sum(fixed.values()), sum(weight[i] for i in free)
-        over = {i: most * size[i] for i in free if left * weight[i] / w > most * size[i]}
-        if not over:
-            return [fixed[i] if i in fixed else left * weight[i] / w for i in range(len(size))]
-        fixed |= over
+        cap = most * F.col("source_size").cast("double")
+        over = cap < F.lit(level) * F.col("weight")
+        n, fixed, left = rows.agg(F.count_if(over), F.sum(F.when(over, cap)), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == full or not left:
+            return level
+        level, full = (total - fixed) / left, n
 
 
 def pack(sized: DataFrame, seed: int) -> DataFrame:
     """Adds start: a document holds [start, start + size) of its source's stream; null for size 0.
 
-    The stream follows a seeded hash: first its bucket, then the rank in the
-    bucket, so that no window holds more than one bucket of one source.
+    The stream follows a seeded hash: first its highest bits, then its rank
+    among those that share them, so that no window holds much of a source.
     """
-    h = F.xxhash64("key", F.lit(seed))
-    rows = sized.withColumn("h", h).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(BUCKETS)))
+    bits = max(10, (sized.count() // WINDOW).bit_length())
+    h = F.xxhash64("h1", F.lit(seed))
+    rows = sized.withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
     totals = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
     offset = F.coalesce(F.sum("n").over(W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = totals.select("source_no", "bucket", offset.alias("offset"))
-    inner = F.coalesce(F.sum("size").over(W.partitionBy("source_no", "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum("size").over(W.partitionBy("source_no", "bucket").orderBy("h", "h2", "row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     packed = rows.withColumn("inner", inner).join(offsets, ["source_no", "bucket"])
     start = F.when(F.col("size") > 0, F.col("inner") + F.col("offset"))
-    return packed.select("doc_id", "key", "source_no", "source_size", "target", "size", start.alias("start"))
+    return packed.select("row", "doc_id", "source_no", "source_size", "target", "size", start.alias("start"))
 
 
 def permute(i: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -134,19 +150,19 @@ def slots_for(words: int, size: int, block: int, seed: int, no: int) -> tuple[in
     return epochs * n + k, left - have
 
 
-def plan(spark: SparkSession, target: list[tuple], seed: int, block: int, shards: int) -> DataFrame:
+def plan(sources: DataFrame, seed: int, block: int, shards: int) -> DataFrame:
     """Slots of the mix: shard, source_no, slot (number k in its source), epoch, block_no, upto (words of the block that it takes at most)."""
-    rng, draws = np.random.default_rng(seed), []
-    for _, no, size, aim in target:
-        n = -(-size // block)
-        k, cut = slots_for(round(aim), size, block, seed, no)
-        count = rng.multinomial(k, np.full(shards, 1 / shards))
-        first = 0
-        for shard, c in enumerate(count.tolist()):
-            if c:
-                draws.append((no, shard, n, first, c, k - 1, cut))
-            first += c
-    counts = spark.createDataFrame(draws, "source_no int, shard int, blocks long, first long, many long, last long, cut long")
+    parts = shuffle_partitions(sources.sparkSession)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            draws = []
+            for no, size, aim in b[["source_no", "source_size", "target"]].itertuples(index=False):
+                k, cut = slots_for(round(aim), int(size), block, seed, int(no))
+                count = np.random.default_rng([seed, int(no)]).multinomial(k, np.full(shards, 1 / shards))
+                first = np.cumsum(count) - count
+                draws += [(no, shard, -(-size // block), first[shard], count[shard], k - 1, cut) for shard in np.flatnonzero(count)]
+            yield pd.DataFrame(draws, columns=["source_no", "shard", "blocks", "first", "many", "last", "cut"]).astype("int64")
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -158,9 +174,11 @@ def plan(spark: SparkSession, target: list[tuple], seed: int, block: int, shards
                     number[own] = permute(k[own] % n, n, _seed(seed, no, int(epoch)))
                 yield pd.DataFrame({"shard": shard, "source_no": no, "slot": k, "epoch": k // n, "block_no": number, "upto": np.where(k == last, cut, block)})
 
+    kind = "source_no int, shard int, blocks long, first long, many long, last long, cut long"
+    counts = sources.where("source_size > 0").select("source_no", "source_size", "target").repartition(parts, "source_no").mapInPandas(draw, kind)
     starts = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("many") - 1, F.lit(CHUNK)))
     chunks = counts.withColumn("lo", starts).withColumn("hi", F.least(F.col("lo") + CHUNK, F.col("first") + F.col("many")))
-    spread = chunks.repartition("source_no", "shard", "lo")
+    spread = chunks.repartition(parts, "source_no", "shard", "lo")
     return spread.mapInPandas(slots, "shard int, source_no int, slot long, epoch int, block_no long, upto long")
 
 
@@ -170,20 +188,18 @@ def pieces(packed: DataFrame, block: int) -> DataFrame:
     cut = packed.where("start is not null").withColumn("block_no", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     lo = F.greatest(F.col("block_no") * block - F.col("start"), F.lit(0))
     hi = F.least((F.col("block_no") + 1) * block - F.col("start"), F.col("size"))
-    return cut.select("doc_id", "key", "source_no", "start", "size", "block_no", lo.alias("lo"), hi.alias("hi"))
+    return cut.select("row", "source_no", "start", "size", "block_no", lo.alias("lo"), hi.alias("hi"))
 
 
-def mix(documents: DataFrame, seed: int = 11, block: int = BLOCK, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> tuple[DataFrame, DataFrame]:
-    """(packed, taken): all documents in their streams; and the pieces that the mix takes, with shard, slot and epoch."""
-    spark = documents.sparkSession
-    sized = materialise(sizes(documents))
-    target = targets(sized, weights, most)
-    by = spark.createDataFrame(target, "_source string, source_no int, source_size long, target double")
-    # broadcast: one row a source
-    named = sized.join(F.broadcast(by), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+def mix(sized: DataFrame, seed: int = 11, block: int = BLOCK, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> tuple[DataFrame, DataFrame]:
+    """(packed, taken): all documents in their streams; and the pieces that the mix takes, with shard, slot and epoch.  Input: as ``sizes``."""
+    sized = materialise(sized)
+    sources = materialise(targets(sized, weights, most))
+    by = sources.withColumnRenamed("source", "_source")
+    named = sized.join(by, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     packed = materialise(pack(named, seed))
     # the plan's size is not known to the optimiser, which would broadcast it
-    slots = plan(spark, target, seed, block, shards).hint("merge")
+    slots = plan(sources, seed, block, shards).hint("merge")
     got = pieces(packed, block).hint("merge").join(slots, ["source_no", "block_no"])
     upto = F.least("hi", F.col("block_no") * block + F.col("upto") - F.col("start"))
     return packed, got.withColumn("hi", upto).where("lo < hi").drop("upto")
@@ -191,9 +207,10 @@ def mix(documents: DataFrame, seed: int = 11, block: int = BLOCK, shards: int =
 
 def taken(documents: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of every document."""
-    packed, got = mix(documents, **options)
-    amount = got.groupBy("source_no", "start").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
-    out = packed.join(amount, ["source_no", "start"], "left")
+    row = free(documents, "__row")
+    packed, got = mix(sizes(documents.withColumn(row, F.monotonically_increasing_id()), row), **options)
+    amount = got.groupBy("row").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
+    out = packed.join(amount, "row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -203,14 +220,17 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     A document taken whole keeps its text; else the text is its taken words,
     space-joined, in order.  n_chars follows.  Ids repeat, by epoch.
     """
-    packed, got = mix(documents, **options)
-    parts = got.groupBy("key", "source_no", "start", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__parts"))
-    of = parts.groupBy("key").agg(F.collect_list(F.struct("size", "__parts")).alias("__uses")).withColumnRenamed("key", "__key")
-    keyed = documents.withColumn("__key", F.xxhash64(*[c for c in _KEY if c in documents.columns])).dropDuplicates(["__key"])
-    rows = keyed.join(of, "__key").withColumn("__use", F.explode("__uses"))
-    many = F.aggregate("__use.__parts", F.lit(0).cast("long"), lambda n, p: n + p["hi"] - p["lo"])
-    ws = F.array_join(F.flatten(F.transform("__use.__parts", lambda p: F.slice("__words", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
-    whole = many == F.col("__use.size")
-    rows = rows.withColumn("__words", F.when(~whole, words(F.col("text")))).withColumn("text", F.when(whole, F.col("text")).otherwise(ws))
-    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    row, use, ws = (free(documents, f"__{n}") for n in ("row", "use", "words"))
+    # written once: the rows' numbers must be the same where texts meet their uses
+    numbered = materialise(documents.withColumn(row, F.monotonically_increasing_id()))
+    _, got = mix(sizes(numbered, row), **options)
+    uses = got.groupBy("row", "size", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts"))
+    uses = uses.select(F.col("row").alias(row), F.struct("size", "parts").alias(use))
+    rows = numbered.join(uses.hint("merge"), row)
+    many = F.aggregate(f"{use}.parts", F.lit(0).cast("long"), lambda n, p: n + p["hi"] - p["lo"])
+    cut = F.array_join(F.flatten(F.transform(f"{use}.parts", lambda p: F.slice(ws, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
+    whole = many == F.col(f"{use}.size")
+    rows = rows.withColumn(ws, F.when(~whole, words(F.col("text")))).withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    if "n_chars" in documents.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     return rows.select(*[F.col(f"`{c}`") for c in documents.columns])
