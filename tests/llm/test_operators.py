@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -306,6 +307,56 @@ def test_neighbours_brute_force(spark):
         assert [(i, -s) for s, i in best] == found
 
 
+def nearest(rows, is_query, k):
+    """Brute force in exact fractions, so that no magnitude can go wrong."""
+    out = {}
+    for q, v in rows:
+        if is_query(q):
+            got = []
+            for c, w in rows:
+                if c != q and len(v) == len(w):
+                    top = sum(Fraction(x) * Fraction(y) for x, y in zip(v, w))
+                    got.append((-top, c))
+            out[q] = [c for _, c in sorted(got)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("dim,low,high", [(8, -200, 200), (8, 195, 200), (8, -210, -195), (3, 300, 307), (2300, -3, 3), (9, 0, 0)])
+def test_neighbours_of_any_size(spark, monkeypatch, dim, low, high):
+    """Several blocks of queries and candidates, several strips; magnitudes apart by hundreds of digits."""
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(neighbours, "STRIP", 5)
+    monkeypatch.setattr(neighbours, "PAIRS", 64)
+    rng = np.random.default_rng(dim + high + 1000)
+    sizes = [10.0 ** rng.integers(low, high + 1) for _ in range(70)]
+    rows = [(i, (rng.normal(size=dim) * s).tolist()) for i, s in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.search(df, F.col("vec_id") % 6 == 0, 7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    want = nearest(rows, lambda i: i % 6 == 0, 7)
+    assert {q: len(g) for q, g in got.items()} == {q: 7 for q in want}
+    for q, best in want.items():
+        scores = dict(got[q])
+        if all(0 < abs(s) < float("inf") for s in scores.values()):
+            assert [i for i, _ in got[q]] == best
+        else:  # beyond double precision: infinite or zero ones tie, the smaller id first
+            assert [x for _, x in got[q]] == sorted(scores.values(), reverse=True)
+            assert all((s, -i) > (t, -j) for (i, s), (j, t) in zip(got[q], got[q][1:]))
+
+
+def test_neighbours_ties_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 2)
+    df = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(60)], "vec_id long, embedding array<float>")
+    out = neighbours.search(df, F.col("vec_id") % 20 == 0, 9).orderBy("query_id", "rank").collect()
+    for q in (0, 20, 40):
+        own = [-((i % 3) * (q % 3) + 1) for i in range(60)]
+        want = sorted((own[i], i) for i in range(60) if i != q)[:9]
+        assert [(r.vec_id, -r.score) for r in out if r.query_id == q] == [(i, s) for s, i in want]
+
+
 def test_neighbours_odd(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 4)
     nan, inf = float("nan"), float("inf")
@@ -457,10 +508,57 @@ def test_mixing(spark, real):
         assert abs(got[s] - t) < 0.05 * t + 40
 
 
-def test_water_fill():
-    assert mixing.water_fill([100, 100, 100], [5, 2, 1], 3) == pytest.approx([187.5, 75, 37.5])
-    assert mixing.water_fill([10, 500, 490], [5, 2, 1], 3) == pytest.approx([30, 970 * 2 / 3, 970 / 3])
-    assert mixing.water_fill([0, 0], [5, 2], 3) == [0, 0]
+def brute_targets(size, weight, most):
+    total, fixed = float(sum(size)), {}
+    while True:
+        free = [i for i in range(len(size)) if i not in fixed]
+        left, w = total - sum(fixed.values()), sum(weight[i] for i in free)
+        over = {i: most * size[i] for i in free if left * weight[i] / w > most * size[i]}
+        if not over:
+            return [fixed[i] if i in fixed else left * weight[i] / w for i in range(len(size))]
+        fixed |= over
+
+
+def test_targets(spark):
+    assert brute_targets([100, 100, 100], [5, 2, 1], 3) == pytest.approx([187.5, 75, 37.5])
+    assert brute_targets([10, 500, 490], [5, 2, 1], 3) == pytest.approx([30, 970 * 2 / 3, 970 / 3])
+    rng = random.Random(4)
+    for sizes in ([100, 100, 100], [10, 500, 490], [0, 0], [2**i for i in range(30)], [rng.randint(0, 9) ** 5 for _ in range(200)]):
+        names = sorted({f"{rng.choice('aé漢🎉Z')}{i}" for i in range(len(sizes) - 1)}) + [None]
+        rows = [(n, s) for n, s in zip(names, sizes)]
+        rng.shuffle(rows)
+        got = sorted(mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect(), key=lambda r: r.source_no)
+        assert [r.source for r in got] == names and [r.source_no for r in got] == list(range(len(sizes)))
+        assert [r.target for r in got] == pytest.approx(brute_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], 3))
+
+
+def test_mixing_brute_force(spark, real):
+    """Every slot of the plan, played through the streams word by word."""
+    block = 16
+    sized = mixing.sizes(real.withColumn("r", F.monotonically_increasing_id()), "r")
+    packed, got = mixing.mix(sized, block=block)
+    slots = mixing.plan(mixing.targets(sized), 11, block, mixing.SHARDS).collect()
+    streams = collections.defaultdict(dict)
+    for r in packed.collect():
+        for w in range(r.size):
+            assert r.start + w not in streams[r.source_no]
+            streams[r.source_no][r.start + w] = r.row
+    want, order = collections.Counter(), collections.defaultdict(list)
+    for r in slots:
+        order[r.source_no].append(r)
+        for w in range(r.block_no * block, min(r.block_no * block + r.upto, len(streams[r.source_no]))):
+            want[streams[r.source_no][w]] += 1
+    have = collections.Counter()
+    for r in got.collect():
+        have[r.row] += r.hi - r.lo
+    assert have == want
+    for no, own in order.items():
+        own.sort(key=lambda r: r.slot)
+        n = -(-len(streams[no]) // block)
+        assert [r.slot for r in own] == list(range(len(own))) and [r.shard for r in own] == sorted(r.shard for r in own)
+        for e in range(0, len(own), n):
+            assert len({r.block_no for r in own[e : e + n]}) == len(own[e : e + n])
+            assert {r.epoch for r in own[e : e + n]} == {e // n}
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000])
