@@ -94,8 +94,8 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("best", first == 1)
 
 
-@query(f"""WITH {SCORED}, w AS (SELECT i / 20 AS w1, j / 20 AS w2, (20 - i - j) / 20 AS w3 FROM range(21) a(i), range(21) b(j) WHERE i + j <= 20), t AS (SELECT round(0.3 + k * 0.01, 2)::DOUBLE AS threshold FROM range(41) r(k)),
-x AS (SELECT w1, w2, w3, round(round(l1, 2) * w1 + round(l2, 2) * w2 + round(l3, 2) * w3, 4) AS s, y FROM scored, w),
+@query(f"""WITH {SCORED}, w AS (SELECT i / 20 AS w1, j / 20 AS w2, (20 - i - j) / 20 AS w3 FROM range(21) a(i), range(21) b(j) WHERE i + j <= 20), t AS (SELECT round(0.4 + k * 0.01, 2)::DOUBLE AS threshold FROM range(41) r(k)),
+x AS (SELECT w1, w2, w3, l1 * w1 + l2 * w2 + l3 * w3 AS s, y FROM scored, w),
 g AS (SELECT w1, w2, w3, threshold, count(*) FILTER (WHERE s > threshold AND y = 1) AS tp, count(*) FILTER (WHERE s > threshold) AS yes, CAST(sum(y) AS BIGINT) AS p FROM x, t GROUP BY ALL)
 SELECT round(w1, 6) AS w1, round(w2, 6) AS w2, round(w3, 6) AS w3, threshold, round(2 * tp / (yes + p), 6) AS f1 FROM g ORDER BY round(2 * tp / (yes + p), 9) DESC, w3 DESC, w1, threshold LIMIT 10""")
 def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

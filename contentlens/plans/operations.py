@@ -39,7 +39,7 @@ def latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("job_id", "created_at", r6("score").alias("score"))
 
 
-@query(f"WITH {JOBS}, part_ AS (SELECT * FROM results WHERE job_id % 3 <> 0) SELECT jobs.job_id, status, round(score, 6) AS score, part_.job_id IS NOT NULL AS has_result FROM jobs LEFT JOIN part_ USING (job_id)")
+@query(f"WITH {JOBS} SELECT jobs.job_id, status, round(score, 6) AS score, results.job_id IS NOT NULL AS has_result FROM jobs LEFT JOIN results USING (job_id)")
 def jobs_with_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-02: each job, with its result if there is one."""
     r = results(spark, sf_dir).withColumn("hit", F.lit(True))
@@ -122,7 +122,7 @@ def request_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.get(parts, F.lit(0)), F.lit("root")).alias("resource"), F.regexp_replace("url", "[0-9]+", "{id}").alias("template"))
 
 
-@query(f"WITH {JOBS} SELECT user_id, count(*) AS jobs, CAST(coalesce(sum(parts), 0) AS BIGINT) AS results, list(job_id ORDER BY job_id)[1:1000] AS audit FROM jobs LEFT JOIN results USING (job_id) WHERE user_id % 50 = 1 GROUP BY 1")
+@query(f"WITH {JOBS} SELECT user_id, count(*) AS jobs, CAST(coalesce(sum(parts), 0) AS BIGINT) AS results, list(job_id ORDER BY job_id)[1:1000] AS audit FROM jobs LEFT JOIN results USING (job_id) GROUP BY 1")
 def erasure_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-04 D-17: what would be erased for each user with jobs, with at most a thousand audit rows."""
     j = jobs(spark, sf_dir)

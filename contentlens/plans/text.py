@@ -277,16 +277,23 @@ def watermark_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHINGLES = "list_distinct(list_transform(range(1, greatest(length(text) - 2, 1) + 1), lambda i: substr(lower(text), i, 3)))"
 
 
-@query(f"WITH s AS (SELECT item_id, unnest({_SHINGLES}) AS x FROM benchmark) SELECT item_id, CAST(seed AS VARCHAR) AS seed, min(md5(seed || ':' || x)) AS least FROM s, range(16) t(seed) GROUP BY 1, 2")
+#: The md5 of each seed and distinct shingle, numbered in its order within the seed, and the least number of each document.
+_MINHASH = f"""s AS (SELECT doc_id, unnest({_SHINGLES}) AS x FROM documents WHERE text IS NOT NULL),
+v AS (SELECT x, seed, md5(seed || ':' || x) AS least, CAST(row_number() OVER (PARTITION BY seed ORDER BY least) AS INTEGER) AS r FROM (SELECT DISTINCT x FROM s), range(100) t(seed)),
+l AS (SELECT doc_id, seed, min(r) AS r FROM s JOIN v USING (x) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_MINHASH} SELECT doc_id, CAST(seed AS VARCHAR) AS seed, least FROM l JOIN v USING (seed, r)")
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-32: a hundred seeded minima over character shingles of each document."""
     return t.minhash(_docs(spark, sf_dir), "doc_id", "text")
 
 
-@query(f"""WITH s AS (SELECT item_id, unnest({_SHINGLES}) AS x FROM benchmark), m AS (SELECT item_id, seed, min(md5(seed || ':' || x)) AS least FROM s, range(16) t(seed) GROUP BY 1, 2),
-b AS (SELECT item_id, seed // 2 AS band, string_agg(least, ',' ORDER BY CAST(seed AS VARCHAR)) AS k FROM m GROUP BY 1, 2),
-c AS (SELECT DISTINCT x.item_id AS a, y.item_id AS b FROM b x JOIN b y ON x.band = y.band AND x.k = y.k AND x.item_id < y.item_id)
-SELECT c.a, c.b, round(avg(CASE WHEN x.least = y.least THEN 1.0 ELSE 0.0 END), 4) AS similarity FROM c JOIN m x ON x.item_id = c.a JOIN m y ON y.item_id = c.b AND y.seed = x.seed GROUP BY 1, 2""")
+@query(f"""WITH {_MINHASH}, w AS (SELECT doc_id, list(r ORDER BY seed) AS sig FROM l GROUP BY 1), n AS (SELECT min(doc_id) AS name, sig FROM w GROUP BY sig),
+b AS (SELECT name, i AS band, sig[5 * i + 1 : 5 * i + 5] AS k FROM n, range(20) t(i)),
+c AS (SELECT DISTINCT x.name AS a, y.name AS b FROM b x JOIN b y ON x.band = y.band AND x.k = y.k AND x.name < y.name),
+p AS (SELECT a, b, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / 100 AS similarity FROM c JOIN n x ON x.name = a JOIN n y ON y.name = b)
+SELECT name AS a, doc_id AS b, 1.0::DOUBLE AS similarity FROM w JOIN n USING (sig) WHERE name <> doc_id UNION ALL SELECT a, b, similarity FROM p WHERE similarity >= 0.85""")
 def minhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-33 T-34 J-13: documents of one signature, and pairs that share one of 20 bands of 5 and match in at least .85 of their signatures."""
     return t.near_duplicates(_docs(spark, sf_dir), "doc_id", "text")
