@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from contentlens.functions import attacks
 from contentlens.functions import lexicons as lex
 from contentlens.functions import texts as t
 from contentlens.functions.decisions import clip, label_zone
@@ -421,3 +422,30 @@ def back_translation_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.select("doc_id", "score", (passive / F.greatest(F.size("w"), F.lit(1))).alias("p"), (coord / F.greatest(F.size("s"), F.lit(1))).alias("c"))
     adjusted = F.least(F.lit(0.99), F.col("score") + (F.col("p") * 0.5 + F.col("c") * 0.3) * (1 - F.col("score")))
     return d.select("doc_id", F.round("p", 9).alias("passive_rate"), F.round("c", 9).alias("coord_start_rate"), F.round(adjusted, 9).alias("adjusted"))
+
+
+_DRAW = "(('0x' || substr(md5({}), 1, 6))::UBIGINT / 16777216)"
+_SWAPPED = "CASE " + " ".join(f"WHEN lower(w) = '{a}' THEN '{b}'" for a, b in attacks.SYNONYMS.items()) + " ELSE w END"
+_GLYPHED = f"translate(w, '{''.join(attacks.GLYPHS)}', '{''.join(attacks.GLYPHS.values())}')"
+
+
+def _attack_sql(kind: str, draw: str, then: str, share: float) -> str:
+    word = f"(SELECT CASE WHEN w <> '' AND {_DRAW.format(draw)} < {share} THEN {then} ELSE w END)"
+    return f"SELECT doc_id, '{kind}' AS attack, '{{s}}' AS strength, array_to_string(list_transform(w_, lambda w, i: {word}), ' ') AS x FROM w".replace("{s}", next(k for k, v in attacks.STRENGTH.items() if v == share))
+
+
+_ATTACKS = []
+for _s, _v in [("medium", attacks.STRENGTH["medium"])]:
+    _loose = _DRAW.format(f"'run:' || ((i - 1) // {attacks.RUN}) || ':' || length(text)") + f" < {_v}"
+    _placed = f"{{'run': (i - 1) // {attacks.RUN}, 'o': CASE WHEN {_loose} THEN md5((i - 1) || ':' || w) ELSE lpad(CAST(i - 1 AS VARCHAR), 12, '0') END, 'w': w}}"
+    _ATTACKS.append(f"SELECT doc_id, 'shuffle' AS attack, '{_s}' AS strength, array_to_string(list_transform(list_sort(list_transform(w_, lambda w, i: {_placed})), lambda y: y.w), ' ') AS x FROM w")
+    _ATTACKS.append(_attack_sql("synonym", "'synonym:' || (i - 1) || ':' || w", _SWAPPED, _v))
+    _ATTACKS.append(_attack_sql("zwsp", "'blank:' || (i - 1) || ':' || w", "substr(w, 1, 1) || chr(8203) || substr(w, 2)", _v))
+    _ATTACKS.append(_attack_sql("homoglyph", "'glyph:' || (i - 1) || ':' || w", _GLYPHED, _v))
+
+
+@query(f"WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS w_ FROM documents), a AS ({' UNION ALL '.join(_ATTACKS).replace('(SELECT CASE', '(CASE')}) SELECT doc_id, attack, strength, md5(x) AS attacked_md5 FROM a")
+def attacked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-48: each text under each attack of medium strength, as a hash."""
+    some = [F.struct(F.lit(k).alias("attack"), F.lit(s).alias("strength"), F.md5(f(F.col("text"), v).cast("binary")).alias("attacked_md5")) for s, v in [("medium", attacks.STRENGTH["medium"])] for k, f in attacks.ATTACKS.items()]
+    return _docs(spark, sf_dir).select("doc_id", F.explode(F.array(*some)).alias("a")).select("doc_id", "a.attack", "a.strength", "a.attacked_md5")

@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from contentlens.functions import calibration, provenance, texts, udfs
+from contentlens.functions import attacks, calibration, provenance, texts, udfs
 from contentlens.functions.decisions import POLICIES, label_zone, normal_upper_tail, psi_class, trust_state
 
 
@@ -91,8 +91,12 @@ def test_rewrites_are_seeded(spark):
 @pytest.mark.parametrize("kind", ["shuffle", "synonym", "zwsp", "homoglyph"])
 def test_attacks(spark, kind):
     text = "The big show is good. We use the small one and get it. " * 10
-    r = one(spark, [(text,)], "t string", a=udfs.attacked(F.col("t"), F.lit(kind), F.lit("high")))[0].a
-    assert r != text and (kind != "zwsp" or r.replace("​", "") == text)
+    attack = lambda share: one(spark, [(text,), (None,), ("",)], "t string", a=attacks.ATTACKS[kind](F.col("t"), share))
+    high, low = attack(0.9), attack(0.0)
+    assert [r.a for r in low] == [text, None, ""] and [r.a for r in high[1:]] == [None, ""]
+    r = high[0].a
+    assert r != text and (kind != "zwsp" or r.replace("\u200b", "") == text) and (kind != "shuffle" or sorted(r.split(" ")) == sorted(text.split(" ")))
+    assert kind != "homoglyph" or attacks.GLYPHS["a"] in one(spark, [("aeo",)], "t string", a=attacks.swap_glyphs(F.col("t")))[0].a
 
 
 def test_bytes(spark):
