@@ -30,7 +30,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of an edge list (a, b) of longs; root is the smallest node of its component."""
+    """(node, root) for every node of an edge list (a, b) of any ordered type; root is the smallest node of its component."""
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _mark(edges)
     for _ in range(max_rounds if seen[0] else 0):

@@ -8,7 +8,8 @@ the penalty of a parameter.  The prediction is the language with the largest
 proportion, and the proportion its score.
 
 The trigram tables are fitted on a bounded sample of rows for each language
-(``per_language``), by hash of the id.  Scoring covers every whole text, with
+(``per_language``), by hash of the id; every language is learned (beyond
+``LANGUAGES`` of them there is an error, never a silent choice).  Scoring covers every whole text, with
 arrays over many documents at once; a long text is read in parts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
@@ -26,10 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import held_out
+from contentlens.llm.common import free, held_out
 
 BUCKETS = 1 << 15
-PER_LANGUAGE, MAX_LANGUAGES = 300, 200
+PER_LANGUAGE = 300
+#: Languages at most: beyond, an error, as the table of BUCKETS x languages goes to every worker.  Values (word x language) worked on at once, about.
+LANGUAGES, VALUES = 4096, 1 << 24
 #: Rounds of EM for each set of languages, penalty of one more language (times log of the words), characters read at once.
 ROUNDS, PENALTY, PART = 8, 1.0, 1 << 20
 _letters: list[np.ndarray] = []
@@ -54,14 +57,14 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Names and log-probabilities (bucket, language), from about per_language rows of each language outside the held-out fold."""
     known = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    # at most MAX_LANGUAGES names, the most frequent
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    names = sorted(r["lang"] for r in counts)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    names = sorted(r["lang"] for r in counts.select("lang").limit(LANGUAGES + 1).collect())
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     if not names:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    share = F.create_map(*[c for r in counts for c in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) / 1e6 < F.try_element_at(share, F.col("lang"))
-    sample = known.where(drawn)
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) / 1e6 < per_language / F.col("n")
+    sample = known.join(F.broadcast(counts), "lang").where(drawn)  # broadcast: a row a language
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got: dict[str, np.ndarray] = {}
@@ -159,18 +162,19 @@ def mixture(ll: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 def predict(documents: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """Add lang_pred and lang_score to every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(model or fit(documents))  # BUCKETS x MAX_LANGUAGES floats at most
+    shared = documents.sparkSession.sparkContext.broadcast(model or fit(documents))  # BUCKETS x LANGUAGES floats at most
 
     @F.pandas_udf("lang_pred string, lang_score double")
     def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names, logp = shared.value
+        room = max(1 << 12, min(2 * PART, 4 * VALUES // max(1, len(names))))  # characters read at once, of several texts
         for s in parts:
             texts = [t or "" for t in s]
             name, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             step, i = 0, 0
             while i < len(texts) and names:
                 step, size = i, 0
-                while step < len(texts) and (step == i or size + len(texts[step]) <= 2 * PART):
+                while step < len(texts) and (step == i or size + len(texts[step]) <= room):
                     size += len(texts[step])
                     step += 1
                 share = mixture(*word_likelihoods(texts[i:step], logp))
@@ -182,4 +186,5 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray] | None = N
             yield pd.DataFrame({"lang_pred": name, "lang_score": score})
 
     rest = [F.col(f"`{c}`") for c in documents.columns if c not in ("lang_pred", "lang_score")]
-    return documents.withColumn("__guess", guess.asNondeterministic()("text")).select(*rest, "__guess.lang_pred", "__guess.lang_score")
+    both = free(documents, "__guess")
+    return documents.withColumn(both, guess.asNondeterministic()("text")).select(*rest, f"{both}.lang_pred", f"{both}.lang_score")

@@ -9,7 +9,8 @@ labelled rows (``max_train``); scoring covers every whole text.
 Defined cases: a null text scores like the empty text; with no labels, or one
 class only, every score is the (smoothed) share of label 1; ties in the sample
 order fall to the smaller id; repeated label rows of one id count once, with
-the higher label.  Extra columns pass through untouched.
+the higher label.  Extra columns pass through untouched, but for one named as
+a result, which is replaced: name another by ``score`` and ``predicted``.
 """
 
 from __future__ import annotations
@@ -72,6 +73,9 @@ def features(text: str | None, n_chars: float | None) -> tuple[np.ndarray, np.nd
     x = np.fromiter(count.values(), np.float64, len(count))
     if len(x):
         x = np.sqrt(x)
+        # words of one bucket are one feature: the pair term must not count it against itself
+        at, same = np.unique(at, return_inverse=True)
+        x = np.bincount(same, weights=x)
         x /= np.sqrt((x**2).sum())
     return np.concatenate([at, np.arange(BUCKETS, WIDTH)]), np.concatenate([x, np.array(extra, np.float64)])
 
@@ -99,7 +103,6 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = 8, epochs:
             m.bias -= rate * e / np.sqrt(g0)
             dw = e * x + decay * m.linear[at]
             dv = e * (x[:, None] * s - v * (x**2)[:, None]) + decay * v
-            # places may repeat when two words share a bucket: later writes win, which is harmless here
             gw[at] += dw * dw
             gv[at] += dv * dv
             m.linear[at] -= rate * dw / np.sqrt(gw[at])
@@ -139,11 +142,11 @@ def scorer(spark: SparkSession, machine: Machine):
     return score.asNondeterministic()  # keeps Spark from evaluating it twice
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = 3000) -> DataFrame:
-    """Add score (0 to 1) and predicted (1 if score >= threshold) to all documents."""
+def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = 3000, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """Add score (0 to 1) and predicted (1 if score >= threshold) to all documents, under the names given."""
     udf = scorer(documents.sparkSession, fit(documents, labels, max_train))
-    out = documents.withColumn("score", udf("text", F.col("n_chars").cast("double")))
-    return out.withColumn("predicted", _predicted(F.col("score"), threshold))
+    out = documents.withColumn(score, udf("text", F.col("n_chars").cast("double")))
+    return out.withColumn(predicted, _predicted(F.col(score), threshold))
 
 
 def _predicted(score: Column, threshold: float) -> Column:

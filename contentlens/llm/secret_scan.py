@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contentlens.llm.common import free
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -44,7 +46,7 @@ RULES = (
     Rule("hex", r"[0-9a-f]+", 0, 32, True, fast=r"[0-9a-f]{32,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
 )
 _MOST_STRINGS = 32
@@ -138,10 +140,11 @@ def candidates(keyed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds found: array of (kind, start, end), by start, then kind as listed."""
-    docs = documents.withColumn("__t", F.xxhash64("text"))
+    k, t, of, mark, found = (free(documents, f"__{n}") for n in ("kinds", "t", "id", "k", "found"))
+    docs = documents.withColumn(t, F.xxhash64("text"))
     keyed = documents.select("doc_id", F.xxhash64("text").alias("t"), "text").where(F.col("text").isNotNull())
-    may = candidates(keyed, rules).select(F.col("doc_id").alias("__id"), F.col("t").alias("__k"), "kinds")
-    joined = docs.join(may.withColumnRenamed("kinds", "__kinds"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__k")), "left")
+    may = candidates(keyed, rules).select(F.col("doc_id").alias(of), F.col("t").alias(mark), F.col("kinds").alias(k))
+    joined = docs.join(may, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(t) == F.col(mark)), "left")
     full = tuple(r.kind for r in rules if not trigram_query(r))
 
     @F.pandas_udf("array<struct<kind:string,start:int,end:int>>")
@@ -155,4 +158,4 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             yield pd.Series(out, dtype=object)
 
     rest = [F.col(f"`{c}`") for c in documents.columns if c != "found"]
-    return joined.withColumn("__found", verify.asNondeterministic()("text", "__kinds")).select(*rest, F.col("__found").alias("found"))
+    return joined.withColumn(found, verify.asNondeterministic()("text", k)).select(*rest, F.col(found).alias("found"))

@@ -12,10 +12,15 @@ overlaps.  Within a shard the tree goes on, and what is left is compared
 exactly over all 64 bits.  A shard gives a spanning forest of its links, which
 keeps all components; groups of copies are never expanded into pairs.
 
+A fingerprint visits both sides of a node that its ball overlaps, about 28 in
+100 on each of the log2(n / SHARD) levels: it is the price of the method that
+the visits grow as n to the power 1.36.  What one shard is home to does not grow.
+
 Defined cases: a null text counts as empty; texts without words have the
 fingerprint zero and link like any other; repeated rows share a class; rows
 with a null id join classes but never name one (a class of such rows only has
-a null component_id); an empty table gives an empty result.
+a null component_id); an empty table gives an empty result; ids can be of any
+type that has an order; extra columns pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -30,14 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from contentlens.llm.common import materialise
+from contentlens.llm.common import free, materialise
 from contentlens.llm.components import components
 
 RADIUS, HALF_RADIUS, SHINGLE = 3, 1, 3
 #: Distinct fingerprints that a shard is home to, the most sampled to fit the top of a tree, and the size at which search stops splitting.
 SHARD, SAMPLE, LEAF = 4096, 1 << 16, 512
-#: The top of a tree has at most 2 ** MAX_DEPTH shards, which bounds what is broadcast; beyond that shards grow and their own trees go deeper.
-MAX_DEPTH = 16
+#: Levels of a tree that are fitted to the sample, which bounds what is broadcast; deeper nodes take their vantage points from a hash of their number.
+FITTED, MIDDLE = 16, 15
 _BLOCK = 1 << 16
 
 
@@ -103,12 +108,21 @@ def fit_tree(sample: np.ndarray, depth: int, seed: int = 1) -> np.ndarray:
     return nodes
 
 
+def node(nodes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vantage points and radii of nodes, by number."""
+    mixed = at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+    inner = np.minimum(at, len(nodes) - 1)
+    fitted = at < len(nodes)
+    return np.where(fitted, nodes[inner, 0], mixed.astype(np.int64)).astype(np.uint32), np.where(fitted, nodes[inner, 1], MIDDLE)
+
+
 def place(half: np.ndarray, nodes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shard, home) for the home shard of each row and for all that its ball overlaps."""
     row, at, home = np.arange(len(half)), np.ones(len(half), np.int64), np.ones(len(half), bool)
     for _ in range(depth):
-        d = np.bitwise_count(half[row] ^ nodes[at, 0].astype(np.uint32)).astype(np.int64)
-        m = nodes[at, 1]
+        v, m = node(nodes, at)
+        d = np.bitwise_count(half[row] ^ v).astype(np.int64)
         to_in, to_out = d - HALF_RADIUS <= m, d + HALF_RADIUS > m
         row = np.concatenate([row[to_in], row[to_out]])
         home = np.concatenate([(home & (d <= m))[to_in], (home & (d > m))[to_out]])
@@ -158,9 +172,9 @@ def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, in
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all fingerprints within RADIUS bits; input: a column fp of distinct fingerprints."""
     spark, n = distinct.sparkSession, distinct.count()
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(n, 1) / SHARD))))
+    depth = max(0, math.ceil(math.log2(max(n, 1) / SHARD)))
     sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE if depth else 1).collect()], np.int64)
-    trees = spark.sparkContext.broadcast([fit_tree(_half(sample, w), depth, w + 1) if depth else None for w in (0, 1)])
+    trees = spark.sparkContext.broadcast([fit_tree(_half(sample, w), min(depth, FITTED), w + 1) for w in (0, 1)])
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -178,18 +192,35 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(pairs, "a long, b long")
 
 
+def _rooted(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(marked, named): doc_id, fp and two hashes of id and text for each row; and fp, root (nameless, id, fp) for each fingerprint.
+
+    Fingerprints are ordered by the least id of their documents, so the root of
+    a component holds its name and nothing is joined by class.  Those of rows
+    with null ids only come after all ids.
+    """
+    key = [F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull(), F.lit(k)).alias(f"k{k}") for k in (1, 2)]
+    marked = materialise(documents.select("doc_id", fingerprints("text").alias("fp"), *key))
+    own = marked.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    distinct = materialise(own.select("fp", F.struct(F.col("id").isNull().alias("nameless"), "id", "fp").alias("node")))
+    node = lambda c: distinct.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}"))
+    edges = links(distinct).join(node("a"), "a").join(node("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    roots = components(edges)
+    return marked, distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+
+
 def classes(documents: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
-    marked = materialise(documents.select("doc_id", fingerprints("text").alias("fp")))
-    distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(named.select("fp", "root"), "fp").join(least, "root").select("doc_id", "fp", "component_id")
+    marked, named = _rooted(documents)
+    return marked.join(named, "fp").select("doc_id", "fp", F.col("root.id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The document that names its class; of repeated rows one.  Of rows with a null id, each text of a nameless class stays once."""
-    first = classes(documents).select(F.col("component_id").alias("__keep")).distinct()
-    kept = documents.join(first, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.withColumn("__t", F.xxhash64("text")).dropDuplicates(["doc_id", "__t"]).drop("__t")
+    """One row of each class, with all columns: the one least by id, nulls last, then by a hash of id and text."""
+    marked, named = _rooted(documents)
+    first = marked.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("f"))
+    k1, k2 = (free(documents, n) for n in ("__k1", "__k2"))
+    keys = first.select(F.col("f.k1").alias(k1), F.col("f.k2").alias(k2))
+    rows = documents.withColumns({n: F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull(), F.lit(k)) for k, n in ((1, k1), (2, k2))})
+    kept = rows.join(keys, [k1, k2], "left_semi").dropDuplicates([k1, k2])
+    return kept.select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -93,6 +93,30 @@ def test_machine_pairs():
     assert m.score(at, x) == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def test_features_are_summed_by_place():
+    words = [f"w{i}" for i in range(3000)]
+    places = collections.defaultdict(list)
+    for w in words:
+        places[zlib.crc32(w.encode()) % quality.BUCKETS].append(w)
+    a, b = next(v for v in places.values() if len(v) > 1)[:2]
+    at, x = quality.features(f"{a} {b} {b} other", None)
+    assert len(set(at.tolist())) == len(at) and (x[at < quality.BUCKETS] ** 2).sum() == pytest.approx(1)
+
+
+def test_quality_query_brute_force(spark):
+    """The query's scores, by a double loop over pairs of features of the fitted machine."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    m = quality.fit(d, spark.read.parquet(f"{SF}/labels.parquet"))
+    out = {r.doc_id: r for r in registry.op2_quality_classifier(spark, SF).collect()}
+    for r in d.orderBy(F.length("text")).limit(25).collect():
+        at, x = quality.features(r.text, r.n_chars)
+        z = m.bias + sum(m.linear[i] * v for i, v in zip(at, x))
+        z += sum(float(m.factors[at[i]] @ m.factors[at[j]]) * x[i] * x[j] for i in range(len(at)) for j in range(i))
+        score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        assert out[r.doc_id].score == pytest.approx(score, abs=1e-9) and out[r.doc_id].predicted == int(score >= 0.3)
+        assert out[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_quality_odd(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = quality.score_documents(odd.withColumn("score", F.lit("x")), none).collect()
@@ -122,6 +146,51 @@ def test_language_mixture(spark, real):
     assert share[1][names.index("en")] > 0.9 and share[2].sum() == 0
 
 
+def test_language_brute_force(spark, real):
+    """EM and the choice of languages, by loops over words."""
+    names, logp = language.fit(real)
+    texts = [r.text[:600] for r in real.orderBy("doc_id").limit(12).collect()]
+    texts += [texts[0][:200] + " " + texts[5][:200], "a", ""]
+    got = language.mixture(*language.word_likelihoods(texts, logp))
+
+    def em(words, allowed):
+        pi = [1 / len(allowed) if k in allowed else 0.0 for k in range(len(names))]
+        for _ in range(language.ROUNDS):
+            sums = [0.0] * len(names)
+            for w in words:
+                r = [p * x for p, x in zip(pi, w)]
+                for k in range(len(names)):
+                    sums[k] += r[k] / sum(r)
+            pi = [x / len(words) for x in sums]
+        return pi, sum(np.log(sum(p * x for p, x in zip(pi, w)) + 1e-300) for w in words)
+
+    for t, share in zip(texts, got):
+        ll, many = language.word_likelihoods([t], logp)
+        assert many[0] == len(re.findall(r"[^\W\d_]+", t)) or not t.isascii()
+        if not many[0]:
+            assert share.sum() == 0
+            continue
+        words = np.exp(np.maximum(ll - ll.max(1, keepdims=True), -60)).astype(float).tolist()
+        allowed = list(range(len(names)))
+        pi, fit = em(words, allowed)
+        while len(allowed) > 1:
+            fewer = [k for k in allowed if k != min(allowed, key=lambda k: pi[k])]
+            less_pi, less = em(words, fewer)
+            if fit - less >= language.PENALTY * np.log(many[0] + 1.0):
+                break
+            allowed, pi, fit = fewer, less_pi, less
+        assert share == pytest.approx(pi, abs=1e-4)
+
+
+def test_language_learns_every_language(spark):
+    """More languages than there once was room for."""
+    rng = random.Random(3)
+    letters = [chr(0x4E00 + i) for i in range(900)]
+    rows = [(10 * k + j, " ".join("".join(rng.choice(letters[3 * k : 3 * k + 3]) for _ in range(3)) for _ in range(5)), f"l{k:03}", "s") for k in range(230) for j in range(3)]
+    out = language.predict(docs(spark, rows)).collect()
+    assert len({r.lang_pred for r in out}) == 230 and np.mean([r.lang == r.lang_pred for r in out]) > 0.99
+
+
 def test_language_odd(spark, odd, empty):
     out = {(r.doc_id, r.text): r for r in language.predict(odd.withColumn("lang_pred", F.lit(1))).collect()}
     assert out[2, None].lang_pred == "und" and out[2, None].lang_score == 0
@@ -273,6 +342,7 @@ def test_vantage_points_lose_no_link(spark, monkeypatch):
             fps[len(fps)] = f
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(signed(f),) for f in set(fps.values())], "fp long")
+    monkeypatch.setattr(simhash, "FITTED", 2)  # most levels are beyond the fitted ones
     roots = {r.node: r.root for r in components(simhash.links(df)).collect()}
     want = brute_classes(fps)
     groups = collections.defaultdict(set)
@@ -290,6 +360,14 @@ def test_simhash_odd(spark, odd, empty):
     kept = simhash.keep_one(odd).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 2, 5, 6, 8]
     assert simhash.classes(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    # nameless rows never keep or lose a named one; one row of a nameless class stays
+    many = " ".join(f"v{i}" for i in range(400))
+    rows = [(None, many, "en", "a"), (None, many.upper(), "en", "b"), (None, "other words are here", "en", "a"), (9, "other words are here", "en", "b"), (9, many[::-1], "en", "c")]
+    kept = simhash.keep_one(docs(spark, rows)).collect()
+    by = collections.Counter(r.doc_id for r in kept)
+    assert by == {None: 1, 9: 2} and {r.text for r in kept if r.doc_id == 9} == {"other words are here", many[::-1]}
+    texts = simhash.classes(odd.withColumn("doc_id", F.col("doc_id").cast("string"))).collect()
+    assert {r.component_id for r in texts if r.doc_id in ("1", "7")} == {"1"}
 
 
 # --- nearest neighbours
@@ -387,6 +465,32 @@ def test_secrets_brute_force(spark, real):
     assert [x.kind for x in secret_scan.scan(d.where("doc_id = 10008")).first().found] == ["github"]
 
 
+def test_secret_query_brute_force(spark, real, tmp_path):
+    jwt = "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 20
+    extra = ["é password: 'abcdefgh1' " + "f" * 40, "AKIA" + "A" * 20 + " secret=0123456789abcdef0123456789abcdef", "x " + jwt, "-----BEGIN RSA PRIVATE KEY-----", "xoxb-1234567890ab ghp_" + "Z" * 36, None, "", "_" + jwt]
+    real.unionByName(docs(spark, [(10_000 + i, t, "en", "s") for i, t in enumerate(extra)])).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in registry.op7_secret_scan(spark, str(tmp_path)).collect()}
+    for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect():
+        base = brute_spans(r.text or "")
+        got = out[r.doc_id]
+        assert (got.n_assign, got.n_access, got.n_hex) == tuple(sum(k == kind for k, *_ in base) for kind in ("assign", "access", "hex"))
+        assert got.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        spans = [tuple(x.split(":")) for x in got.spans.split(",")] if got.spans else []
+        assert [(k, int(s), int(e)) for k, s, e in spans if k in ("assign", "access", "hex")] == base and [int(s) for _, s, _ in spans] == sorted(int(s) for _, s, _ in spans)
+    kinds = lambda i: {x.split(":")[0] for x in out[10_000 + i].spans.split(",")}
+    assert "jwt" in kinds(2) and "pem" in kinds(3) and {"slack", "github"} <= kinds(4) and out[10_006].spans == "" and kinds(7) == {""}
+
+
+def test_secret_rules_are_linear():
+    import time
+
+    for rule in secret_scan.RULES:
+        for text in ("eyJ" * 200_000, "password" * 70_000, "AKIA" * 100_000, "xoxb-" * 100_000, "-----BEGIN " * 50_000, "secret" + " " * 300_000):
+            began = time.process_time()
+            secret_scan.find(rule, text)
+            assert time.process_time() - began < 5, (rule.kind, text[:12])
+
+
 def test_trigram_queries():
     by = {r.kind: secret_scan.trigram_query(r) for r in secret_scan.RULES}
     assert by["hex"] == [] and by["access"] == [{"aki", "kia"}]
@@ -417,6 +521,68 @@ def test_order_minhash_edits(spark, real):
     assert all(len(s) == 1 for s in same.values())
 
 
+def brute_signature(text):
+    """{bin: texts of the selected k-mers in text order}: as the operator selects, from plain lists; and how many bits of a hash order k-mers."""
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def longs(*xs):  # Spark's xxhash64 of several longs
+        h = 42
+        for x in xs:
+            h = xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), h)
+        return signed(h)
+
+    def mixed(h, i):  # of a long and an int
+        return signed(xxhash.xxh64_intdigest(int(i).to_bytes(4, "little", signed=True), xxhash.xxh64_intdigest(int(h).to_bytes(8, "little", signed=True), 42)))
+
+    ws = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    h = [longs(*ws[i : i + 2]) for i in range(max(len(ws) - 1, min(len(ws), 1)))]
+    low = fingerprints._PLACES
+    seen, ranked = collections.Counter(), []
+    for i, x in enumerate(h):
+        k = seen[x >> low]
+        seen[x >> low] += 1
+        top = x >> low if k == 0 else mixed(x >> low, k) >> low
+        ranked.append((top, i))
+    bins = collections.defaultdict(list)
+    for top, i in sorted(ranked):
+        if len(bins[top >> 64 - fingerprints.BIN_BITS - low]) < fingerprints.PICK:
+            bins[top >> 64 - fingerprints.BIN_BITS - low].append(i)
+    sig = {(b & (1 << fingerprints.BIN_BITS) - 1) << 26 | (longs(*[h[i] for i in sorted(own)]) & 2**64 - 1) >> 38 for b, own in bins.items()}
+    return "".join(f"{x:08x}" for x in sorted(sig)), sig
+
+
+def test_order_minhash_brute_force(spark, real):
+    text = {r.doc_id: r.text for r in real.collect()}
+    ids = sorted(text, reverse=True)
+    out = {r.doc_id: r for r in registry.op8_order_minhash(spark, SF).collect()}
+
+    def near(a, b):
+        used = {x >> 26 for x in a | b}
+        return len(a & b) / len(used) if used else 1.0
+
+    for k, n in zip(ids, ids[1:] + ids[:1]):
+        half = len(text[k]) // 2
+        own, other, edited = (brute_signature(t) for t in (text[k], text[n], text[k][: len(text[k]) - half] + text[n][:half]))
+        assert (out[k].fingerprint, out[k].edited_fingerprint) == (own[0], edited[0])
+        assert (out[k].near_edited, out[k].near_next) == (near(own[1], edited[1]), near(own[1], other[1]))
+
+
+def test_order_minhash_null_ids_in_buckets(spark, monkeypatch):
+    rows = [(i, f"text {i}", None, None) for i in range(40)] + [(None, f"nameless {i}", None, None) for i in range(60)]
+    for some in (rows, rows[40:], rows[:40]):
+        df = docs(spark, some)
+        monkeypatch.setattr(fingerprints, "BUCKET", 2000)
+        want = sorted(map(tuple, fingerprints.fingerprint_edits(df).collect()), key=repr)
+        monkeypatch.setattr(fingerprints, "BUCKET", 3)
+        assert sorted(map(tuple, fingerprints.fingerprint_edits(df).collect()), key=repr) == want
+        far = df.withColumn("doc_id", F.col("doc_id") + F.lit(2**62))  # beyond what doubles tell apart
+        got = fingerprints.fingerprint_edits(far).withColumn("doc_id", F.col("doc_id") - F.lit(2**62)).collect()
+        assert sorted(map(tuple, got), key=repr) == want
+    with pytest.raises(TypeError):
+        fingerprints.fingerprint_edits(df.withColumn("doc_id", F.lit("a")))
+
+
 def test_order_minhash_is_sensitive_to_order(spark):
     words = [f"w{i}" for i in range(400)]
     turned = words[200:] + words[:200]
@@ -463,6 +629,48 @@ def test_sharding(spark, real, odd, empty):
     assert sharding.shard_rows(empty).count() == 0
 
 
+def walk_ring(rows, shards):
+    """Each key alone goes on clockwise from its place until a shard has room: rounds by hops, then places, then the rows' order."""
+    stands = sorted({(zlib.crc32(f"shard {s} node {v}".encode()) % sharding.SLOTS, s) for s in range(shards) for v in range(sharding.VNODES)})
+    room, got, waiting = brute_rows(len(rows), shards), {}, sorted(rows, key=lambda r: (r["place"], r["order"]))
+    used = [0] * shards
+
+    def ahead(place):
+        seen = []
+        for _, s in [x for x in stands if x[0] >= place] + [x for x in stands if x[0] < place]:
+            if s not in seen:
+                seen.append(s)
+        return seen
+
+    for hop in range(shards):
+        left = []
+        for r in waiting:
+            s = ahead(r["place"])[hop]
+            if used[s] < room[s]:
+                got[r["key"]] = (s, used[s])
+                used[s] += 1
+            else:
+                left.append(r)
+        waiting = left
+    return got
+
+
+def test_sharding_brute_force(spark, monkeypatch):
+    """Every row walks the ring alone; the same rows in another order, and many parts a place, end alike."""
+    rng = random.Random(9)
+    some = [(rng.randint(0, 60), f"t{rng.randint(0, 400)}", None, f"s{i % 3}") for i in range(300)]
+    some = list(dict.fromkeys(some))
+    df = docs(spark, some)
+    names = [F.col(c) for c in df.columns]
+    keyed = df.select("doc_id", F.crc32("text").alias("crc"), "source", F.pmod(F.xxhash64("doc_id"), F.lit(sharding.SLOTS)).alias("place"), *[F.xxhash64(*names, F.lit(k)).alias(f"h{k}") for k in (1, 2)]).collect()
+    rows = [{"key": (r.doc_id, r.crc, r.h1), "place": r.place, "order": (r.h1 % 2**64, r.h2)} for r in keyed]
+    want = sorted((*k[:2], *v) for k, v in walk_ring(rows, 5).items())
+    for salts, order in ((8, some), (3, some[::-1]), (1000, sorted(some))):
+        monkeypatch.setattr(sharding, "SALTS", salts)
+        got = sharding.shard_rows(docs(spark, order).repartition(3), 5).collect()
+        assert sorted((r.doc_id, r.text_crc32, r.shard, r.slot) for r in got) == want
+
+
 def test_ring_overflows_clockwise():
     prefer = sharding.preferences(4, slots=64)
     assert all(sorted(p) == [0, 1, 2, 3] for p in prefer)
@@ -576,3 +784,34 @@ def test_mixed_documents(spark, real, odd, empty):
     assert mixing.taken(odd, block=4).count() == odd.count()
     assert mixing.mixed_documents(odd, block=4).columns == odd.columns
     assert mixing.taken(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+CLASHES = ("fp", "root", "node", "k1", "__k1", "h", "h1", "t", "at", "row", "__row", "start", "size", "bucket", "home", "place", "salt", "shard", "slot", "words", "__words", "text_sha", "sig", "__sorted", "kinds", "__kinds", "lang_score", "ids_", "site", "sites", "first", "__gone")
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit("mine") for c in CLASHES}).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+
+
+def test_extra_columns_pass_through(spark, odd):
+    """Columns that are named like the operators' own keep their values."""
+    odd = odd.where("length(text) < 1000 or text is null")
+    n, wide = odd.count(), clashing(odd)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+
+    def kept(out, rows=n):
+        got = out.collect()
+        assert len(got) == rows
+        for r in got:
+            assert all(r[c] == "mine" for c in CLASHES if c not in ("lang_score",)) and r["m"] == {"a": 1}
+
+    kept(lines.dedup_lines(wide, min_sites=1))
+    kept(quality.score_documents(wide, none))
+    kept(language.predict(wide))
+    kept(pieces.decode(pieces.encode(wide)))
+    kept(secret_scan.scan(wide))
+    kept(simhash.keep_one(wide), simhash.keep_one(odd).count())
+    kept(mixing.mixed_documents(wide, block=4), mixing.mixed_documents(odd, block=4).count())
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(fingerprints.fingerprint_edits(wide)) == rows(fingerprints.fingerprint_edits(odd))
+    assert len(rows(sharding.shard_rows(wide))) == n
