@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from contentlens.llm import lines, mixing, pieces, quality, simhash
-from contentlens.llm.common import materialise, table
+from contentlens.llm.common import free, materialise, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(*[scored[c] for c in docs.columns])
+    score, predicted = free(docs, "score"), free(docs, "predicted")
+    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"), score=score, predicted=predicted)
+    return scored.where(F.col(predicted) == 1).drop(score, predicted)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sources share stay at their first place only."""
-    out = lines.dedup_lines(docs)
-    return out.select(*[out[c] for c in docs.columns])
+    removed = free(docs, "n_removed")
+    return lines.dedup_lines(docs, removed=removed).drop(removed)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the ids of each text."""
-    return pieces.encode(docs)
+    """Adds the ids of each text, as ids or, where documents have such a column, under that name with an underscore."""
+    return pieces.encode(docs, out=free(docs, "ids"))
 
 
 STAGES = [
@@ -43,7 +45,7 @@ STAGES = [
     ("tokenize", tokenize),
 ]
 
-#: Hashes, learned scores and token ids are beyond SQL: tests check what each stage must keep and that run() repeats.
+#: Hashes, learned scores and token ids are beyond SQL: tests hold run() against its stages, and each stage against a plain computation.
 ORACLE_SQL = None
 
 
