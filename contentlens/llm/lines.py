@@ -44,7 +44,8 @@ def boilerplate(documents: DataFrame, min_sites: int = 5, site: str = "source")
     """Lines seen on at least ``min_sites`` distinct sites: h (line hash), sites, first (where it stays)."""
     shown = _shown(documents, site)
     # a line on min_sites sites shows up at least that often: only such lines get a sketch
-    often = shown.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h")
+    # written, so that the join is not tied to the partitions of this count and AQE can split a frequent line's
+    often = materialise(shown.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h"))
     rows = shown.join(often, "h", "left_semi").withColumn("salt", F.pmod(F.xxhash64("at.doc_id"), F.lit(SALTS)))
     # in two steps, the first by salt: a line that very many rows show is sketched by many tasks
     parts = rows.groupBy("h", "salt").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min("at").alias("first"))
