@@ -13,8 +13,7 @@ MANIFEST_MARKS = ["c2pa", "jumb", "urn:uuid", "contentauth"]
 
 def byte_marks(data: Column) -> Column:
     """The marks that a file's bytes hold.  Built-ins only."""
-    digits = F.hex(data)
-    return F.array_compact(F.array(*[F.when(F.contains(digits, F.lit(m.encode().hex().upper())), m) for m in MANIFEST_MARKS]))
+    return F.array_compact(F.array(*[F.when(F.contains(data, F.lit(m.encode())), m) for m in MANIFEST_MARKS]))
 
 
 def canonical(**fields: Column) -> Column:

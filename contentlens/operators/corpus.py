@@ -33,9 +33,9 @@ def ranked(df: DataFrame, order: Column, by: list[str] | None = None, name: str
 
 
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row of each key."""
-    rn = F.row_number().over(W.partitionBy("__k").orderBy(order))
-    return df.withColumn("__k", key).withColumn("__rn", rn).where("__rn = 1").drop("__k", "__rn")
+    """The first row of each key: each task gives one row a key before the shuffle, so that a key of very many rows is no large group."""
+    first = F.min_by(F.struct(*df.columns), F.struct(order))  # a struct is never null, so null orders come first
+    return df.groupBy(key.alias("__k")).agg(first.alias("__row")).select("__row.*")
 
 
 def balance(df: DataFrame, label: str, order: Column) -> DataFrame:

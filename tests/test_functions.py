@@ -143,6 +143,8 @@ def test_passports(spark):
     assert set(check(df.withColumn("passport", F.when(F.col("id") > 9, F.col("passport")))).values()) == {"missing"}
     marks = one(spark, [(bytearray(b"xx c2pa jumb"),)], "d binary", m=provenance.byte_marks(F.col("d")))[0].m
     assert marks == ["c2pa", "jumb"]
+    shifted = bytearray.fromhex("0" + b"c2pa".hex() + "0")  # the digits of a mark, across bytes
+    assert one(spark, [(shifted,)], "d binary", m=provenance.byte_marks(F.col("d")))[0].m == []
 
 
 def test_faces(spark):
