@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +19,26 @@ def tokens(text: Column) -> Column:
 
 def split_words(text: Column) -> Column:
     """Runs of anything but white space."""
-    return F.array_remove(F.split(text, r"\s+"), "")
+    return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+
+
+#: Where a sentence ends: white space after . ! or ?, before a capital.
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z])"
 
 
 def sentences(text: Column, least: int) -> Column:
     """Split after . ! ? where white space and a capital follow; those of fewer than ``least`` words go."""
-    return F.filter(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), lambda s: F.size(split_words(s)) >= least)
+    return F.filter(F.split(text, SENTENCE_END), lambda s: F.size(split_words(s)) >= least)
+
+
+def sentence_words(text: Column, least: int) -> Column:
+    """The words of each such sentence, split once."""
+    return F.filter(F.transform(F.split(text, SENTENCE_END), split_words), lambda ws: F.size(ws) >= least)
+
+
+def lengths(words: Column) -> Column:
+    """Characters of all words together."""
+    return F.length(F.array_join(words, ""))
 
 
 def strip(text: Column) -> Column:
@@ -106,15 +122,26 @@ def html_text(html: Column) -> Column:
     return strip(F.regexp_replace(html, r"\s+", " "))
 
 
-def moments(values: Column) -> dict[str, Column]:
-    """Population mean, deviation, range and skew of an array of numbers; zeros for an empty one."""
-    n = F.size(values)
-    total = lambda f: F.aggregate(values, F.lit(0.0), lambda a, x: a + f(x))
-    mean = F.try_divide(total(lambda x: x.cast("double")), n)
-    std = F.sqrt(F.try_divide(total(lambda x: (x - mean) * (x - mean)), n))
-    skew = F.when((std > 0) & (n >= 3), F.try_divide(F.try_divide(total(lambda x: (x - mean) * (x - mean) * (x - mean)), n), std * std * std))
-    zero = F.lit(0.0)
-    return {"mean": F.coalesce(mean, zero), "std": F.coalesce(std, zero), "low": F.coalesce(F.array_min(values), F.lit(0)), "high": F.coalesce(F.array_max(values), F.lit(0)), "skew": F.coalesce(skew, zero)}
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for the row, also where a lambda in the body uses it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def moments(values: Column) -> Column:
+    """Struct of population mean, std, low, high and skew of an array of numbers; zeros for an empty one.
+
+    Make it a column of its own where several of its fields are used.
+    """
+    n, zero = F.size(values), F.lit(0.0)
+    total = lambda f: F.aggregate(values, zero, lambda a, x: a + f(x))
+
+    def shape(mean: Column, std: Column) -> Column:
+        skew = F.when((std > 0) & (n >= 3), F.try_divide(F.try_divide(total(lambda x: (x - mean) * (x - mean) * (x - mean)), n), std * std * std))
+        fields = {"mean": F.coalesce(mean, zero), "std": F.coalesce(std, zero), "low": F.coalesce(F.array_min(values), F.lit(0)), "high": F.coalesce(F.array_max(values), F.lit(0)), "skew": F.coalesce(skew, zero)}
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    spread = lambda mean: F.sqrt(F.try_divide(total(lambda x: (x - mean) * (x - mean)), n))
+    return let(F.try_divide(total(lambda x: x.cast("double")), n), lambda mean: let(spread(mean), lambda std: shape(mean, std)))
 
 
 def stylometry(df: DataFrame, text: str = "text") -> DataFrame:
@@ -123,10 +150,10 @@ def stylometry(df: DataFrame, text: str = "text") -> DataFrame:
     Tokens and sentences are columns of their own first, so that no expression repeats them.
     """
     t = F.col(text)
-    df = df.withColumn("__w", tokens(t)).withColumn("__s", sentences(t, 3)).withColumn("__n_split", F.greatest(F.size(split_words(t)), F.lit(1)))
-    df = df.withColumn("__len", F.transform("__s", lambda s: F.size(split_words(s)))).withColumn("__first", F.transform("__s", lambda s: F.lower(F.get(split_words(s), F.lit(0)))))
-    n = F.greatest(F.size("__w"), F.lit(1))
-    m = moments(F.col("__len"))
+    df = df.withColumn("__w", tokens(t)).withColumn("__s", sentence_words(t, 3)).withColumn("__n_split", F.greatest(F.size(split_words(t)), F.lit(1)))
+    df = df.withColumn("__len", F.transform("__s", F.size)).withColumn("__first", F.transform("__s", lambda ws: F.lower(F.get(ws, F.lit(0)))))
+    df = df.withColumn("__m", moments(F.col("__len")))
+    n, m = F.greatest(F.size("__w"), F.lit(1)), F.col("__m")
     rate = lambda p: occurrences(t, p) / F.col("__n_split")
     df = df.withColumns({
         "sent_mean": F.bround(m["mean"], 3), "sent_std": F.bround(m["std"], 3), "sent_skew": F.bround(m["skew"], 3), "sent_min": m["low"], "sent_max": m["high"],
@@ -134,10 +161,10 @@ def stylometry(df: DataFrame, text: str = "text") -> DataFrame:
         "exclaim_rate": rate("!"), "question_rate": rate("?"), "ellipsis_rate": rate("..."), "paren_rate": rate("("),
         "type_token_ratio": F.bround(F.size(F.array_distinct("__w")) / n, 4), "func_word_rate": F.bround(among(F.col("__w"), lex.FUNCTION_WORDS) / n, 4),
         "ai_hedge_rate": F.bround(among(F.col("__w"), lex.HEDGES) / n, 4), "human_casual_rate": F.bround(among(F.col("__w"), lex.CASUALS) / n, 4),
-        "avg_word_length": F.round(F.aggregate("__w", F.lit(0), lambda a, w: a + F.length(w)) / n, 9),
+        "avg_word_length": F.round(lengths(F.col("__w")) / n, 9),
         "initial_diversity": F.when(F.size("__s") >= 3, F.bround(F.size(F.array_distinct("__first")) / F.size("__first"), 4)),
     })
-    return df.withColumn("score", F.bround(stylometry_score(), 4)).drop("__w", "__s", "__n_split", "__len", "__first")
+    return df.withColumn("score", F.bround(stylometry_score(), 4)).drop("__w", "__s", "__n_split", "__len", "__first", "__m")
 
 
 def stylometry_score() -> Column:

@@ -16,11 +16,25 @@ def confusion(df: DataFrame, keys: list[str], says: Column, y: str) -> DataFrame
     return g.withColumns({"precision": p, "recall": r, "f1": F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), "accuracy": (tp + tn) / F.greatest(tp + fp + fn + tn, F.lit(1))})
 
 
+#: Parts of a unit of score that are ranked together.
+PARTS = 4096
+
+
 def auroc(df: DataFrame, keys: list[str], score: str, y: str) -> DataFrame:
-    """Area under the ROC curve by rank sums, ties averaged: counts by distinct score come first, so no row is ranked alone.  Null for one class."""
-    g = df.groupBy(*keys, score).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = g.withColumn("rank", below + (F.col("n") + 1) / 2)
+    """Area under the ROC curve by rank sums, ties averaged.  Null for one class.
+
+    Counts by distinct score come first, and those are ranked within narrow ranges
+    of the score, each above the sum of those below: no task orders all scores of a key.
+    """
+    part = F.when(F.isnan(score), F.lit((1 << 63) - 1)).otherwise(F.floor(F.col(score).cast("double") * PARTS))
+    g = df.groupBy(*keys, score).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("__part", part)
+    sums = g.groupBy(*keys, "__part").agg(F.sum("n").alias("n"))
+    under = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    by = [*keys, "__part"]
+    offsets = sums.select(*[F.col(k).alias(f"__of{i}") for i, k in enumerate(by)], under.alias("__under"))
+    here = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = g.withColumn("__here", here).join(offsets, [F.col(k).eqNullSafe(F.col(f"__of{i}")) for i, k in enumerate(by)])
+    ranked = placed.withColumn("rank", F.col("__under") + F.col("__here") + (F.col("n") + 1) / 2)
     s = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), (F.sum("n") - F.sum("pos")).alias("q"))
     return s.select(*keys, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auroc"))
 

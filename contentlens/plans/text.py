@@ -178,9 +178,9 @@ def sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _heuristic(df: DataFrame) -> DataFrame:
     """Adds s1 to s10 and score: the fallback scorer's signals, from tokens and sentences made once."""
     x = F.col("text")
-    df = df.withColumn("__w", t.tokens(x)).withColumn("__s", t.sentences(x, 3)).withColumn("__lw", t.split_words(F.lower(x)))
-    df = df.withColumn("__s", F.when(F.size("__s") > 0, F.col("__s")).otherwise(F.array(x)))
-    df = df.withColumn("__len", F.transform("__s", lambda s: F.size(t.split_words(s)))).withColumn("__first", F.transform("__s", lambda s: F.lower(F.get(t.split_words(s), F.lit(0)))))
+    df = df.withColumn("__w", t.tokens(x)).withColumn("__s", t.sentence_words(x, 3)).withColumn("__lw", t.split_words(F.lower(x)))
+    df = df.withColumn("__s", F.when(F.size("__s") > 0, F.col("__s")).otherwise(F.array(t.split_words(x))))
+    df = df.withColumn("__len", F.transform("__s", F.size)).withColumn("__first", F.transform("__s", lambda ws: F.lower(F.get(ws, F.lit(0)))))
     n, w, zero, one = F.greatest(F.size("__w"), F.lit(1)), F.col("__w"), F.lit(0.0), F.lit(1.0)
     std = F.when(F.size("__len") > 1, t.moments(F.col("__len"))["std"]).otherwise(10.0)
     ttr, ceiling = F.size(F.array_distinct("__w")) / n, F.when(n >= 200, 0.7).otherwise(0.7 + 0.3 * (200 - n) / 200)
@@ -191,7 +191,7 @@ def _heuristic(df: DataFrame) -> DataFrame:
         F.greatest(zero, 1 - ttr / ceiling), F.greatest(zero, 1 - sid), F.least(0.5 + t.occurrences(x, "—") / n * 100, one),
         F.least(F.greatest(zero, (t.occurrences(x, ",") / n - 0.03) / 0.08), one),
         F.when(short == 0, F.when(F.length(x) >= 500, 1.0).otherwise(0.8)).otherwise(F.greatest(zero, 1 - short * 0.3)),
-        F.least(F.greatest(zero, (F.aggregate("__w", F.lit(0), lambda a, v: a + F.length(v)) / n - 4) / 4), one),
+        F.least(F.greatest(zero, (t.lengths(w) / n - 4) / 4), one),
         F.greatest(zero, 1 - t.among(w, lex.FIRST_PERSON) / n * 20),
     ]
     df = df.withColumns({f"s{i + 1}": s for i, s in enumerate(signals)}).drop("__w", "__s", "__lw", "__len", "__first")
@@ -241,7 +241,7 @@ def sentence_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _docs(spark, sf_dir).select("doc_id", F.posexplode(t.sentences(F.col("text"), 3)).alias("place", "s"))
     s = s.withColumn("w", t.tokens(F.col("s"))).withColumn("lw", t.split_words(F.lower("s")))
     n, casual, short = F.greatest(F.size("w"), F.lit(1)), t.among(F.col("w"), lex.MORE_CASUALS), t.among(F.col("lw"), lex.CONTRACTIONS) > 0
-    awl = F.aggregate("w", F.lit(0), lambda a, v: a + F.length(v)) / n
+    awl = t.lengths(F.col("w")) / n
     s = s.withColumn("score", clip(
         0.5 + t.among(F.col("w"), lex.HEDGES) / n * 15 - casual / n * 10 - F.when(short, 0.2).otherwise(0.0) + F.when(~short & (n >= 8), 0.08).otherwise(0.0)
         + F.when((casual == 0) & (n >= 5), 0.05).otherwise(0.0) + F.greatest(F.lit(0.0), (awl - 4.5) / 6) * 0.12 - t.among(F.col("lw"), lex.FIRST_PERSON) * 0.12
@@ -372,8 +372,8 @@ SELECT doc_id, round(sqrt(list_sum(list_transform(ls, lambda x: (x - mean) * (x
 def zero_shot_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-28: variation of word length, share of distinct word pairs."""
     w = _docs(spark, sf_dir).select("doc_id", t.split_words(F.col("text")).alias("o"), t.split_words(F.lower("text")).alias("w")).where(F.size("w") > 0)
-    w = w.withColumn("ls", F.transform("o", F.length))
-    m = t.moments(F.col("ls"))
+    w = w.withColumn("ls", F.transform("o", F.length)).withColumn("m", t.moments(F.col("ls")))
+    m = F.col("m")
     pairs = F.when(F.size("w") > 1, F.size(F.array_distinct(t.bigrams(F.col("w"))))).otherwise(0)
     return w.select("doc_id", F.round(m["std"] / m["mean"], 5).alias("length_cv"), F.round(pairs / F.greatest(F.size("w") - 1, F.lit(1)), 5).alias("distinct_bigrams"))
 
@@ -392,8 +392,8 @@ def demo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-26: six piecewise signals; texts under 40 characters are UNCERTAIN."""
     x = F.col("text")
     parts = F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+"), t.strip), lambda s: F.length(s) > 5)
-    d = _docs(spark, sf_dir).withColumn("w", F.regexp_extract_all(F.lower(x), F.lit("[a-z']+"), F.lit(0))).withColumn("ls", F.transform(parts, lambda s: F.size(t.split_words(s))))
-    n, m = F.size("w"), t.moments(F.col("ls"))
+    d = _docs(spark, sf_dir).withColumn("w", F.regexp_extract_all(F.lower(x), F.lit("[a-z']+"), F.lit(0))).withColumn("ls", F.transform(parts, lambda s: F.size(t.split_words(s)))).withColumn("m", t.moments(F.col("ls")))
+    n, m = F.size("w"), F.col("m")
     rate = lambda c: F.try_divide(c, n)
     cv, hedge, casual = F.try_divide(m["std"], m["mean"]), rate(t.among(F.col("w"), lex.DEMO_HEDGES)), rate(t.among(F.col("w"), lex.DEMO_CASUALS))
     ttr, short, first = rate(F.size(F.array_distinct("w"))), rate(F.size(F.regexp_extract_all(x, F.lit(r"\b\w+'\w+\b"), F.lit(0)))), rate(t.among(F.col("w"), lex.FIRST_PERSON_WIDE))

@@ -5,6 +5,7 @@ Late rows are dropped beyond a watermark, and days close by event time.
 
 from __future__ import annotations
 
+import statistics
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,13 +46,20 @@ def user_sessions(stream: DataFrame, gap: str = "30 minutes", ts: str = "ts", la
     return g.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "mean")
 
 
+def alert_kind(scores: list[float]) -> str:
+    """voice_clone: the last scores are high and even; impersonation: they range widely; else ai_voice (fixed values)."""
+    if scores and statistics.pstdev(scores) < 0.05 and statistics.fmean(scores) > 0.8:
+        return "voice_clone"
+    return "impersonation" if scores and max(scores) - min(scores) > 0.4 else "ai_voice"
+
+
 def rolling_alerts(stream: DataFrame, threshold: float = 0.75, window: int = 4, gap_ms: int = 5000, decay: float = 0.85) -> DataFrame:
-    """Per call: mean of the last scores, weighted average, and an alert at most once in gap_ms.
+    """Per call: mean of the last scores, weighted average, and an alert at most once in gap_ms, with its kind.
 
     Input: call_id, ms, score, ts (event time).  State: the last scores, the average and the time of the last alert; a call's rows
     are taken in order within a batch, and state goes after an hour of event time without rows.
     """
-    out = "call_id long, ms long, rolling double, ewma double, alert boolean"
+    out = "call_id long, ms long, rolling double, ewma double, alert boolean, kind string"
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -66,10 +74,10 @@ def rolling_alerts(stream: DataFrame, threshold: float = 0.75, window: int = 4,
             rolling, mean = sum(scores) / len(scores), decay * mean + (1 - decay) * score
             alert = rolling >= threshold and (last is None or ms - last >= gap_ms)
             last = ms if alert else last
-            found.append((key[0], ms, rolling, mean, alert))
+            found.append((key[0], ms, rolling, mean, alert, alert_kind(scores) if alert else None))
         state.update((scores, mean, last))
         state.setTimeoutTimestamp(max(rows["ts"].max().value // 1_000_000, state.getCurrentWatermarkMs()) + 3_600_000)
-        yield pd.DataFrame(found, columns=["call_id", "ms", "rolling", "ewma", "alert"])
+        yield pd.DataFrame(found, columns=["call_id", "ms", "rolling", "ewma", "alert", "kind"])
 
     marked = stream.withWatermark("ts", "1 hour")
     return marked.groupBy("call_id").applyInPandasWithState(step, out, "scores array<double>, mean double, last long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -45,6 +45,17 @@ def test_nearest_rank_of_many_rows(spark):
         assert got[k] == (vs[round(0.5 * (len(vs) - 1))], vs[round(0.95 * (len(vs) - 1))])
 
 
+def test_auroc_across_score_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", None]), rng.choice([None, float("nan"), -1e30, 1e30, 0.5, round(rng.random(), 3), rng.uniform(0.5, 0.5001)]), rng.randrange(2)) for _ in range(400)]
+    order = lambda s: (s is not None, s is not None and s != s, s if s is not None and s == s else 0.0)
+    for k in ("a", None):
+        pos, neg = ([order(s) for g, s, y in rows if g == k and y == c] for c in (1, 0))
+        want = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+        got = {r.k: r.auroc for r in evaluation.auroc(spark.createDataFrame(rows, "k string, s double, y int"), ["k"], "s", "y").collect()}
+        assert got[k] == pytest.approx(want)
+
+
 def test_auroc_ties_and_single_class(spark):
     rows = [("a", 0.9, 1), ("a", 0.5, 0), ("a", 0.5, 1), ("a", 0.1, 0), ("b", 0.3, 1)]
     got = {r.k: r.auroc for r in evaluation.auroc(spark.createDataFrame(rows, "k string, s double, y int"), ["k"], "s", "y").collect()}
