@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from contentlens.functions import udfs
 from contentlens.plans.base import query, r6, table
 
 JOBS = """jobs AS (SELECT o_orderkey AS job_id, o_custkey AS user_id, o_orderdate AS created_at, o_totalprice AS price,
@@ -114,6 +115,27 @@ def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("id", "family", most.isNotNull().alias("allowed"), F.coalesce(F.col("bytes") <= most, F.lit(False)).alias("fits"))
 
 
+@query("""WITH u AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '89504E470D0A1A0A' WHEN 1 THEN 'FFD8FF' WHEN 2 THEN '474946383961' WHEN 3 THEN '255044462D' ELSE '52494646' END || hex(p_name) AS digits,
+  CASE p_size % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'application/pdf' ELSE 'text/plain' END AS mime FROM part)
+SELECT id, mime, CASE mime WHEN 'image/png' THEN digits LIKE '89504E470D0A1A0A%' WHEN 'image/gif' THEN digits LIKE '474946383761%' OR digits LIKE '474946383961%' WHEN 'application/pdf' THEN digits LIKE '255044462D%' ELSE true END AS ok FROM u""")
+def upload_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-10: whether the first bytes of an upload open a file of the type that it claims."""
+    openings, mimes = ("89504e470d0a1a0a", "ffd8ff", "474946383961", "255044462d", "52494646"), ("image/png", "image/gif", "application/pdf", "text/plain")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    head, mime = F.unhex(pick(openings, F.col("p_partkey") % 5)), pick(mimes, F.col("p_size") % 4)
+    u = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), mime.alias("mime"), F.concat(head, F.encode("p_name", "UTF-8")).alias("data"))
+    return u.select("id", "mime", udfs.signature_ok(F.col("data"), F.col("mime")).alias("ok"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, '***' AS \"userPassword\", '***' AS \"API_TOKEN\", c_mktsegment AS segment, '***' AS authorization FROM customer")
+def redacted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-14: values under sensitive keys are blanked, whatever their case."""
+    fields = {"name": "c_name", "userPassword": "c_name", "API_TOKEN": "c_acctbal", "segment": "c_mktsegment", "authorization": "c_nationkey"}
+    c = table(spark, sf_dir, "customer")
+    c = c.select(F.col("c_custkey").alias("id"), udfs.redact(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), F.col(v).cast("string"))])).alias("m"))
+    return c.select("id", *[F.col("m")[k].alias(k) for k in fields])
+
+
 @query(r"""WITH p AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '^[a-z]+://[^/]+', ''), '/'), lambda x: x <> '' AND x NOT IN ('api', 'v1', 'v2')) AS parts, url FROM pages)
 SELECT page_id, coalesce(parts[1], 'root') AS resource, regexp_replace(url, '[0-9]+', '{id}', 'g') AS template FROM p""")
 def request_resources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from contentlens.functions import attacks
 from contentlens.functions import lexicons as lex
 from contentlens.functions import texts as t
+from contentlens.functions import udfs
 from contentlens.functions.decisions import clip, label_zone
 from contentlens.plans.base import query, r6, table
 
@@ -449,3 +450,23 @@ def attacked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-48: each text under each attack of medium strength, as a hash."""
     some = [F.struct(F.lit(k).alias("attack"), F.lit(s).alias("strength"), F.md5(f(F.col("text"), v).cast("binary")).alias("attacked_md5")) for s, v in [("medium", attacks.STRENGTH["medium"])] for k, f in attacks.ATTACKS.items()]
     return _docs(spark, sf_dir).select("doc_id", F.explode(F.array(*some)).alias("a")).select("doc_id", "a.attack", "a.strength", "a.attacked_md5")
+
+
+_NAMES = r"list_distinct(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]*')))"
+_STYLES = {"snake": "^[a-z0-9]+(_[a-z0-9]+)+$", "camel": "^[a-z]+([A-Z][a-z0-9]*)+$", "short": "^.{1,4}$", "digits": "[0-9]", "single": "^.$"}
+
+
+@query(f"""WITH n AS (SELECT doc_id, {_NAMES} AS names FROM documents)
+SELECT doc_id, len(names) AS n_names, {", ".join(f"round(coalesce(len(list_filter(names, lambda x: regexp_matches(x, '{p}'))) / nullif(len(names), 0), 0), 6) AS {k}" for k, p in _STYLES.items())} FROM n""")
+def naming_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-08: distinct names of a source text and the shares of their styles."""
+    d = _docs(spark, sf_dir).withColumn("names", udfs.identifiers(F.col("text")))
+    return d.select("doc_id", F.size("names").cast("long").alias("n_names"), *[F.round(c, 6).alias(k) for k, c in udfs.naming_of(F.col("names")).items()])
+
+
+@query(r"""WITH c AS (SELECT doc_id, text, regexp_replace(text, '[ \t]*#[^\n]*', '', 'g') AS bare FROM documents)
+SELECT doc_id, length(text) - length(bare) AS dropped, md5(bare) AS bare_md5 FROM c""")
+def bare_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-10 (comments only): source texts without comments to the end of a line."""
+    bare = udfs.strip_comments(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", (F.length("text") - F.length(bare)).cast("long").alias("dropped"), F.md5(bare.cast("binary")).alias("bare_md5"))
