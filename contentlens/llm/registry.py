@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentlens.llm import fingerprints, language, lines, mixing, neighbours, pieces, quality, secret_scan, sharding, simhash
+from contentlens.llm import decontamination, fingerprints, language, lines, mixing, neighbours, pieces, prefixes, quality, secret_scan, sharding, simhash, whitening
 from contentlens.llm.common import held_out, table
 
 
@@ -68,11 +68,31 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), k=4)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    conv = F.col("conv_id")
+    rebuilt = prefixes.shared_heads(turns, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4)
+    return prefixes.trie(rebuilt, turns.select("conv_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_quality_classifier, op3_language_id, op4_sentencepiece, op5_simhash_near_dedup,
         op6_nearest_neighbours, op7_secret_scan, op8_order_minhash, op9_sharding, op10_source_mixing,
+        op11_embedding_whitening, op12_decontamination, op13_prefix_trie,
     )
 }
 
@@ -107,4 +127,61 @@ scored AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20""",
+    "op12_decontamination": r"""
+WITH iw AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(ws), 10) AS m, array_to_string(ws[s.i + 1 : s.i + 10], ' ') AS w
+  FROM iw, LATERAL (SELECT unnest(generate_series(0, greatest(len(ws) - 10, 0))) AS i) s WHERE len(ws) > 0),
+dw AS (
+  SELECT doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+runs AS (
+  SELECT doc_id, i, m, array_to_string(ws[i : i + m - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, m, unnest(generate_series(1, len(ws) - m + 1)) AS i FROM dw, (SELECT DISTINCT m FROM win))),
+hits AS (SELECT r.doc_id, r.i, r.m, w.item FROM runs r JOIN win w USING (w)),
+spots AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS p FROM hits) GROUP BY doc_id),
+having_items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(s.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(h.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(h.items, '')) AS items_sha256, coalesce(s.n, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN spots s USING (doc_id) LEFT JOIN having_items h USING (doc_id)""",
+    # a prefix is the list of its turns; CRC-32 is reckoned bit by bit
+    "op13_prefix_trie": r"""
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT c, c - c % 20 AS b, (xor(4294967295, list_reduce(
+      flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(4294967295 AS BIGINT)))) % 4 AS h
+  FROM (SELECT DISTINCT c FROM own)),
+lent AS (SELECT i.c, o.p AS d, o.role, o.text FROM ids i JOIN own o ON o.c = i.b AND o.p <= i.h),
+given AS (SELECT i.c, i.h, count(l.d) AS n FROM ids i LEFT JOIN lent l USING (c) GROUP BY ALL),
+turns AS (
+  SELECT * FROM lent
+  UNION ALL SELECT o.c, o.p - g.h + g.n, o.role, o.text FROM own o JOIN given g USING (c) WHERE o.p > g.h),
+paths AS (
+  SELECT c, d, text, list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS prefix FROM turns
+  UNION ALL SELECT c, 0, '', [] FROM ids),
+nodes AS (
+  SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, len(regexp_extract_all(min(text), '[^\x20\x09-\x0D]+')) AS words
+  FROM paths GROUP BY d, prefix),
+of AS (SELECT p.c, p.d, n.conv_id FROM paths p JOIN nodes n ON n.d = p.d AND n.prefix = p.prefix),
+tree AS (
+  SELECT n.conv_id, n.d, n.n_convs, n.words, o.conv_id AS parent
+  FROM nodes n LEFT JOIN of o ON o.c = n.conv_id AND o.d = n.d - 1),
+kids AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS n FROM tree WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT a.conv_id, a.d, sum((t.n_convs - 1) * t.words) AS saved, count(*) FILTER (WHERE k.n IS NULL) AS leaves
+  FROM tree t JOIN of a ON a.c = t.conv_id AND a.d <= t.d LEFT JOIN kids k ON k.conv_id = t.conv_id AND k.d = t.d GROUP BY ALL),
+ends AS (
+  SELECT o.conv_id, o.d, string_agg(CAST(o.c AS VARCHAR), ',' ORDER BY o.c) AS ids
+  FROM of o JOIN (SELECT c, max(d) AS d FROM paths GROUP BY c) l USING (c, d) GROUP BY ALL)
+SELECT t.conv_id, CAST(t.d AS BIGINT) AS depth, t.parent AS parent_conv_id, t.n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children,
+       CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM tree t LEFT JOIN kids k USING (conv_id, d) JOIN below b USING (conv_id, d) LEFT JOIN ends e USING (conv_id, d)""",
 }
