@@ -153,7 +153,8 @@ def _split(rows: DataFrame) -> DataFrame | None:
     key = ["d", "f", "v"]
     groups = rows.groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     model = rows.join(groups, [*key, "conv_id"]).select(*key, F.struct("g", "pv", "role", "text").alias("model"))
-    bad = materialise(rows.join(model, key).where(F.struct("g", "pv", "role", "text") != F.col("model")).select(*key).distinct())
+    # not made distinct here, so that AQE can split the join of a large group
+    bad = materialise(rows.join(model, key).where(F.struct("g", "pv", "role", "text") != F.col("model")).select(*key))
     if bad.isEmpty():
         return None
     own = [*key, "g", "pv", "role", "text"]
@@ -186,39 +187,46 @@ def _further(tree: DataFrame) -> DataFrame:
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted (node, d, conv_id) as pieces of comma-joined ids."""
-    part, seq, key, held = TaskContext.get().partitionId(), 0, None, []
+    """Sorted (node, d, conv_id) as pieces of comma-joined ids; what a batch completes leaves together."""
+    part, seq, key, held, out = TaskContext.get().partitionId(), 0, None, [], []
 
-    def piece() -> pd.DataFrame:
-        return pd.DataFrame({"node": [key[0]], "d": [key[1]], "part": [part], "seq": [seq], "ids": [",".join(held)]})
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["node", "d", "part", "seq", "ids"])
 
     for b in batches:
+        out = []
         for node, d, c in zip(b["node"].tolist(), b["d"].tolist(), b["conv_id"].tolist()):
             if key != (node, d) or len(held) == CHUNK:
                 if held:
-                    yield piece()
+                    out.append((*key, part, seq, ",".join(held)))
                     seq += 1
                 key, held = (node, d), []
             held.append(str(c))
-    if held:
-        yield piece()
+        yield frame()
+    out = [(*key, part, seq, ",".join(held))] if held else []
+    yield frame()
 
 
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted pieces as one SHA-256 a node, which takes up piece after piece."""
-    key, sha = None, None
-    row = lambda: pd.DataFrame({"node": [key[0]], "d": [key[1]], "ends_sha256": [sha.hexdigest()]})
+    key, sha, out = None, None, []
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["node", "d", "ends_sha256"])
+
     for b in batches:
+        out = []
         for node, d, ids in zip(b["node"].tolist(), b["d"].tolist(), b["ids"].tolist()):
             if key != (node, d):
                 if key is not None:
-                    yield row()
+                    out.append((*key, sha.hexdigest()))
                 key, sha = (node, d), hashlib.sha256()
                 sha.update(ids.encode())
             else:
                 sha.update(b"," + ids.encode())
-    if key is not None:
-        yield row()
+        yield frame()
+    out = [(*key, sha.hexdigest())] if key is not None else []
+    yield frame()
 
 
 def _end_hashes(ends: DataFrame) -> DataFrame:
