@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,36 +44,6 @@ def ewma(df: DataFrame, key: str, order: list[str], value: str, decay: float = 0
     return rows.groupBy(key).agg(F.sum((1 - decay) * F.pow(F.lit(decay), F.col("__back")) * F.col(value)).alias("ewma"))
 
 
-def debounce(df: DataFrame, key: str, ms: str, gap: int) -> DataFrame:
-    """Alerts that are at least ``gap`` after the last one kept: a fold over a key's candidate times.
-
-    A pause of ``gap`` between neighbouring candidates starts an independent
-    piece, found from the first and last time of each cell of ``gap``
-    milliseconds.  Pieces are sorted and streamed with the last kept time as
-    the only state.
-    """
-    times = df.where(F.col(ms).isNotNull()).select(F.struct(key).alias("__key"), F.col(ms).alias("__ms")).distinct()  # a struct: null keys are a key
-    cells = times.groupBy("__key", F.floor(F.col("__ms") / gap).alias("__cell")).agg(F.min("__ms").alias("__lo"), F.max("__ms").alias("__hi"))
-    w = W.partitionBy("__key").orderBy("__cell")
-    new = F.coalesce(F.col("__lo") - F.lag("__hi").over(w) >= gap, F.lit(True))
-    pieces = cells.withColumn("__new", F.when(new, F.col("__lo"))).withColumn("__piece", F.max("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    rows = times.withColumn("__cell", F.floor(F.col("__ms") / gap)).join(pieces.select("__key", "__cell", "__piece"), ["__key", "__cell"])
-    rows = rows.select(F.col(f"__key.{key}").alias(key), F.col("__ms").cast("long").alias(ms), F.col("__piece").cast("long").alias("__piece"))
-    dealt = rows.repartition(key, "__piece").sortWithinPartitions(key, "__piece", ms)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = 0
-        for b in batches:
-            keep = []
-            for t, first in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                keep.append(t == first or t - last >= gap)
-                if keep[-1]:
-                    last = t
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
-
-    return dealt.mapInArrow(fold, rows.select(key, ms).schema)
-
-
 def differences(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """First and second differences."""
     w = W.partitionBy(key).orderBy(*order)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from contentlens.functions import udfs
 from contentlens.plans.base import query, r6, table
+from contentlens.sources import database
+from contentlens.streaming import claims
 
 JOBS = """jobs AS (SELECT o_orderkey AS job_id, o_custkey AS user_id, o_orderdate AS created_at, o_totalprice AS price,
   CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'PENDING' ELSE 'PROCESSING' END AS status,
@@ -200,3 +202,33 @@ def passport_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-16 J-14: a registry keyed by content hash, with its verification records."""
     v = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.count(F.lit(1)).alias("n"))
     return jobs(spark, sf_dir).join(v, "job_id", "left").select(F.md5(F.concat("content_type", F.col("job_id").cast("string")).cast("binary")).alias("content_hash"), "job_id", F.coalesce("n", F.lit(0)).alias("verifications"))
+
+
+@query(f"""WITH {JOBS} SELECT user_id, count(*) AS completed, count(*) FILTER (WHERE created_at >= TIMESTAMP '2001-01-01') AS recent, count(score) AS n_results, round(avg(score), 9) AS mean_score
+FROM jobs LEFT JOIN results USING (job_id) WHERE status = 'COMPLETED' GROUP BY 1""")
+def database_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-13: completed jobs and their results, read from the tables of a database, which is filled first."""
+    url = database.url_of(spark)
+    database.write_table(jobs(spark, sf_dir), url, "jobs", "status VARCHAR(16), content_type VARCHAR(16)")
+    database.write_table(results(spark, sf_dir), url, "results")
+    done = database.read_table(spark, url, "jobs", "job_id").where("status = 'COMPLETED'").select("job_id", "user_id", "created_at")
+    scores = database.read_table(spark, url, "results", "job_id").select("job_id", "score")
+    recent = F.col("created_at") >= F.lit("2001-01-01").cast("timestamp")
+    return done.join(scores, "job_id", "left").groupBy("user_id").agg(F.count(F.lit(1)).alias("completed"), F.count_if(recent).alias("recent"), F.count("score").alias("n_results"), F.round(F.avg("score"), 9).alias("mean_score"))
+
+
+@query(f"""WITH RECURSIVE {JOBS}, j AS (SELECT job_id, status, job_id % 3 AS version, CASE WHEN status = 'PROCESSING' AND job_id % 5 > 0 THEN TIMESTAMP '2024-01-01' + to_hours(job_id % 500) END AS since FROM jobs),
+c AS (SELECT event_id AS claim_id, user_id * 101 AS job_id, ts AS tm, event_id % 3 AS seen FROM events),
+r AS (SELECT c.*, j.status, j.version, j.since, j.job_id IS NOT NULL AS known FROM c LEFT JOIN j USING (job_id)),
+free AS (SELECT * FROM r WHERE status = 'PENDING' OR (status = 'PROCESSING' AND (since IS NULL OR tm >= since + INTERVAL 1 DAY))),
+chain AS (SELECT job_id, min(tm) AS tm, 1 AS n FROM free GROUP BY 1 UNION ALL SELECT k.job_id, min(f.tm) AS tm, k.n + 1 AS n FROM chain k JOIN free f ON f.job_id = k.job_id AND f.tm >= k.tm + INTERVAL 1 DAY GROUP BY k.job_id, k.tm, k.n),
+won AS (SELECT job_id, tm, n, min(claim_id) AS claim_id FROM chain JOIN r USING (job_id, tm) GROUP BY ALL)
+SELECT r.claim_id, r.job_id, CASE WHEN NOT known THEN 'missing' WHEN n = 1 AND status = 'PENDING' THEN 'claimed' WHEN n IS NOT NULL THEN 'reclaimed' ELSE 'handled' END AS outcome, version + n AS version,
+  CASE WHEN n = 1 AND status = 'PENDING' AND seen <> version THEN 2 ELSE 1 END AS attempts FROM r LEFT JOIN won USING (claim_id)""")
+def job_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-09: which claims on jobs win; events stand for claims, a day for the ten minutes after which a job is stale."""
+    j = jobs(spark, sf_dir)
+    since = F.when((F.col("status") == "PROCESSING") & (F.col("job_id") % 5 > 0), F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("job_id") % 500).cast("int")))
+    j = j.select("job_id", "status", (F.col("job_id") % 3).alias("version"), since.alias("started_at"))
+    c = table(spark, sf_dir, "events").select(F.col("event_id").alias("claim_id"), (F.col("user_id") * 101).alias("job_id"), F.col("ts").alias("at"), (F.col("event_id") % 3).alias("seen"))
+    return claims.outcomes(j, c, 86_400_000_000).select("claim_id", "job_id", "outcome", "version", "attempts")

@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from contentlens.sources import versioned
+
 
 def read(spark: SparkSession, folder: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
     """New parquet files of a folder as a stream; files_per_trigger bounds a batch."""
@@ -101,17 +103,10 @@ def batch_completion(stream: DataFrame) -> DataFrame:
     return stream.groupBy("batch_id").applyInPandasWithState(step, "batch_id long, done long, failed long", "done long, failed long, told boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sink(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Latest value by day: each batch goes to its own folder, named by its number, so a repeated batch replaces itself."""
+def upsert_sink(stream: DataFrame, folder: str, checkpoint: str, key: str) -> StreamingQuery:
+    """Latest row of each key in a versioned table: a batch replaces the rows of its keys, a repeated batch changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        versioned.merge(batch.sparkSession, folder, versioned.upsert(key, batch), number)
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
-
-
-def latest(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """What upsert_sink has written: the last batch's row of each key."""
-    rows = spark.read.parquet(folder)
-    value = F.struct(*[c for c in rows.columns if c not in (key, "batch")])
-    return rows.groupBy(key).agg(F.max_by(value, "batch").alias("v")).select(key, "v.*")

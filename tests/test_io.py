@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from contentlens.sources import files
+from contentlens.sources import files, versioned
 from contentlens.streaming import jobs
 
 
@@ -64,9 +64,9 @@ def test_log_sink_appends_once(spark, tmp_path):
         _events(spark, tmp_path / "e", [(k, T0 + dt.timedelta(days=k), 1, "view", 1.0)])
         s = jobs.read(spark, str(tmp_path / "e"), spark.read.parquet(str(tmp_path / "e")).schema)
         jobs.log_sink(s, str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination(120)
-        jobs.upsert_sink(jobs.day_counts(s), str(tmp_path / "up"), str(tmp_path / "ck2")).awaitTermination(120)
+        jobs.upsert_sink(jobs.day_counts(s), str(tmp_path / "up"), str(tmp_path / "ck2"), "day").awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
-    assert jobs.latest(spark, str(tmp_path / "up"), "day").count() == 2
+    assert versioned.read(spark, str(tmp_path / "up")).count() == 2
 
 
 def test_rolling_alerts(spark, tmp_path):

