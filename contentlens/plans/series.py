@@ -10,6 +10,7 @@ from contentlens.operators import series as s
 from contentlens.operators.monitoring import linear_percentiles, nearest_rank
 from contentlens.operators.spacing import spaced
 from contentlens.plans.base import query, r6, table
+from contentlens.streaming import calls
 
 _MS = "e AS (SELECT event_id, user_id, event_type, value, ts, floor(epoch_us(ts) / 1000)::BIGINT AS ms FROM events)"
 
@@ -152,3 +153,20 @@ def load_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = F.col("n") / 334
     status = F.when((ratio >= 0.95) & (F.col("p95") <= 150) & (F.col("errors") < 30), "STABLE").when(ratio >= 0.75, "DEGRADED").otherwise("SATURATED")
     return g.select("day", "n", "errors", r6(F.col("errors") / F.col("n")).alias("error_rate"), r6("p95").alias("p95"), status.alias("status"), F.floor(F.col("n") / 50 + 0.9999).alias("pods"))
+
+
+@query(f"""WITH {_MS}, f AS (SELECT user_id AS call_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'end' ELSE 'frame' END AS kind, ms, 100 + event_id % 4000 AS len, value / 491 AS score FROM e),
+g AS (SELECT *, CASE WHEN kind = 'start' OR lag(kind) OVER w = 'end' OR coalesce(ms - lag(ms) OVER w >= 1800000, true) THEN 1 ELSE 0 END AS new FROM f WINDOW w AS (PARTITION BY call_id ORDER BY ms, seq)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY call_id ORDER BY ms, seq) AS session FROM g),
+o AS (SELECT *, sum(len) OVER (PARTITION BY call_id, session ORDER BY ms, seq) - len AS off FROM s),
+p AS (SELECT call_id, session, k, least(off + len, (k + 1) * 500) - greatest(off, k * 500) AS n, score FROM (SELECT *, unnest(range((off // 500)::BIGINT, ((off + len - 1) // 500 + 1)::BIGINT)) AS k FROM o)),
+c AS (SELECT call_id, session, k, sum(n * score) / 500 AS score FROM p GROUP BY ALL HAVING sum(n) = 500),
+m AS (SELECT *, avg(score) OVER (PARTITION BY call_id, session ORDER BY k ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY call_id, session ORDER BY k DESC) - 1 AS back FROM c),
+x AS (SELECT call_id, session, count(*) AS chunks, max(m) >= 0.75 AS flagged, sum(0.15 * pow(0.85, back) * m) AS final FROM m GROUP BY ALL)
+SELECT call_id, min(ms) AS started_ms, max(ms) - min(ms) AS duration_ms, coalesce(any_value(chunks), 0) AS chunks, coalesce(any_value(flagged), false) AS flagged, round(coalesce(any_value(final), 0), 6) AS final_score
+FROM o LEFT JOIN x USING (call_id, session) GROUP BY call_id, session""")
+def call_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-04: sessions by start, end and silence, their frames cut again at half a second; users stand for calls, events for frames."""
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "end").otherwise("frame")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("call_id"), F.col("event_id").alias("seq"), kind.alias("kind"), "ts", (100 + F.col("event_id") % 4000).alias("len"), (F.col("value") / 491).alias("score"))
+    return calls.summaries(e).withColumn("final_score", r6("final_score"))

@@ -85,24 +85,6 @@ def rolling_alerts(stream: DataFrame, threshold: float = 0.75, window: int = 4,
     return marked.groupBy("call_id").applyInPandasWithState(step, out, "scores array<double>, mean double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def batch_completion(stream: DataFrame) -> DataFrame:
-    """One row a batch, when done and failed first reach its total; input: batch_id, total, status."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, failed, told = state.get if state.exists else (0, 0, False)
-        total = 0
-        for p in parts:
-            done += int((p["status"] == "done").sum())
-            failed += int((p["status"] == "failed").sum())
-            total = max(total, int(p["total"].max()))
-        complete = done + failed >= total
-        if complete and not told:
-            yield pd.DataFrame({"batch_id": [key[0]], "done": [done], "failed": [failed]})
-        state.update((done, failed, told or complete))
-
-    return stream.groupBy("batch_id").applyInPandasWithState(step, "batch_id long, done long, failed long", "done long, failed long, told boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def upsert_sink(stream: DataFrame, folder: str, checkpoint: str, key: str) -> StreamingQuery:
     """Latest row of each key in a versioned table: a batch replaces the rows of its keys, a repeated batch changes nothing."""
 

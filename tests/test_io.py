@@ -87,12 +87,3 @@ def test_rolling_alerts(spark, tmp_path):
     kinds = [got[m].kind for m in sorted(got) if got[m].alert]
     assert kinds == ["voice_clone"] * 2 and all(r.kind is None for r in got.values() if not r.alert)
     assert jobs.alert_kind([0.6, 0.7, 0.9]) == jobs.alert_kind([]) == "ai_voice" and jobs.alert_kind([0.5, 0.95]) == "impersonation"
-
-
-def test_batch_completion(spark, tmp_path):
-    schema = "batch_id long, total long, status string"
-    _events(spark, tmp_path / "b", [(1, 2, "done"), (2, 3, "done")], schema)
-    _events(spark, tmp_path / "b", [(1, 2, "failed"), (2, 3, "done")], schema)
-    s = jobs.read(spark, str(tmp_path / "b"), spark.read.parquet(str(tmp_path / "b")).schema, 1)
-    run(jobs.batch_completion(s), "batches")
-    assert [(r.batch_id, r.done, r.failed) for r in spark.table("batches").collect()] == [(1, 1, 1)]
