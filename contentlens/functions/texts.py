@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentlens.functions import lexicons as lex
 from contentlens.functions.decisions import clip
+from contentlens.operators.shared import written
 
 
 def tokens(text: Column) -> Column:
@@ -234,7 +234,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, bands: int = 20, per_ban
     seeds = bands * per_band
     rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__id"), F.sha2(F.lower(text), 256).alias("__text"), F.lower(text).alias("__low"))
     sig = signatures(rows.dropDuplicates(["__text"]), "__text", "__low", seeds)
-    named = sig.withColumn("__group", F.md5(F.array_join(F.col("signature").cast("array<string>"), ",").cast("binary"))).persist(StorageLevel.DISK_ONLY)
+    named = written(sig.withColumn("__group", F.md5(F.array_join(F.col("signature").cast("array<string>"), ",").cast("binary"))))
     member = rows.select("__id", "__text").join(named.select("__text", "__group"), "__text")
     names = member.groupBy("__group").agg(F.min("__id").alias("__name"))
     copies = member.join(names, "__group").where("__id <> __name").select(F.col("__name").alias("a"), F.col("__id").alias("b"), F.lit(1.0).alias("similarity")).distinct()

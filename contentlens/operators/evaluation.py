@@ -47,11 +47,11 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), mid - half)), F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), mid + half))
 
 
-def sweep(df: DataFrame, score: str, y: str, thresholds: list[float]) -> DataFrame:
-    """Confusion at each threshold (score > t), from counts by distinct score: rows are read once."""
+def sweep(df: DataFrame, score: str, y: str, thresholds: list[float], at_least: bool = False) -> DataFrame:
+    """Confusion at each threshold (score > t, or >= t), from counts by distinct score: rows are read once."""
     g = df.groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
     rows = g.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    over = F.col(score) > F.col("threshold")
+    over = F.col(score) >= F.col("threshold") if at_least else F.col(score) > F.col("threshold")
     zero = F.lit(0)
     s = rows.groupBy("threshold").agg(
         F.sum(F.when(over, F.col("pos")).otherwise(zero)).alias("tp"), F.sum(F.when(over, F.col("n") - F.col("pos")).otherwise(zero)).alias("fp"), F.sum(F.when(~over, F.col("pos")).otherwise(zero)).alias("fn")
@@ -102,3 +102,31 @@ def weighted_mean(parts: list[tuple[Column, Column, float]]) -> Column:
     zero = F.lit(0.0)
     total = sum((F.when(ok, F.lit(w)).otherwise(zero) for _, ok, w in parts), zero)
     return F.coalesce(F.try_divide(sum((F.when(ok, s * w).otherwise(zero) for s, ok, w in parts), zero), total), F.lit(0.5))
+
+
+def tier_grid(df: DataFrame, fast: str, y: str, max_fn: float = 0.02, max_fp: float = 0.15) -> DataFrame:
+    """Pairs of thresholds for two tiers: below skip_t the fast score decides, below flag_t the deep pass is spared.
+
+    For each pair (skip_t from .05 to .40, flag_t above it to .75, steps of .05): fn_rate, the share of positives below skip_t; skip_rate, the share of
+    rows below flag_t; flagged, the share of negatives at or over it; allowed, if fn_rate <= max_fn and flagged <= 1 - max_fp; best, on the pair of the
+    largest positive skip_rate that is allowed, ties to the smaller skip_t, then flag_t.  Rows are read once and counted in cells of .05; null scores or labels take no part.
+    """
+    steps = F.array(*[F.lit(i / 20) for i in range(1, 16)])
+    cell = F.size(F.filter(steps, lambda t: F.col(fast) >= t))  # thresholds at or under the score
+    cells = df.where(F.col(fast).isNotNull() & F.col(y).isNotNull()).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))  # 16 rows at most
+    whole = cells.agg(F.collect_list(F.struct("cell", "n", "pos")).alias("cells"))
+
+    def under(i: Column, of) -> Column:
+        return F.aggregate(F.filter("cells", lambda c: c["cell"] < i), F.lit(0).cast("long"), lambda s, c: s + of(c))
+
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.transform(F.sequence(i + 1, F.lit(15)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    top = F.lit(99)
+    pos, neg = (lambda c: c["pos"]), (lambda c: c["n"] - c["pos"])
+    g = whole.select("cells", F.explode(pairs).alias("p")).select(
+        (F.col("p.i") / 20).alias("skip_t"), (F.col("p.j") / 20).alias("flag_t"),
+        (under(F.col("p.i"), pos) / F.greatest(under(top, pos), F.lit(1))).alias("fn_rate"), F.try_divide(under(F.col("p.j"), lambda c: c["n"]), under(top, lambda c: c["n"])).alias("skip_rate"),
+        F.try_divide(under(top, neg) - under(F.col("p.j"), neg), under(top, neg)).alias("flagged"),
+    )
+    g = g.withColumn("allowed", (F.col("fn_rate") <= max_fn) & F.coalesce(F.col("flagged") <= 1 - max_fp, F.lit(True)))
+    first = F.row_number().over(W.orderBy(F.desc("allowed"), F.desc("skip_rate"), "skip_t", "flag_t"))  # 92 rows
+    return g.withColumn("best", F.coalesce((first == 1) & F.col("allowed") & (F.col("skip_rate") > 0), F.lit(False)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from contentlens.functions.decisions import clip, label_zone
 from contentlens.operators import evaluation as e
+from contentlens.operators import isotonic
 from contentlens.plans.base import query, r6, table
 
 #: A number from 0 to 1 drawn from md5; l1 to l3 lean towards the label.  Stand-ins, not model outputs.
@@ -94,6 +95,44 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("best", first == 1)
 
 
+@query(f"""WITH {SCORED}, t AS (SELECT round(0.3 + i * 0.02, 2) AS threshold FROM range(26) r(i)),
+g AS (SELECT threshold, count(*) FILTER (WHERE s >= threshold AND y = 1) AS tp, count(*) FILTER (WHERE s >= threshold AND y = 0) AS fp, count(*) FILTER (WHERE s < threshold AND y = 1) AS fn FROM fused, t GROUP BY 1),
+f AS (SELECT *, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1 FROM g) SELECT CAST(threshold AS DOUBLE) AS threshold, tp, fp, fn, f1, f1 > 0 AND row_number() OVER (ORDER BY f1 DESC, threshold) = 1 AS best FROM f""")
+def first_best_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-20: thresholds from .30 to .80 by .02, a score at the threshold is positive; the first of the best F1."""
+    s = e.sweep(scored(spark, sf_dir), "s", "y", [round(0.3 + i * 0.02, 2) for i in range(26)], at_least=True).withColumn("f1", F.round("f1", 9))
+    return s.withColumn("best", (F.col("f1") > 0) & (F.row_number().over(W.orderBy(F.desc("f1"), "threshold")) == 1))  # 26 rows
+
+
+@query(f"""WITH {SCORED}, t AS (SELECT i / 20 AS skip_t, j / 20 AS flag_t FROM range(1, 9) a(i), range(2, 16) b(j) WHERE j > i),
+g AS (SELECT skip_t, flag_t, count(*) FILTER (WHERE l1 < skip_t AND y = 1) / greatest(count(*) FILTER (WHERE y = 1), 1) AS fn_rate, count(*) FILTER (WHERE l1 < flag_t) / count(*) AS skip_rate,
+  count(*) FILTER (WHERE l1 >= flag_t AND y = 0) / nullif(count(*) FILTER (WHERE y = 0), 0) AS flagged FROM scored, t GROUP BY 1, 2),
+a AS (SELECT *, fn_rate <= 0.02 AND coalesce(flagged <= 1 - 0.15, true) AS allowed FROM g)
+SELECT skip_t, flag_t, round(fn_rate, 9) AS fn_rate, round(skip_rate, 9) AS skip_rate, round(flagged, 9) AS flagged, allowed, allowed AND skip_rate > 0 AND row_number() OVER (ORDER BY allowed DESC, skip_rate DESC, skip_t, flag_t) = 1 AS best FROM a""")
+def tier_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-20: pairs of thresholds for two tiers under limits on missed positives and flagged negatives."""
+    g = e.tier_grid(scored(spark, sf_dir), "l1", "y")
+    return g.withColumns({c: F.round(c, 9) for c in ("fn_rate", "skip_rate", "flagged")})
+
+
+@query(f"""WITH RECURSIVE {SCORED}, c AS (SELECT s, count(*) AS n, sum(y) AS pos FROM fused GROUP BY s),
+x AS (SELECT s, n, pos, ln(greatest(1e-6, least(1 - 1e-6, s))::DOUBLE / (1 - greatest(1e-6, least(1 - 1e-6, s))::DOUBLE)) AS x FROM c),
+newton AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+  UNION ALL SELECT i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT i, a, b, sum((n * p - pos) * x) + a / 1e4 AS ga, sum(n * p - pos) AS gb, sum(n * p * (1 - p) * x * x) + 1 / 1e4 AS haa, sum(n * p * (1 - p) * x) AS hab, sum(n * p * (1 - p)) AS hbb
+        FROM (SELECT i, a, b, n, pos, x, 1 / (1 + exp(-(a * x + b))) AS p FROM newton, x WHERE i < 20) GROUP BY i, a, b)),
+k AS (SELECT s, n, pos, sum(n) OVER (ORDER BY s) AS cx, sum(pos) OVER (ORDER BY s) AS cy FROM c),
+lows AS (SELECT l.cx - l.n AS x0, r.cx AS x1, (r.cy - l.cy + l.pos) / (r.cx - l.cx + l.n) AS m FROM k l JOIN k r ON r.cx >= l.cx),
+least_to AS (SELECT x0, k.cx AS cx, min(m) AS m FROM lows JOIN k ON k.cx > x0 AND k.cx <= x1 GROUP BY 1, 2),
+iso AS (SELECT k.s, max(l.m) AS isotonic FROM k JOIN least_to l ON l.cx = k.cx GROUP BY k.s),
+fit AS (SELECT f.doc_id, 1 / (1 + exp(-(w.a * x.x + w.b))) AS platt, isotonic FROM fused f JOIN x USING (s) JOIN iso USING (s), (SELECT a, b FROM newton WHERE i = 20) w)
+SELECT doc_id, round(platt, 6) AS platt, round(isotonic, 6) AS isotonic, round(greatest(0.01, least(0.99, (platt + isotonic) / 2)), 6) AS calibrated FROM fit""")
+def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-23: logistic and isotonic calibration, averaged and clipped; the SQL takes the isotonic fit as a maximum of minima."""
+    out = isotonic.calibrated(scored(spark, sf_dir).select("doc_id", "s", "y"), "s", "y")
+    return out.select("doc_id", r6("platt").alias("platt"), r6("isotonic").alias("isotonic"), r6("calibrated").alias("calibrated"))
+
+
 @query(f"""WITH {SCORED}, w AS (SELECT i / 20 AS w1, j / 20 AS w2, (20 - i - j) / 20 AS w3 FROM range(21) a(i), range(21) b(j) WHERE i + j <= 20), t AS (SELECT round(0.4 + k * 0.01, 2)::DOUBLE AS threshold FROM range(41) r(k)),
 x AS (SELECT w1, w2, w3, l1 * w1 + l2 * w2 + l3 * w3 AS s, y FROM scored, w),
 g AS (SELECT w1, w2, w3, threshold, count(*) FILTER (WHERE s > threshold AND y = 1) AS tp, count(*) FILTER (WHERE s > threshold) AS yes, CAST(sum(y) AS BIGINT) AS p FROM x, t GROUP BY ALL)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from contentlens.functions.alignment import alignment
 from contentlens.operators import series as s
 from contentlens.operators.monitoring import linear_percentiles, nearest_rank
 from contentlens.operators.spacing import spaced
@@ -114,6 +115,22 @@ def series_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv_id", "pairs", r6("c").alias("r"), F.when(F.col("c") < 0.3, "mismatch").otherwise("consistent").alias("verdict"))
 
 
+@query("""WITH s AS (SELECT conv_id, list(CAST(length(text) % 97 AS DOUBLE) / 97 ORDER BY turn, text) FILTER (WHERE role = 'user') AS v, list(CAST(length(text) % 89 AS DOUBLE) / 89 ORDER BY turn, text) FILTER (WHERE role <> 'user') AS a FROM conversations WHERE text IS NOT NULL GROUP BY 1),
+n AS (SELECT *, CASE WHEN len(v) >= 3 AND len(a) >= 3 THEN least(len(v), len(a), 20) ELSE 0 END AS n FROM s),
+p AS (SELECT conv_id, n, v, a, i, i * (len(v) - 1)::DOUBLE / (n - 1) AS pv, i * (len(a) - 1)::DOUBLE / (n - 1) AS pa FROM (SELECT *, unnest(range(n)) AS i FROM n WHERE n > 0)),
+q AS (SELECT conv_id, n, v[floor(pv)::INT + 1] + (pv - floor(pv)) * (v[least(floor(pv)::INT + 2, len(v))] - v[floor(pv)::INT + 1]) AS x, a[floor(pa)::INT + 1] + (pa - floor(pa)) * (a[least(floor(pa)::INT + 2, len(a))] - a[floor(pa)::INT + 1]) AS y FROM p),
+g AS (SELECT conv_id, abs(avg(x) - avg(y)) AS gap, CASE WHEN max(x) = min(x) OR max(y) = min(y) THEN 0 ELSE greatest(-1, least(1, corr(x, y))) END AS r FROM q GROUP BY 1)
+SELECT n.conv_id, CAST(n AS INTEGER) AS points, round(coalesce((r + 1) / 2 * (1 - least(gap, 1)), 0.5), 6) AS consistency, coalesce(gap > 0.3 AND r < 0.3, false) AS mismatch,
+  CASE WHEN gap > 0.5 THEN 'high' WHEN gap > 0.3 THEN 'medium' WHEN gap > 0.15 THEN 'low' ELSE 'none' END AS severity, round(r, 6) AS correlation, round(gap, 6) AS gap FROM n LEFT JOIN g USING (conv_id)""")
+def cross_modal_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-17 P-19: two series of a conversation resampled to one length, their correlation and gap; the users' turns stand for video, the others' for audio."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    of = lambda asks, m: F.transform(F.array_sort(F.collect_list(F.when(asks, F.struct("turn", "text")))), lambda x: (F.length(x["text"]) % m).cast("double") / m)
+    s = turns.groupBy("conv_id").agg(of(F.col("role") == "user", 97).alias("v"), of(F.col("role") != "user", 89).alias("a"))
+    out = s.select("conv_id", *[c.alias(n) for n, c in alignment(F.col("v"), F.col("a")).items()])
+    return out.withColumns({c: r6(c) for c in ("consistency", "correlation", "gap")})
+
+
 @query(f"""WITH {_MS}, f AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS a, count(DISTINCT event_type) AS kinds, stddev_pop(value) / avg(value) AS cv FROM e GROUP BY 1)
 SELECT user_id, ((cv < 0.5)::INT + (a = 0)::INT + (kinds < 4)::INT) AS signs, ((cv < 0.5)::INT + (a = 0)::INT + (kinds < 4)::INT >= 2) AS agent FROM f""")
 def agent_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,13 +276,13 @@ def watermark_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("doc_id", "n", "n_green", F.round("z", 4).alias("z"), F.coalesce(F.abs("z") > 3, F.lit(False)).alias("detected"))
 
 
-_SHINGLES = "list_distinct(list_transform(range(1, greatest(length(text) - 2, 1) + 1), lambda i: substr(lower(text), i, 3)))"
-
-
-#: The md5 of each seed and distinct shingle, numbered in its order within the seed, and the least number of each document.
-_MINHASH = f"""s AS (SELECT doc_id, unnest({_SHINGLES}) AS x FROM documents WHERE text IS NOT NULL),
+#: The md5 of each seed and distinct shingle, numbered in its order within the seed (r), and the least number of each document (l).  Shingles are
+#: put together from a list of characters, in one walk over a text.
+_LEAST = ", ".join(f"min(k[{i + 1}]) AS m{i}" for i in range(100))
+_MINHASH = f"""s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(c) - 2, 1) + 1), lambda i: concat(c[i], c[i + 1], c[i + 2])))) AS x FROM (SELECT doc_id, string_split(lower(text), '') AS c FROM documents WHERE text IS NOT NULL)),
 v AS (SELECT x, seed, md5(seed || ':' || x) AS least, CAST(row_number() OVER (PARTITION BY seed ORDER BY least) AS INTEGER) AS r FROM (SELECT DISTINCT x FROM s), range(100) t(seed)),
-l AS (SELECT doc_id, seed, min(r) AS r FROM s JOIN v USING (x) GROUP BY 1, 2)"""
+k AS (SELECT x, list(r ORDER BY seed) AS k FROM v GROUP BY x), m AS (SELECT doc_id, {_LEAST} FROM s JOIN k USING (x) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(range(100)) AS seed, unnest([{', '.join(f'm{i}' for i in range(100))}]) AS r FROM m)"""
 
 
 @query(f"WITH {_MINHASH} SELECT doc_id, CAST(seed AS VARCHAR) AS seed, least FROM l JOIN v USING (seed, r)")
