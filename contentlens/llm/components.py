@@ -13,7 +13,9 @@ from contentlens.llm.common import materialise
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+    """What tells a set of edges: their number and two sums of 64-bit hashes."""
+    sums = [F.sum(F.xxhash64(F.lit(k), "a", "b").cast("decimal(38,0)")) for k in (1, 2)]
+    return tuple(edges.agg(F.count(F.lit(1)), *sums).first())
 
 
 def _large(edges: DataFrame) -> DataFrame:

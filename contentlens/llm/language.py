@@ -8,13 +8,13 @@ the penalty of a parameter.  The prediction is the language with the largest
 proportion, and the proportion its score.
 
 The trigram tables are fitted on a bounded sample of rows for each language
-(``per_language``), by hash of the id; every language is learned (beyond
-``LANGUAGES`` of them there is an error, never a silent choice).  Scoring covers every whole text, with
+(``per_language``), by hash of the id and text; every language with a drawn row is
+learned (beyond ``LANGUAGES`` of them there is an error, never a silent choice).  Scoring covers every whole text, with
 arrays over many documents at once; a long text is read in parts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 with nothing learned, all are ``und``; ties go to the language first by name;
-rows with a null lang are scored but not learned from; extra columns pass
+a run of letters longer than PART + 1,000 counts as several words; rows with a null lang are scored but not learned from; extra columns pass
 through (lang_pred and lang_score are replaced).
 """
 
@@ -31,8 +31,8 @@ from contentlens.llm.common import free, held_out
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 300
-#: Languages at most: beyond, an error, as the table of BUCKETS x languages goes to every worker.  Values (word x language) worked on at once, about.
-LANGUAGES, VALUES = 4096, 1 << 24
+#: Languages at most: beyond, an error, as the table of BUCKETS x languages (at most 134 MB) goes to every worker.  Values (word x language) worked on at once, about.
+LANGUAGES, VALUES = 1024, 1 << 24
 #: Rounds of EM for each set of languages, penalty of one more language (times log of the words), characters read at once.
 ROUNDS, PENALTY, PART = 8, 1.0, 1 << 20
 _letters: list[np.ndarray] = []
@@ -63,7 +63,7 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[st
         raise ValueError(f"more than {LANGUAGES} languages to learn")
     if not names:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) / 1e6 < per_language / F.col("n")
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1_000_000)) / 1e6 < per_language / F.col("n")
     sample = known.join(F.broadcast(counts), "lang").where(drawn)  # broadcast: a row a language
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,10 +77,17 @@ def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[st
             yield pd.DataFrame({"lang": lang, "at": at, "n": n[at]})
 
     sums = sample.select("lang", "text").mapInPandas(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
-    table, place = np.full((BUCKETS, len(names)), 0.05), {n: i for i, n in enumerate(names)}
+    names = sorted({r.lang for r in sums})  # a language without a drawn row has no table: a flat one would win on what no other has seen
+    table = np.empty((BUCKETS, len(names)), np.float32)
+    by: dict[str, list] = {}
     for lang, at, n in sums:
-        table[at, place[lang]] += n
-    return names, np.log(table / table.sum(0)).astype(np.float32)
+        by.setdefault(lang, []).append((at, n))
+    for k, lang in enumerate(names):
+        column = np.full(BUCKETS, 0.05)
+        for at, n in by[lang]:
+            column[at] += n
+        table[:, k] = np.log(column / column.sum())
+    return names, table
 
 
 def word_likelihoods(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

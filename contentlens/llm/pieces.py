@@ -16,7 +16,9 @@ space or a line feed, which is checked when a model is read), every path goes
 through that boundary and it commits at once.  What lies between two such
 boundaries, mostly a word, takes the same ids wherever it stands: ids are kept
 in a bounded memo, and the words of a run that are new go through the pass side
-by side, one character a step (``walk``).
+by side, one character a step (``walk``); where few are left, as of a text
+without spaces, one by one in plain steps: some 3 microseconds a character, so
+20 MB without a space or line feed take a task about a minute.
 
 Characters outside the vocabulary become byte pieces.  A space is U+2581; one
 is put before the text (dropped again by ``decode``).  A literal U+2581 in a
@@ -44,6 +46,8 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries of a worker's memo of words and of its cache of pairs of pieces known to be stable or not; characters read at once.
 MEMO, PAIRS, RUN = 200_000, 1 << 20, 1 << 20
+#: Texts that are walked one by one, as a step of arrays costs more than theirs together; characters that are then read at once.
+FEW, ALONE = 12, 4096
 #: Above all piece numbers, which are those of the model, or its size plus a code point outside the vocabulary; the last one stands for the start.
 _BITS = 22
 _WIDE = 1 << _BITS
@@ -107,13 +111,16 @@ class Pieces:
         self.cuts = not any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in self.id)
         #: Ranks of the merges of two pieces.
         splits = ((self.id.get(p[:k]), self.id.get(p[k:]), r) for p, r in self.rank.items() for k in range(1, len(p)))
-        self.merges = Table({x << _BITS | y: r for x, y, r in splits if x is not None and y is not None})
+        self.merge_rank = {x << _BITS | y: r for x, y, r in splits if x is not None and y is not None}
+        self.merges = Table(self.merge_rank)
         self._grow_tree()
         #: The merge rules run on each piece, as far as asked for: ranks of the merges, first and last symbol before each; whether they end in the piece.
         shape = (len(self.text), self.longest)
         self.traced, self.whole = np.zeros(shape[0], bool), np.zeros(shape[0], bool)
         self.ranks, self.firsts, self.lasts = np.full(shape, _NEVER, np.int32), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
         self.cache, self.words = np.full(PAIRS, -1, np.int64), Memo()
+        self.steps: dict[int, tuple] = {}
+        self.fits: dict[int, bool] = {}
 
     def _grow_tree(self) -> None:
         """The pieces' prefix tree: (node, character) -> node, and the piece of each node or -1."""
@@ -212,10 +219,84 @@ class Pieces:
             self.cache[slot[lost]] = key[lost] << 1 | fits
         return ok
 
+    def _steps(self, i: int) -> tuple:
+        """The merge rules on one piece, as lists, and whether they end in it."""
+        if i not in self.steps:
+            if not self.traced[i]:
+                self._trace(i)
+            self.steps[i] = (self.ranks[i].tolist(), self.firsts[i].tolist(), self.lasts[i].tolist(), bool(self.whole[i]))
+        return self.steps[i]
+
+    def _pair_stays(self, a: int, b: int) -> bool:
+        """``stays`` for one pair."""
+        many = len(self.text)
+        if b >= many or a >= many:
+            return (b >= many or self._steps(b)[3]) and (a >= many or self._steps(a)[3])
+        ranks_a, _, lasts, whole_a = self._steps(a)
+        ranks_b, firsts, _, whole_b = self._steps(b)
+        if not (whole_a and whole_b):
+            return False
+        i = j = 0
+        while True:
+            p, q = ranks_a[i], ranks_b[j]
+            over = self.merge_rank.get(lasts[i] << _BITS | firsts[j], _NEVER)
+            if over < p and over <= q:
+                return False
+            if p == q == _NEVER:
+                return True
+            if p <= q:
+                i += 1
+            else:
+                j += 1
+
+    def _alone(self, text: str, at: int, before: int) -> Iterator[bytes]:
+        """The streaming pass over one text, from boundary ``at`` after piece ``before``, in plain steps: some microseconds a character.
+
+        Pieces are looked up for ALONE characters at once; the window of paths not yet committed is that of ``walk``.
+        """
+        many, fits, read = len(self.text), self.fits, ALONE
+        while at < len(text):
+            code = np.frombuffer(text[at : at + read].encode("utf-32-le", "surrogatepass"), np.uint32)
+            size, base, wide = len(code), 0, 4 * self.longest
+            start, long, number = self.find(code, np.full(size, size))
+            order = np.argsort(start + long, kind="stable")
+            start, end, number = start[order], (start + long)[order], number[order]
+            last, come = [-1] * (size + 1), [0] * (size + 1)
+            last[0] = before
+            final = at + size == len(text)
+            if len(fits) > PAIRS:
+                fits.clear()
+            i, r = 0, 0
+            starts, ends, numbers = start.tolist(), end.tolist(), number.tolist()
+            while r < size:
+                r = min(base + wide, size)
+                for i in range(i, int(np.searchsorted(end, r, "right"))):
+                    s, n = starts[i], numbers[i]
+                    key = last[s] << _BITS | n
+                    if last[s] < 0:
+                        continue
+                    ok = fits.get(key)
+                    if ok is None:
+                        ok = fits[key] = self._pair_stays(last[s], n)
+                    if ok:
+                        last[ends[i]], come[ends[i]] = n, s
+                i = int(np.searchsorted(end, r, "right"))
+                to = r if final and r == size else base + self._meet([c - base for c in come[base : r + 1]], r - base)
+                if to > base:
+                    ids, at_ = [], to
+                    while at_ > base:
+                        ids.append(last[at_])
+                        at_ = come[at_]
+                    yield np.array([y for x in reversed(ids) for y in (self.bytes_ids(chr(x - many)) if x >= many else (x,))], np.int32).tobytes()
+                    base, wide = to, 4 * self.longest
+                else:
+                    wide *= 2
+            before, at, read = last[base], at + base, ALONE if base else 2 * read
+
     def walk(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
         """The streaming pass over texts side by side, one character a step: (number of the text, ids as packed ints) as they are committed.
 
-        Of each text a window of ``4 * longest`` characters is held.  At its end
+        Of each text a window of ``4 * longest`` characters is held  At its end
         the surviving paths, those of the last ``longest`` boundaries, are
         followed back to the boundary that all share; the ids up to it are
         committed and the window moves there.  Where the paths share none but
@@ -225,6 +306,11 @@ class Pieces:
         whole, wide = np.fromiter(map(len, texts), np.int64, len(texts)), np.full(len(texts), 4 * self.longest)
         at, before = np.zeros(len(texts), np.int64), np.full(len(texts), _START)
         while todo:
+            if len(todo) <= FEW:
+                for k in todo:
+                    for ids in self._alone(texts[k], int(at[k]), int(before[k])):
+                        yield k, ids
+                return
             now = np.array(todo)
             parts = [texts[k][i:j] for k, i, j in zip(todo, at[now].tolist(), (at + wide)[now].tolist())]
             size = np.minimum(whole[now] - at[now], wide[now])

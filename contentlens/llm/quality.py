@@ -9,7 +9,8 @@ labelled rows (``max_train``); scoring covers every whole text.
 Defined cases: a null text scores like the empty text; with no labels, or one
 class only, every score is the (smoothed) share of label 1; ties in the sample
 order fall to the smaller id; repeated label rows of one id count once, with
-the higher label.  Extra columns pass through untouched, but for one named as
+the higher label; of documents that share an id, the one whose text and length
+hash least is learned from, whatever the order of rows, and all are scored; ids may be of any type.  Extra columns pass through untouched, but for one named as
 a result, which is replaced: name another by ``score`` and ``predicted``.
 """
 
@@ -119,14 +120,17 @@ def fit(documents: DataFrame, labels: DataFrame, max_train: int = 3000) -> Machi
     )
     # broadcast: at most max_train (id, label) rows
     rows = documents.select("doc_id", "text", "n_chars").join(F.broadcast(picked), "doc_id")
+    # one row an id, by aggregation: no more than max_train reach the driver
+    one = F.min_by(F.struct("text", "n_chars", "_quality"), F.xxhash64("text", F.col("n_chars").cast("double")))
+    rows = rows.groupBy("doc_id").agg(one.alias("r")).select("doc_id", "r.*")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             pairs = [features(t, n) for t, n in zip(b["text"], b["n_chars"])]
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["_quality"], "at": [p[0] for p in pairs], "x": [p[1] for p in pairs]})
 
-    got = rows.mapInPandas(encode, "doc_id long, y int, at array<long>, x array<double>").toPandas()
-    got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    of = documents.schema["doc_id"].dataType.simpleString()
+    got = rows.mapInPandas(encode, f"doc_id {of}, y int, at array<long>, x array<double>").toPandas().sort_values("doc_id")
     return train([(np.asarray(a, np.int64), np.asarray(x, np.float64), int(y)) for a, x, y in zip(got["at"], got["x"], got["y"])])
 
 

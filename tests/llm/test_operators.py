@@ -815,3 +815,58 @@ def test_extra_columns_pass_through(spark, odd):
     rows = lambda df: sorted(map(repr, df.collect()))
     assert rows(fingerprints.fingerprint_edits(wide)) == rows(fingerprints.fingerprint_edits(odd))
     assert len(rows(sharding.shard_rows(wide))) == n
+
+
+# --- texts without spaces, repeated ids, languages without a drawn row
+
+
+@pytest.mark.parametrize("kind", ["base64", "chinese", "one letter", "bytes"])
+def test_pieces_of_unbroken_texts(vocabulary, kind):
+    """A lone text of 60,000 characters without a space: the library's ids, in well under a second."""
+    import time
+
+    import sentencepiece
+
+    rng = random.Random(5)
+    alphabet = {"base64": [chr(c) for c in range(48, 123) if chr(c).isalnum()] + ["+", "/"], "chinese": [chr(c) for c in range(0x4E00, 0x9FFF)], "one letter": ["a"], "bytes": ["🎉", "é", "x"]}[kind]
+    text = "".join(rng.choice(alphabet) for _ in range(60_000))
+    began = time.perf_counter()
+    got = vocabulary.encode(text).tolist()
+    assert time.perf_counter() - began < 1.5  # .1 s as a rule
+    assert got == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(text)
+
+
+def test_pieces_of_a_million_unbroken_characters(vocabulary, monkeypatch):
+    """The window stays bounded, however long the text."""
+    import sentencepiece
+
+    rng, held, find = random.Random(6), [], vocabulary.find
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1_000_000))
+    monkeypatch.setattr(vocabulary, "find", lambda code, stop: held.append(len(code)) or find(code, stop))
+    assert vocabulary.encode(text).tolist() == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(text)
+    assert max(held) <= 2 * pieces.ALONE
+
+
+def test_pieces_alone_and_side_by_side_agree(real, vocabulary, monkeypatch):
+    texts = [r.text for r in real.where("text is not null").limit(40).collect()]
+    monkeypatch.setattr(pieces, "FEW", 0)
+    side = [b"".join(x for j, x in vocabulary.walk(texts) if j == k) for k in range(len(texts))]
+    monkeypatch.setattr(pieces, "FEW", len(texts))
+    assert [b"".join(x for j, x in vocabulary.walk(texts) if j == k) for k in range(len(texts))] == side
+
+
+def test_quality_of_repeated_ids_does_not_depend_on_order(spark, real):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    twice = real.unionByName(real.withColumn("text", F.concat(F.lit("other "), F.reverse("text"))))
+    a, b = (quality.fit(twice.repartition(n, key), labels, 60) for n, key in ((3, "text"), (7, "lang")))
+    assert a.bias == b.bias and (a.linear == b.linear).all() and (a.factors == b.factors).all()
+    text_ids = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    assert quality.fit(text_ids(real), text_ids(labels), 60).linear.any()
+
+
+def test_a_language_without_a_drawn_row_is_left_out(spark):
+    rows = [(i, f"the cat and dog {i}", "en", "a") for i in range(60)] + [(1, "die katze und der hund", "de", "a")] * 1000
+    df = docs(spark, rows)
+    names, table = language.fit(df, per_language=5)
+    drawn = {r.lang for r in df.where(~F.expr("crc32(cast(doc_id as string)) % 5 = 0")).join(df.groupBy("lang").count(), "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1_000_000)) / 1e6 < 5 / F.col("count")).select("lang").collect()}
+    assert set(names) == drawn and table.shape[1] == len(names)
