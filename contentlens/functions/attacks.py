@@ -1,7 +1,8 @@
 """Attacks on texts, to see how far scores hold: Columns that stay in the JVM.
 
-What is changed is drawn by md5 from place and word, so that a text is always
-attacked in the same way.
+Places are drawn without replacement by a rule of their number and the text's
+length, so that a text is always attacked in the same way and exactly the share
+of a strength is changed.
 """
 
 from __future__ import annotations
@@ -9,54 +10,85 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Replacements of words and of letters, and the share of places that each strength changes.
+# Replacements of words and of letters, what the strengths change, and the least share of texts still found after each attack.
 SYNONYMS = {"the": "a", "is": "are", "was": "were", "good": "great", "bad": "poor", "big": "large", "small": "tiny", "use": "utilise", "show": "demonstrate", "make": "create", "get": "obtain"}
 GLYPHS = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с"}
-STRENGTH = {"low": 0.05, "medium": 0.15, "high": 0.30}
-#: Words in a run whose order is drawn anew; a character that does not show.
-RUN, BLANK = 8, "\u200b"
+#: Sentences whose words lose their order; per cent of words; per cent of characters; per cent of characters, one at least.
+STRENGTHS = {
+    "shuffle": {"low": 1, "medium": 3, "high": 6}, "synonym": {"low": 5, "medium": 15, "high": 30},
+    "zwsp": {"low": 1, "medium": 5, "high": 10}, "homoglyph": {"low": 1, "medium": 3, "high": 8},
+}
+CRITERIA = {"shuffle": 0.75, "synonym": 0.80, "zwsp": 0.85, "homoglyph": 0.80}
+#: A character that does not show; multiplier and modulus of the draw: an odd multiplier gives every place a number of its own.
+BLANK, TIMES, MODULUS = "\u200b", 2654435761, 1 << 32
 
 
-def _draw(*parts: Column) -> Column:
-    """A number from 0 to 1."""
-    digits = F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 6)
-    return F.conv(digits, 16, 10).cast("long") / 16777216
+def _number(i: Column, many: Column) -> Column:
+    return (i.cast("long") + many) * F.lit(TIMES).cast("long") % F.lit(MODULUS).cast("long")
+
+
+def _share(many: Column, per_cent: int) -> Column:
+    return F.floor(many * per_cent / 100).cast("int")
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with the value worked out once a row: an expression within a lambda is worked out for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _spoiled(parts: Column, n, change, glue: str) -> Column:
+    """The parts, with change() of n(how many there are) of them, joined again."""
+
+    def drawn(p: Column) -> Column:
+        many = F.size(p)
+        numbers = F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), lambda i: _number(i, many)))
+        last = F.when((n(many) > 0) & (many > 0), F.get(numbers, F.least(n(many), many) - 1))
+        return _let(last, lambda x: F.array_join(F.transform(p, lambda w, i: F.when(F.coalesce(_number(i, many) <= x, F.lit(False)), change(w)).otherwise(w)), glue))
+
+    return _let(parts, drawn)
 
 
 def _words(text: Column) -> Column:
-    return F.split(text, " ", -1)
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def shuffle_words(text: Column, share: float) -> Column:
-    """Some runs of words lose their order."""
+def _chars(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
-    def placed(word: Column, i: Column) -> Column:
-        run = F.floor(i / RUN)
-        loose = _draw(F.lit("run"), run, F.length(text)) < share
-        order = F.when(loose, F.md5(F.concat_ws(":", i, word).cast("binary"))).otherwise(F.lpad(i.cast("string"), 12, "0"))
-        return F.struct(run.alias("run"), order.alias("order"), word.alias("word"))
 
-    return F.array_join(F.transform(F.array_sort(F.transform(_words(text), placed)), lambda x: x["word"]), " ")
+def shuffle_sentences(text: Column, sentences: int) -> Column:
+    """The words of so many sentences, which end in a full stop and a space, are put in another order."""
+    order = lambda s: F.array_sort(F.transform(_words(s), lambda w, i: F.struct(F.md5(F.concat_ws(":", i, w).cast("binary")).alias("o"), w.alias("w"))))
+    return _spoiled(F.split(text, r"\. ", -1), lambda _: F.lit(sentences), lambda s: F.array_join(F.transform(order(s), lambda x: x["w"]), " "), ". ")
 
 
-def swap_synonyms(text: Column, share: float) -> Column:
-    """Some words of a short list give way to others."""
+def swap_synonyms(text: Column, per_cent: int) -> Column:
+    """Of so many words, those of a short list give way to others; words are parted by single spaces after that."""
     other = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
-    return F.array_join(F.transform(_words(text), lambda w, i: F.when(_draw(F.lit("synonym"), i, w) < share, F.coalesce(F.try_element_at(other, F.lower(w)), w)).otherwise(w)), " ")
 
+    def change(w: Column) -> Column:
+        bare = F.regexp_replace(F.lower(w), "[.,;:]+$", "")
+        new = F.try_element_at(other, bare)
+        return F.when(new.isNotNull(), F.replace(w, bare, new)).otherwise(w)
+
+    return _spoiled(_words(text), lambda many: _share(many, per_cent), change, " ")
 
-def insert_blanks(text: Column, share: float) -> Column:
-    """Some words get a zero-width space after their first letter."""
-    put = lambda w: F.concat(F.substring(w, 1, 1), F.lit(BLANK), F.substring(w, F.lit(2), F.length(w)))
-    return F.array_join(F.transform(_words(text), lambda w, i: F.when((w != "") & (_draw(F.lit("blank"), i, w) < share), put(w)).otherwise(w)), " ")
 
+def insert_blanks(text: Column, per_cent: int) -> Column:
+    """A zero-width space before so many characters."""
+    return _spoiled(_chars(text), lambda many: _share(many, per_cent), lambda c: F.concat(F.lit(BLANK), c), "")
 
-def swap_glyphs(text: Column, share: float = 1.0) -> Column:
-    """Letters give way to ones that look alike, in some words or, with a share of 1, everywhere."""
+
+def swap_glyphs(text: Column, per_cent: int) -> Column:
+    """So many characters, one at least, give way to ones that look alike, if there are such."""
     low, high = "".join(GLYPHS), "".join(GLYPHS.values())
-    if share >= 1:
-        return F.translate(text, low, high)
-    return F.array_join(F.transform(_words(text), lambda w, i: F.when(_draw(F.lit("glyph"), i, w) < share, F.translate(w, low, high)).otherwise(w)), " ")
+    return _spoiled(_chars(text), lambda many: F.greatest(F.lit(1), _share(many, per_cent)), lambda c: F.when(F.lower(c).isin(*GLYPHS), F.translate(F.lower(c), low, high)).otherwise(c), "")
+
+
+ATTACKS = {"shuffle": shuffle_sentences, "synonym": swap_synonyms, "zwsp": insert_blanks, "homoglyph": swap_glyphs}
 
 
-ATTACKS = {"shuffle": shuffle_words, "synonym": swap_synonyms, "zwsp": insert_blanks, "homoglyph": swap_glyphs}
+def variants(text: Column) -> Column:
+    """An array with each attack at each strength: attack, strength, text."""
+    some = [(k, s, ATTACKS[k](text, n)) for k, by in STRENGTHS.items() for s, n in by.items()]
+    return F.array(*[F.struct(F.lit(k).alias("attack"), F.lit(s).alias("strength"), c.alias("text")) for k, s, c in some])

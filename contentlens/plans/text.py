@@ -425,31 +425,55 @@ def back_translation_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round("p", 9).alias("passive_rate"), F.round("c", 9).alias("coord_start_rate"), F.round(adjusted, 9).alias("adjusted"))
 
 
-_DRAW = "(('0x' || substr(md5({}), 1, 6))::UBIGINT / 16777216)"
-_SWAPPED = "CASE " + " ".join(f"WHEN lower(w) = '{a}' THEN '{b}'" for a, b in attacks.SYNONYMS.items()) + " ELSE w END"
-_GLYPHED = f"translate(w, '{''.join(attacks.GLYPHS)}', '{''.join(attacks.GLYPHS.values())}')"
-
-
-def _attack_sql(kind: str, draw: str, then: str, share: float) -> str:
-    word = f"(SELECT CASE WHEN w <> '' AND {_DRAW.format(draw)} < {share} THEN {then} ELSE w END)"
-    return f"SELECT doc_id, '{kind}' AS attack, '{{s}}' AS strength, array_to_string(list_transform(w_, lambda w, i: {word}), ' ') AS x FROM w".replace("{s}", next(k for k, v in attacks.STRENGTH.items() if v == share))
-
-
-_ATTACKS = []
-for _s, _v in [("medium", attacks.STRENGTH["medium"])]:
-    _loose = _DRAW.format(f"'run:' || ((i - 1) // {attacks.RUN}) || ':' || length(text)") + f" < {_v}"
-    _placed = f"{{'run': (i - 1) // {attacks.RUN}, 'o': CASE WHEN {_loose} THEN md5((i - 1) || ':' || w) ELSE lpad(CAST(i - 1 AS VARCHAR), 12, '0') END, 'w': w}}"
-    _ATTACKS.append(f"SELECT doc_id, 'shuffle' AS attack, '{_s}' AS strength, array_to_string(list_transform(list_sort(list_transform(w_, lambda w, i: {_placed})), lambda y: y.w), ' ') AS x FROM w")
-    _ATTACKS.append(_attack_sql("synonym", "'synonym:' || (i - 1) || ':' || w", _SWAPPED, _v))
-    _ATTACKS.append(_attack_sql("zwsp", "'blank:' || (i - 1) || ':' || w", "substr(w, 1, 1) || chr(8203) || substr(w, 2)", _v))
-    _ATTACKS.append(_attack_sql("homoglyph", "'glyph:' || (i - 1) || ':' || w", _GLYPHED, _v))
-
-
-@query(f"WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS w_ FROM documents), a AS ({' UNION ALL '.join(_ATTACKS).replace('(SELECT CASE', '(CASE')}) SELECT doc_id, attack, strength, md5(x) AS attacked_md5 FROM a")
+_SWAPPED = "CASE regexp_replace(lower(w), '[.,;:]+$', '') " + " ".join(f"WHEN '{a}' THEN replace(w, '{a}', '{b}')" for a, b in attacks.SYNONYMS.items()) + " ELSE w END"
+_GLYPHED = f"CASE WHEN lower(w) IN ({', '.join(repr(g) for g in attacks.GLYPHS)}) THEN translate(lower(w), '{''.join(attacks.GLYPHS)}', '{''.join(attacks.GLYPHS.values())}') ELSE w END"
+_BARE = r"list_filter(regexp_split_to_array({}, '\s+'), lambda y: y <> '')"
+_SHUFFLED = f"array_to_string(list_transform(list_sort(list_transform({_BARE.format('w')}, lambda v, j: {{'o': md5((j - 1) || ':' || v), 'w': v}})), lambda z: z.w), ' ')"
+#: Parts of a text, how many of them are drawn for an amount, what becomes of a part, and what joins them.
+_HOW = {
+    "shuffle": ("string_split(text, '. ')", "{}", _SHUFFLED, ". "), "synonym": (_BARE.format("text"), "m * {} // 100", _SWAPPED, " "),
+    "zwsp": ("string_split(text, '')", "m * {} // 100", f"'{attacks.BLANK}' || w", ""), "homoglyph": ("string_split(text, '')", "greatest(1, m * {} // 100)", _GLYPHED, ""),
+}
+_H = f"((i - 1 + m) * {attacks.TIMES} % {attacks.MODULUS})"
+_ATTACKED = " UNION ALL ".join(
+    f"""SELECT doc_id, '{k}' AS attack, '{s}' AS strength, array_to_string(list_transform(p, lambda w, i: CASE WHEN {_H} <= last THEN {change} ELSE w END), '{glue}') AS x
+  FROM (SELECT doc_id, p, m, CASE WHEN n > 0 THEN list_sort(list_transform(range(1, m + 1), lambda i: {_H}))[least(n, m)] END AS last FROM (SELECT doc_id, p, m, {n.format(v)} AS n FROM (SELECT doc_id, p, len(p) AS m FROM (SELECT doc_id, {parts} AS p FROM victims))))"""
+    for k, (parts, n, change, glue) in _HOW.items() for s, v in attacks.STRENGTHS[k].items()
+)
+
+
+@query(f"WITH victims AS (SELECT doc_id, text FROM documents), a AS ({_ATTACKED}) SELECT doc_id, attack, strength, md5(x) AS attacked_md5 FROM a")
 def attacked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T-48: each text under each attack of medium strength, as a hash."""
-    some = [F.struct(F.lit(k).alias("attack"), F.lit(s).alias("strength"), F.md5(f(F.col("text"), v).cast("binary")).alias("attacked_md5")) for s, v in [("medium", attacks.STRENGTH["medium"])] for k, f in attacks.ATTACKS.items()]
-    return _docs(spark, sf_dir).select("doc_id", F.explode(F.array(*some)).alias("a")).select("doc_id", "a.attack", "a.strength", "a.attacked_md5")
+    """T-48: each text under each attack of each strength, as a hash."""
+    out = _docs(spark, sf_dir).select("doc_id", F.explode(attacks.variants(F.col("text"))).alias("a"))
+    return out.select("doc_id", "a.attack", "a.strength", F.md5(F.col("a.text").cast("binary")).alias("attacked_md5"))
+
+
+_LEAST_RATES = ", ".join(f"('{k}', {v})" for k, v in attacks.CRITERIA.items())
+
+
+@query(f"""WITH victims AS (SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND text IS NOT NULL), a AS ({_ATTACKED} UNION ALL SELECT doc_id, 'none', 'none', text FROM victims),
+k AS (SELECT row_number() OVER () AS key, * FROM a), d AS (SELECT key AS doc_id, x AS text FROM k), {_STYLE.replace("FROM documents", "FROM d")},
+s AS (SELECT k.doc_id, attack, strength, CAST(score AS DOUBLE) AS score FROM k JOIN scored ON scored.doc_id = key),
+g AS (SELECT h.attack, h.strength, avg(b.score) AS baseline, avg(h.score) AS attacked, avg((h.score >= 0.5)::INT) AS rate FROM s h JOIN s b ON b.doc_id = h.doc_id AND b.attack = 'none' WHERE h.attack <> 'none' GROUP BY 1, 2),
+r AS (SELECT g.*, rate >= c.least AS passed FROM g JOIN (VALUES {_LEAST_RATES}) c(attack, least) USING (attack))
+SELECT attack, strength, round(baseline, 6) AS baseline, round(attacked, 6) AS attacked, round(baseline - attacked, 6) AS score_drop, round(rate, 6) AS detection_rate, passed,
+  round(avg(passed::INT) OVER (), 6) AS pass_rate, first(attack) OVER (ORDER BY rate, attack, strength) || ':' || first(strength) OVER (ORDER BY rate, attack, strength) AS weakest FROM r""")
+def attack_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-31: good documents attacked, scored again and held against their own score; the share of attacks that pass, and the weakest."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    d = _docs(spark, sf_dir).where("text is not null").join(good, "doc_id").select("doc_id", "text")
+    hit = t.stylometry(d.select("doc_id", F.explode(attacks.variants(F.col("text"))).alias("a")).select("doc_id", "a.*")).select("doc_id", "attack", "strength", "score")
+    base = t.stylometry(d).select("doc_id", F.col("score").alias("own"))
+    rate = F.avg((F.col("score") >= 0.5).cast("int"))
+    g = hit.join(base, "doc_id").groupBy("attack", "strength").agg(F.avg("own").alias("baseline"), F.avg("score").alias("attacked"), rate.alias("rate"))
+    least = F.create_map(*[F.lit(x) for kv in attacks.CRITERIA.items() for x in kv])
+    g = g.withColumn("passed", F.col("rate") >= F.element_at(least, F.col("attack")))
+    total = g.agg(F.avg(F.col("passed").cast("int")).alias("pass_rate"), F.min_by(F.concat_ws(":", "attack", "strength"), F.struct("rate", "attack", "strength")).alias("weakest"))  # one row
+    return g.crossJoin(F.broadcast(total)).select(
+        "attack", "strength", r6("baseline").alias("baseline"), r6("attacked").alias("attacked"), r6(F.col("baseline") - F.col("attacked")).alias("score_drop"),
+        r6("rate").alias("detection_rate"), "passed", r6("pass_rate").alias("pass_rate"), "weakest",
+    )
 
 
 _NAMES = r"list_distinct(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]*')))"

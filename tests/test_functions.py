@@ -91,12 +91,26 @@ def test_rewrites_are_seeded(spark):
 @pytest.mark.parametrize("kind", ["shuffle", "synonym", "zwsp", "homoglyph"])
 def test_attacks(spark, kind):
     text = "The big show is good. We use the small one and get it. " * 10
-    attack = lambda share: one(spark, [(text,), (None,), ("",)], "t string", a=attacks.ATTACKS[kind](F.col("t"), share))
-    high, low = attack(0.9), attack(0.0)
-    assert [r.a for r in low] == [text, None, ""] and [r.a for r in high[1:]] == [None, ""]
+    attack = lambda amount: one(spark, [(text,), (None,), ("",)], "t string", a=attacks.ATTACKS[kind](F.col("t"), amount))
+    high, low = attack(100), attack(0)
+    assert [r.a for r in high[1:]] == [None, ""] and (kind == "homoglyph" or low[0].a.split() == text.split())
     r = high[0].a
-    assert r != text and (kind != "zwsp" or r.replace("\u200b", "") == text) and (kind != "shuffle" or sorted(r.split(" ")) == sorted(text.split(" ")))
-    assert kind != "homoglyph" or attacks.GLYPHS["a"] in one(spark, [("aeo",)], "t string", a=attacks.swap_glyphs(F.col("t")))[0].a
+    assert r != text and (kind != "zwsp" or r.replace("\u200b", "") == text) and (kind != "shuffle" or sorted(r.replace(".", "").split()) == sorted(text.replace(".", "").split()))
+    assert kind != "synonym" or r.startswith("The large demonstrate are great. We utilise a tiny one and obtain it.")
+    assert kind != "homoglyph" or attacks.swap_glyphs is attacks.ATTACKS[kind] and set(r) & set(attacks.GLYPHS) == set()
+
+
+@pytest.mark.parametrize("kind, strength", [(k, s) for k in attacks.STRENGTHS for s in attacks.STRENGTHS[k]])
+def test_attacks_change_the_share_of_their_strength(spark, kind, strength):
+    amount = attacks.STRENGTHS[kind][strength]
+    words = [f"w{i}" for i in range(8)]
+    text = {"shuffle": ". ".join(" ".join(words) for _ in range(9)), "synonym": " ".join(["big"] * 200), "zwsp": "x" * 300, "homoglyph": "a" * 300}[kind]
+    got = one(spark, [(text,)], "t string", a=attacks.ATTACKS[kind](F.col("t"), amount))[0].a
+    changed = {
+        "shuffle": lambda: sum(s != " ".join(words) for s in got.split(". ")), "synonym": lambda: got.split().count("large") * 100 / 200,
+        "zwsp": lambda: got.count("\u200b") * 100 / 300, "homoglyph": lambda: got.count("а") * 100 / 300,
+    }[kind]()
+    assert changed == amount
 
 
 def test_bytes(spark):
