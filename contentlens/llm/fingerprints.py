@@ -95,6 +95,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used)
 
 
+def _doubles(values: list[float]) -> Column:
+    """An array as one constant, however long."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>") if values else F.array().cast("array<double>")
+
+
 def bounds(documents: DataFrame) -> tuple[list[float], list[float], Column]:
     """What cuts the documents into buckets of about as many: ids in descending order; for those with a null id, text hashes in ascending
     order, both as doubles, which keep the order; and what tells the first rows of all.  From ids and hashes alone."""
@@ -105,7 +110,7 @@ def bounds(documents: DataFrame) -> tuple[list[float], list[float], Column]:
         many = rows // size
         if many < 2:
             return set()
-        share = F.array(*[F.lit(i / many) for i in range(1, many)])
+        share = _doubles([i / many for i in range(1, many)])
         return set(documents.where(where).agg(F.percentile_approx(F.col(of).cast("double"), share, F.lit(max(20_000, 4 * many)))).first()[0])
 
     ids = cuts("doc_id", n - nulls, F.col("doc_id").isNotNull()) - ({float(top)} if top is not None else set())
@@ -131,8 +136,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     Equal rows count once.
     """
     ids, hashes, start = bounds(documents)
-    doubles = lambda x: F.array(*map(F.lit, x)).cast("array<double>")
-    id_cuts, t_cuts, null, home = doubles(ids), doubles(hashes), F.col("doc_id").isNull(), F.col("home")
+    id_cuts, t_cuts, null, home = _doubles(ids), _doubles(hashes), F.col("doc_id").isNull(), F.col("home")
     doc_id, t = F.col("doc_id").cast("double"), F.col("t").cast("double")
     by_id, by_hash = _passed(id_cuts, len(ids), lambda c: doc_id <= c), _passed(t_cuts, len(hashes), lambda c: t >= c)
     rows = documents.withColumn("home", F.when(null, len(ids) + by_hash).otherwise(by_id))
