@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentlens.functions.udfs import sign
+from contentlens.functions.signing import sign
 
 # Byte strings that a provenance manifest leaves in a file.
 MANIFEST_MARKS = ["c2pa", "jumb", "urn:uuid", "contentauth"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contentlens.functions import udfs
+from contentlens.functions import signing, udfs
 from contentlens.plans.base import query, r6, table
 from contentlens.sources import database
 from contentlens.streaming import claims
@@ -16,6 +16,9 @@ JOBS = """jobs AS (SELECT o_orderkey AS job_id, o_custkey AS user_id, o_orderdat
   CASE o_orderpriority WHEN '1-URGENT' THEN 'image' WHEN '2-HIGH' THEN 'video' WHEN '3-MEDIUM' THEN 'audio' ELSE 'text' END AS content_type FROM orders),
 results AS (SELECT l_orderkey AS job_id, avg(l_discount) * 10 AS score, count(*) AS parts FROM lineitem GROUP BY 1), now_ AS (SELECT max(o_orderdate) AS t FROM orders)"""
 
+#: A key for the stand-in reports.
+_KEY = "a key of the stand-in reports"
+
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "O", "PENDING").otherwise("PROCESSING")
@@ -164,6 +167,12 @@ def job_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).select("job_id", report.alias("report"), F.sha2(F.concat_ws(":", "job_id", "status"), 256).alias("signature"))
 
 
+@query(f"""WITH {JOBS} SELECT job_id, sha256(unhex('{signing.pads(_KEY)[1].hex()}') || unhex(sha256(unhex('{signing.pads(_KEY)[0].hex()}') || encode(job_id || ':' || status || ':' || content_type)))) AS signature FROM jobs""")
+def signed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-43: HMAC-SHA256 of what a report says."""
+    return jobs(spark, sf_dir).select("job_id", signing.sign(F.concat_ws(":", "job_id", "status", "content_type"), _KEY).alias("signature"))
+
+
 @query(f"""WITH {JOBS}, c AS (SELECT md5(content_type || (user_id % 100)) AS key, job_id, created_at, CASE content_type WHEN 'text' THEN 30 WHEN 'image' THEN 7 ELSE 1 END AS ttl FROM jobs), f AS (SELECT *, lag(created_at) OVER (PARTITION BY key ORDER BY created_at, job_id) AS before FROM c)
 SELECT job_id, coalesce(created_at <= before + to_days(ttl), false) AS hit FROM f""")
 def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

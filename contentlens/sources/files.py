@@ -59,3 +59,23 @@ def provenance(df: DataFrame, **facts: str) -> DataFrame:
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of each file."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def write_with_facts(df: DataFrame, path: str, facts: dict[str, str], columns: dict[str, dict[str, str]] | None = None, mode: str = "error") -> None:
+    """Parquet whose footers carry facts of the table (a commit, a clock, counts: given by the caller) and of its columns.
+
+    Facts of the table are kept with the first column, under ``table``; Spark stores both with its schema in every file.
+    """
+    columns = columns or {}
+    if unknown := set(columns) - set(df.columns):
+        raise ValueError(f"no columns {sorted(unknown)}; there are {df.columns}")
+    first = df.columns[0]
+    meta = {c: {"facts": columns.get(c, {})} | ({"table": facts} if c == first else {}) for c in df.columns}
+    df.select(*[F.col(f"`{c}`").alias(c, metadata=m) if any(m.values()) else F.col(f"`{c}`") for c, m in meta.items()]).write.mode(mode).parquet(path)
+
+
+def read_facts(spark: SparkSession, path: str) -> tuple[dict[str, str], dict[str, dict[str, str]]]:
+    """The facts of a table and of its columns, from the footers alone; empty where there are none."""
+    fields = spark.read.parquet(path).schema.fields
+    table = next((f.metadata["table"] for f in fields if "table" in f.metadata), {})
+    return table, {f.name: f.metadata["facts"] for f in fields if f.metadata.get("facts")}

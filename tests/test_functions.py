@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from contentlens.functions import attacks, calibration, provenance, texts, udfs
+from contentlens.functions import attacks, calibration, provenance, texts, signing, udfs
 from contentlens.functions.decisions import POLICIES, label_zone, normal_upper_tail, psi_class, trust_state
 
 
@@ -76,7 +76,7 @@ def test_two_word_entries_never_match(spark):
 
 
 def test_compose_and_sign(spark):
-    r = one(spark, [("é", "p"), (None, None)], "t string, p string", c=udfs.compose(F.col("t")), s=udfs.sign(F.col("p"), "k"))
+    r = one(spark, [("é", "p"), (None, None)], "t string, p string", c=udfs.compose(F.col("t")), s=signing.sign(F.col("p"), "k"))
     assert r[0].c == "é" and r[0].s == hmac.new(b"k", b"p", hashlib.sha256).hexdigest() and r[1].c is None and r[1].s is None
 
 

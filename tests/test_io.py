@@ -87,3 +87,33 @@ def test_rolling_alerts(spark, tmp_path):
     kinds = [got[m].kind for m in sorted(got) if got[m].alert]
     assert kinds == ["voice_clone"] * 2 and all(r.kind is None for r in got.values() if not r.alert)
     assert jobs.alert_kind([0.6, 0.7, 0.9]) == jobs.alert_kind([]) == "ai_voice" and jobs.alert_kind([0.5, 0.95]) == "impersonation"
+
+
+def test_facts_in_the_footers(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([("d1", 1), ("d2", 2)], "day string, n int")
+    at, facts = str(tmp_path / "f"), {"git_sha": "0" * 40, "written_at": "2026-01-01T00:00:00Z", "rows": "2"}
+    files.write_with_facts(df, at, facts, {"n": {"unit": "documents"}})
+    assert files.read_facts(spark, at) == (facts, {"n": {"unit": "documents"}})
+    again = str(tmp_path / "g")
+    spark.read.parquet(at).where("n > 1").write.parquet(again)  # facts survive another write
+    assert files.read_facts(spark, again)[0] == facts and spark.read.parquet(again).count() == 1
+    part = next((tmp_path / "f").glob("*.parquet"))
+    assert facts["git_sha"] in pq.read_schema(part).metadata[b"org.apache.spark.sql.parquet.row.metadata"].decode()
+    df.write.parquet(str(tmp_path / "h"))
+    assert files.read_facts(spark, str(tmp_path / "h")) == ({}, {})
+    with pytest.raises(ValueError):
+        files.write_with_facts(df, at, facts, {"none": {}})
+
+
+@pytest.mark.parametrize("key", ["", "key", "k" * 64, "k" * 65, "schlüssel"])
+def test_hmac(spark, key):
+    import hashlib
+    import hmac
+
+    from contentlens.functions.signing import sign
+
+    texts = ["", "a", "x" * 1000, "ünï 🎉", None]
+    got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(sign(F.col("t"), key).alias("s")).collect()]
+    assert got == [None if t is None else hmac.new(key.encode(), t.encode(), hashlib.sha256).hexdigest() for t in texts]
