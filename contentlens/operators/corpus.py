@@ -68,10 +68,10 @@ def drop_leaks(split: DataFrame, text: str = "text") -> DataFrame:
     return part["train"].unionByName(val).unionByName(test).drop("__md5")
 
 
-def cap_each(df: DataFrame, by: str, most: int, order: Column) -> DataFrame:
-    """At most ``most`` rows of each group: a per-source limit, which is the feature."""
-    rn = F.row_number().over(W.partitionBy(by).orderBy("__h"))
-    return df.withColumn("__h", order).withColumn("__rn", rn).where(F.col("__rn") <= most).drop("__h", "__rn")
+def cap_each(df: DataFrame, by: str, most: int | Column, order: Column) -> DataFrame:
+    """At most ``most`` rows of each group: a per-source limit, which is the feature.  A null group is a group; no task orders a whole one."""
+    rows = ranked(df.withColumn("__g", F.struct(by)), order, ["__g"], name="__rank")
+    return rows.where(F.col("__rank") <= most).select(*df.columns)
 
 
 def oversample(df: DataFrame, hard: DataFrame, on: str, times: int) -> DataFrame:

@@ -78,8 +78,9 @@ SELECT doc_id, source FROM r WHERE rn <= (SELECT count(*) FROM documents) // (SE
 def source_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-05 S-06: total // sources // 2 rows of each source, within a length range; the cap is the feature."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    n, k = d.agg(F.count(F.lit(1)), F.count_distinct("source")).first()
-    return c.cap_each(d.where("n_chars between 200 and 8000"), "source", n // max(k, 1) // 2, c.hash_order(F.col("doc_id"), "c")).select("doc_id", "source")
+    each = d.agg(F.floor(F.floor(F.count(F.lit(1)) / F.greatest(F.count_distinct("source"), F.lit(1))) / 2).alias("most"))  # one row
+    some = d.where("n_chars between 200 and 8000").crossJoin(F.broadcast(each))
+    return c.cap_each(some, "source", F.col("most"), c.hash_order(F.col("doc_id"), "c")).select("doc_id", "source")
 
 
 @query(f"""WITH {LABELLED}, w AS (SELECT doc_id, label, 1.0::DOUBLE AS weight FROM labelled), hard AS (SELECT doc_id FROM w WHERE label = 0)

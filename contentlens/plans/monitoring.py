@@ -60,7 +60,7 @@ def percentile_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, key = predictions(spark, sf_dir), ["event_type"]
     near = m.nearest_rank(p, key, "input_length", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     floor = m.nearest_rank(p, key, "input_length", {"p95_floor": 0.95}, "floor")
-    linear = p.groupBy(*key).agg(F.percentile("input_length", 0.95).alias("p95_linear"), F.percentile("input_length", 0.5).alias("median"))
+    linear = m.linear_percentiles(p, key, "input_length", {"p95_linear": 0.95, "median": 0.5})
     return near.join(floor, key).join(linear, key)
 
 
@@ -115,8 +115,10 @@ def reference_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir)
     stats = p.agg(
         r6(F.min("p")).alias("p_min"), r6(F.max("p")).alias("p_max"), r6(F.avg("p")).alias("p_mean"), r6(F.stddev_pop("p")).alias("p_std"),
-        r6(F.percentile("p", 0.5)).alias("p_median"), F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"),
     )
+    median = m.linear_percentiles(p.select(F.lit(1).alias("all"), "p"), ["all"], "p", {"p_median": 0.5})
+    stats = stats.crossJoin(F.broadcast(median.select(r6("p_median").alias("p_median"))))  # broadcast: one row
     counts = m.bucket_counts(p, [], "p", EDGES).where("count > 0")
     both = counts.crossJoin(F.broadcast(stats))  # broadcast: one row
     return both.withColumn("proportion", r6(F.col("count") / F.col("n"))).drop("n")

@@ -7,7 +7,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from contentlens.functions import attacks, calibration, provenance, texts, signing, udfs
+from contentlens.functions import attacks, calibration, provenance, signing, texts, udfs
 from contentlens.functions.decisions import POLICIES, label_zone, normal_upper_tail, psi_class, trust_state
 
 
