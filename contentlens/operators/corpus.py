@@ -70,8 +70,9 @@ def drop_leaks(split: DataFrame, text: str = "text") -> DataFrame:
 
 def cap_each(df: DataFrame, by: str, most: int | Column, order: Column) -> DataFrame:
     """At most ``most`` rows of each group: a per-source limit, which is the feature.  A null group is a group; no task orders a whole one."""
-    rows = ranked(df.withColumn("__g", F.struct(by)), order, ["__g"], name="__rank")
-    return rows.where(F.col("__rank") <= most).select(*df.columns)
+    limit = most if isinstance(most, Column) else F.lit(most)
+    rows = df.select(F.struct(*df.columns).alias("__row"), F.struct(by).alias("__g"), order.alias("__o"), limit.alias("__most"))
+    return ranked(rows, F.col("__o"), ["__g"]).where("rank <= __most").select("__row.*")
 
 
 def oversample(df: DataFrame, hard: DataFrame, on: str, times: int) -> DataFrame:

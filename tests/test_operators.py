@@ -110,6 +110,15 @@ def test_folds_match_a_loop(spark):
     assert sorted(r.t for r in spaced(spark.createDataFrame(times, "k int, t long"), "k", "t", 50).collect()) == kept
 
 
+def test_cap_each_of_hot_and_null_groups(spark):
+    rows = [(i, None if i % 7 == 0 else "hot" if i % 7 < 6 else "small", i) for i in range(700)]
+    df = spark.createDataFrame(rows, "id int, source string, n int").withColumn("rank", F.lit("mine"))
+    got = [tuple(r) for r in corpus.cap_each(df, "source", 90, corpus.hash_order(F.col("id"))).select("source", "n", "rank").collect()]
+    size = {s: sum(g[0] == s for g in got) for s in (None, "hot", "small")}
+    assert size == {None: 90, "hot": 90, "small": 90} and {g[2] for g in got} == {"mine"}
+    assert corpus.cap_each(df.where("id < 0"), "source", 90, corpus.hash_order(F.col("id"))).count() == 0
+
+
 def test_chunks(spark):
     df = spark.createDataFrame([(10.0,), (30.0,), (30.5,), (86.0,), (86.5,)], "t double")
     assert [len(r.c) for r in df.select(series.chunks(F.col("t")).alias("c")).collect()] == [1, 1, 2, 3, 4]
