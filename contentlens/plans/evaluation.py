@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contentlens.functions.decisions import clip, label_zone
+from contentlens.functions.texts import tokens
+from contentlens.functions.vectors import detector_vector, layer_vector
 from contentlens.operators import evaluation as e
 from contentlens.operators import isotonic
 from contentlens.plans.base import query, r6, table
@@ -227,6 +229,43 @@ def layer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[r6(F.get("s", F.lit(i))).alias(f"f{i + 1}") for i in range(4)], r6(F.aggregate("ok", F.lit(0.0), lambda a, x: a + x)).alias("n_ok"), r6(spread).alias("spread"))
 
 
+_TTR = r"len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) / nullif(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), 0)"
+_N_WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''))"
+_RAN = "list_filter([a, b, c, d], lambda x: x IS NOT NULL)"
+
+
+@query(rf"""WITH {SCORED}, f AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 5 <> 0 THEN l1 END AS a, CASE WHEN doc_id % 30 <> 1 THEN l2 END AS b, CASE WHEN doc_id % 3 <> 0 THEN l3 END AS c, CASE WHEN doc_id % 2 = 0 THEN 1 - l1 END AS d, CASE WHEN doc_id % 7 <> 0 THEN 20 + 100 * l2 END AS ppl,
+  {_TTR} AS ttr, len(list_filter(string_split(coalesce(text, ''), '.'), lambda p: {_N_WORDS.format('p')} >= 4)) AS ns, {_N_WORDS.format("coalesce(text, '')")} AS nw FROM scored JOIN documents USING (doc_id)),
+g AS (SELECT *, greatest(ns, 1) AS n, list_avg({_RAN}) AS m FROM f)
+SELECT doc_id, list_transform(CAST([coalesce(a, 0.5), coalesce(b, 0.5), coalesce(c, 0.5), coalesce(d, 0.5), (a IS NOT NULL)::INT, (b IS NOT NULL)::INT, (c IS NOT NULL)::INT, (d IS NOT NULL)::INT, CASE WHEN a IS NULL THEN 80 ELSE coalesce(ppl, 80) END, 30, 30, 0.3, nw / n, 5,
+  0.01, 0.01, CASE WHEN b IS NULL THEN 0.6 ELSE coalesce(ttr, 0.6) END, 0, 0.05, 0.7, coalesce(c, 0.5), coalesce(d, 0.5), nw, n, nw / n, CASE WHEN len({_RAN}) > 0 THEN sqrt(list_avg(list_transform({_RAN}, lambda x: (x - m) * (x - m)))) ELSE 0 END] AS DOUBLE[]), lambda x: round(x, 6)) AS features FROM g""")
+def layer_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-08: 26 features of layers of which some did not run or gave no evidence, and of the text."""
+    d, words = scored(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), tokens(F.col("text"))
+    i = F.col("doc_id")
+    scores = {"perplexity": F.when(i % 5 != 0, F.col("l1")), "stylometry": F.when(i % 30 != 1, F.col("l2")), "transformer": F.when(i % 3 != 0, F.col("l3")), "adversarial": F.when(i % 2 == 0, 1 - F.col("l1"))}
+    evidence = {"mean_perplexity": F.when(i % 7 != 0, 20 + 100 * F.col("l2")), "type_token_ratio": F.try_divide(F.size(F.array_distinct(words)), F.size(words)), "doc_score_l3": scores["transformer"], "doc_score_l4": scores["adversarial"]}
+    return d.select("doc_id", F.transform(layer_vector(scores, evidence, F.col("text")), r6).alias("features"))
+
+
+_DET = "CASE WHEN {0} AND NOT {1} THEN {2} ELSE {3} END"
+_IMG, _VID, _BAD = "(doc_id % 3 = 0)", "(doc_id % 4 = 1)", "(doc_id % 6 = 0)"
+
+
+@query(f"""WITH {SCORED}, f AS (SELECT doc_id, toxic, l1, {_DET.format(_IMG, _BAD, 'l2', '0.5')} AS im, {_DET.format(_VID, 'false', 'l3', '0.5')} AS vi, {_DET.format(_IMG, _BAD, '0.9', '0')} AS ci, {_DET.format(_VID, 'false', '0.7', '0')} AS cv, {_BAD}::INT AS bad, {_VID}::INT AS v, l2, l3 FROM scored),
+g AS (SELECT *, CASE WHEN bad = 1 THEN [l1, vi, 0.5, 0.5] ELSE [l1, im, vi, 0.5, 0.5] END AS ok FROM f)
+SELECT doc_id, list_transform(CAST([l1, im, vi, 0.5, 0.5, 0.8, ci, cv, 0, 0, 0, bad, 0, 0, 0, list_avg(ok), list_max(ok), list_min(ok), sqrt(list_avg(list_transform(ok, lambda x: (x - list_avg(ok)) * (x - list_avg(ok))))), (coalesce(toxic, 0) = 1)::INT, (doc_id % 11 = 0)::INT, (doc_id % 13 = 0)::INT,
+  1 - v, 0, v, 0, 0, 2 * v, CASE WHEN v = 1 THEN greatest(l2, l3) ELSE 0 END] AS DOUBLE[]), lambda x: round(x, 6)) AS features FROM g""")
+def detector_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-09: 29 features of the detectors that ran on a job, one of them failed on some; videos come with two flagged segments."""
+    i, c = F.col("doc_id"), F.col
+    of = lambda kind, score, sure, error, flagged: F.struct(F.lit(kind).alias("type"), score.alias("score"), F.lit(sure).alias("confidence"), error.alias("error"), flagged.alias("flagged"))
+    none = F.array().cast("array<double>")
+    all_ = F.array(F.when(i % 4 == 1, of("video", c("l3"), 0.7, F.lit(False), F.array("l2", "l3"))), of("text", c("l1"), 0.8, F.lit(False), none), F.when(i % 3 == 0, of("image", c("l2"), 0.9, i % 6 == 0, none)))
+    v = detector_vector(F.filter(all_, lambda o: o.isNotNull()), c("toxic") == 1, i % 11 == 0, i % 13 == 0)
+    return scored(spark, sf_dir).select("doc_id", F.transform(v, r6).alias("features"))
+
+
 @query(f"""WITH {SCORED}, a AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0.5 ELSE (0.35 * l1 + 0.25 * l2 + CASE WHEN doc_id % 3 <> 0 THEN 0.2 * l3 ELSE 0 END) / (0.6 + CASE WHEN doc_id % 3 <> 0 THEN 0.2 ELSE 0 END) END AS avg_, toxic, n_chars FROM scored)
 SELECT doc_id, round(avg_, 9) AS base, round(greatest(0.01, least(0.99, avg_ + CASE WHEN toxic = 1 THEN 0.1 ELSE 0 END + CASE WHEN n_chars > 5000 THEN 0.06 ELSE 0 END - CASE WHEN n_chars < 500 THEN 0.04 ELSE 0 END)), 9) AS engine,
   round(greatest(0.01, least(0.99, avg_ + CASE WHEN toxic = 1 THEN 0.15 ELSE 0 END + 0.08 * least(n_chars // 2000, 3) / 3 - CASE WHEN n_chars < 500 THEN 0.05 ELSE 0 END)), 9) AS result FROM a""")
