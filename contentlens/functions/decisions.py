@@ -61,3 +61,24 @@ def normal_upper_tail(z: Column) -> Column:
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     tail = 0.5 * poly * F.exp(-x * x)
     return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
+def metadata_adjusted(score: Column, rule: str, *, watermark: Column, ai_device: Column, camera: Column, verified: Column, image: Column | None = None, suspicious: Column | None = None) -> Column:
+    """The score moved by a found watermark's confidence (null for none), the device and verified provenance, clipped to .01 and .99.
+
+    ``rule`` is 'engine' or 'result'.  In 'result' a device moves the score up only for images, by up to three suspicious signs, and a camera counts
+    only where it does not.  Null signs are false, a null score stays null.
+    """
+    sign = lambda c: F.coalesce(c, F.lit(False))
+    move = lambda c, by: F.when(c, by).otherwise(0.0)
+    sure = sign(watermark > 0.7)
+    # Fixed values
+    if rule == "engine":
+        change = move(sure, 0.10 * watermark) + move(sign(ai_device), 0.06) - move(sign(camera), 0.04) - move(sign(verified), 0.15)
+    elif rule == "result":
+        signs = F.least(F.coalesce(suspicious, F.lit(0)), F.lit(3)) if suspicious is not None else F.lit(0)
+        device = sign(ai_device) & sign(image) if image is not None else F.lit(False)
+        change = move(sure, 0.15 * watermark) + F.when(device, 0.08 * signs / 3).otherwise(-move(sign(camera), 0.05)) - move(sign(verified), 0.20)
+    else:
+        raise ValueError(f"no rule {rule}: engine or result")
+    return F.when(score.isNotNull(), clip(score + change))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contentlens.functions.decisions import clip, label_zone
+from contentlens.functions.decisions import clip, label_zone, metadata_adjusted
 from contentlens.functions.texts import tokens
 from contentlens.functions.vectors import detector_vector, layer_vector
 from contentlens.operators import evaluation as e
@@ -280,6 +280,16 @@ def detector_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round("base", 9).alias("base"), F.round(clip(engine), 9).alias("engine"), F.round(clip(result), 9).alias("result"))
 
 
+@query(f"""WITH {SCORED}, f AS (SELECT doc_id, s, CASE WHEN toxic = 1 AND l2 > 0.7 THEN l2 ELSE 0 END AS w, doc_id % 7 = 0 AS ai, doc_id % 4 = 0 AS cam, doc_id % 13 = 0 AS ok, doc_id % 2 = 1 AS img, doc_id % 5 AS signs FROM fused)
+SELECT doc_id, round(greatest(0.01, least(0.99, s + 0.1 * w + 0.06 * ai::INT - 0.04 * cam::INT - 0.15 * ok::INT)), 6) AS engine,
+  round(greatest(0.01, least(0.99, s + 0.15 * w + CASE WHEN ai AND img THEN 0.08 * least(signs, 3) / 3 WHEN cam THEN -0.05 ELSE 0 END - 0.2 * ok::INT)), 6) AS result FROM f""")
+def metadata_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-11: both adjusters with all their terms; the signs come from ids and labels."""
+    i = F.col("doc_id")
+    signs = {"watermark": F.when(F.col("toxic") == 1, F.col("l2")), "ai_device": i % 7 == 0, "camera": i % 4 == 0, "verified": i % 13 == 0, "image": i % 2 == 1, "suspicious": i % 5}
+    return scored(spark, sf_dir).select("doc_id", *[r6(metadata_adjusted(F.col("s"), rule, **signs)).alias(rule) for rule in ("engine", "result")])
+
+
 @query(f"""WITH {SCORED} SELECT doc_id, (l1 >= 0.45) AS deep, round(CASE WHEN l1 >= 0.45 THEN greatest(0.01, least(0.99, 0.2 * l1 + 0.8 * l3)) ELSE greatest(0.01, least(0.99, l1)) END, 6) AS final FROM scored""")
 def tier_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-07: the slow scorer only where the fast one says so; two branches, so that it runs on routed rows alone."""

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contentlens.functions import vectors as v
+from contentlens.functions.decisions import metadata_adjusted
 
 OUT = "array<struct<type:string,score:double,confidence:double,error:boolean,flagged:array<double>>>"
 
@@ -51,3 +52,13 @@ def test_detector_vector(spark):
     assert strange[:5] == [0.5] * 5 and strange[22:] == [1, 0, 0, 0, 0, 1, 0.2]
     assert silent[3] == 0.5 and silent[8] == 0 and silent[25] == 1
     assert broken[15:19] == [0.5, 0.5, 0.5, 0] and broken[10:15] == [1] * 5
+
+
+def test_metadata_adjusted(spark):
+    rows = [(0.5, 0.8, True, True, False, True, 5), (0.5, 0.7, True, True, True, False, 1), (0.95, 1.0, True, False, False, True, 9), (None, 0.9, True, True, True, True, 1), (0.1, None, None, None, True, None, None)]
+    df = spark.createDataFrame(rows, "s double, w double, ai boolean, cam boolean, ok boolean, img boolean, n int")
+    signs = {"watermark": F.col("w"), "ai_device": F.col("ai"), "camera": F.col("cam"), "verified": F.col("ok"), "image": F.col("img"), "suspicious": F.col("n")}
+    got = [tuple(r) for r in df.select(*[metadata_adjusted(F.col("s"), k, **signs) for k in ("engine", "result")]).collect()]
+    want = [(0.5 + 0.08 + 0.06 - 0.04, 0.5 + 0.12 + 0.08), (0.5 + 0.06 - 0.04 - 0.15, 0.5 - 0.05 - 0.2), (0.99, 0.99), (None, None), (0.01, 0.01)]
+    assert [x is None for r in got for x in r] == [x is None for r in want for x in r]
+    assert [x for r in got for x in r if x is not None] == pytest.approx([x for r in want for x in r if x is not None])
