@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from contentlens.functions import evidence as v
 from contentlens.functions.alignment import alignment
 from contentlens.operators import series as s
 from contentlens.operators.monitoring import linear_percentiles, nearest_rank
@@ -140,6 +141,25 @@ def agent_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("user_id", signs.alias("signs"), (signs >= 2).alias("agent"))
 
 
+_BOT = " OR ".join(f"contains(ua, '{w}')" for w in v.BOT_WORDS)
+
+
+@query(f"""WITH f AS (SELECT user_id, stddev_pop(value) / greatest(avg(value), 1) AS cv, CASE WHEN user_id % 5 = 0 THEN 'python-client/3' WHEN user_id % 5 < 3 THEN 'mozilla/5.0' END AS ua, 1000 * min(value) AS ms, count(DISTINCT event_type) AS kinds, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'view') AS views, 100 * count(*) AS height FROM events GROUP BY 1),
+s AS (SELECT user_id, list_filter([CASE WHEN cv < 0.15 THEN 'keystrokes' END, CASE WHEN {_BOT} THEN 'user_agent' END, CASE WHEN ms < 3000 AND kinds > 3 THEN 'fast_form' END, CASE WHEN clicks = 0 THEN 'no_mouse' END, CASE WHEN views = 0 AND height > 1000 THEN 'no_scroll' END], lambda x: x IS NOT NULL) AS s FROM f)
+SELECT user_id, array_to_string(s, ',') AS signs, len(s) >= 2 AS agent, round(least(len(s) / 3, 1), 4) AS confidence, CASE WHEN len(s) >= 3 THEN 'high' WHEN len(s) = 2 THEN 'medium' ELSE 'low' END AS risk FROM s""")
+def agent_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-17: all five signs of automation; a user's values, kinds of events and counts stand for keystrokes, fields and page height."""
+    of = lambda kind: F.count_if(F.col("event_type") == kind) > 0
+    f = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        (F.stddev_pop("value") / F.greatest(F.avg("value"), F.lit(1.0))).alias("cv"), (1000 * F.min("value")).alias("ms"), F.count_distinct("event_type").alias("kinds"),
+        of("click").alias("mouse"), of("view").alias("scroll"), (100 * F.count(F.lit(1))).alias("height"),
+    )
+    agent = F.when(F.col("user_id") % 5 == 0, "Python-client/3").when(F.col("user_id") % 5 < 3, "Mozilla/5.0")
+    d = f.select("user_id", v.agent_signs(F.col("cv"), agent, F.col("ms"), F.col("kinds"), F.col("mouse"), F.col("scroll"), F.col("height")).alias("s"))
+    is_agent, sure, risk = v.agent_risk(F.col("s"))
+    return d.select("user_id", F.array_join("s", ",").alias("signs"), is_agent.alias("agent"), F.round(sure, 4).alias("confidence"), risk.alias("risk"))
+
+
 @query(f"""WITH {_MS}, r AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ms, event_id) AS i, value FROM e), g AS (SELECT event_type, count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, avg((value <= 100)::INT) AS on_time FROM r GROUP BY 1)
 SELECT event_type, n, round(m, 6) AS mean, round(sd, 6) AS std, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p99, 6) AS p99, round(100 * on_time, 6) AS pct_on_time, (p95 <= 150) AS target_met FROM g""")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contentlens.functions import vectors as v
 from contentlens.functions.decisions import metadata_adjusted
+from contentlens.functions.evidence import agent_risk, agent_signs
 
 OUT = "array<struct<type:string,score:double,confidence:double,error:boolean,flagged:array<double>>>"
 
@@ -62,3 +63,16 @@ def test_metadata_adjusted(spark):
     want = [(0.5 + 0.08 + 0.06 - 0.04, 0.5 + 0.12 + 0.08), (0.5 + 0.06 - 0.04 - 0.15, 0.5 - 0.05 - 0.2), (0.99, 0.99), (None, None), (0.01, 0.01)]
     assert [x is None for r in got for x in r] == [x is None for r in want for x in r]
     assert [x for r in got for x in r if x is not None] == pytest.approx([x for r in want for x in r if x is not None])
+
+
+def test_agent_signs(spark):
+    rows = [
+        (0.1, "My-Crawler/1", 2999, 4, False, False, 1001), (0.15, "Mozilla", 3000, 9, True, True, 9999), (None, None, None, None, None, None, None),
+        (0.2, "curl/8", 100, 3, True, False, 1000), (0.2, "GO-HTTP", 100, 4, True, None, 10),
+    ]
+    df = spark.createDataFrame(rows, "cv double, ua string, ms long, n long, mouse boolean, scroll boolean, h long")
+    df = df.select(agent_signs(*[F.col(c) for c in df.columns]).alias("s"))
+    got = [(r.s, r.a, round(r.c, 4), r.r) for r in df.select("s", *[c.alias(n) for c, n in zip(agent_risk(F.col("s")), "acr")]).collect()]
+    assert got[0] == (["keystrokes", "user_agent", "fast_form", "no_mouse", "no_scroll"], True, 1.0, "high")
+    assert got[1:4] == [([], False, 0.0, "low"), (["no_mouse"], False, 0.3333, "low"), (["user_agent"], False, 0.3333, "low")]
+    assert got[4] == (["user_agent", "fast_form"], True, 0.6667, "medium")
