@@ -51,6 +51,14 @@ def differences(df: DataFrame, key: str, order: list[str], value: str) -> DataFr
     return first.withColumn("d2", F.col("d1") - F.lag("d1").over(w))
 
 
+def correlated(df: DataFrame, keys: list[str], x: str, y: str, name: str) -> DataFrame:
+    """keys, pairs (the rows of a key) and the correlation of x and y over rows with both: NaN where one of them is constant, null without such rows."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    of = lambda c: F.stddev_pop(F.when(both, F.col(c)))
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.covar_pop(x, y).alias("__cov"), (of(x) * of(y)).alias("__spread"))
+    return g.select(*keys, "pairs", F.when(F.col("__spread") == 0, float("nan")).otherwise(F.try_divide("__cov", "__spread")).alias(name))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

@@ -112,7 +112,7 @@ def overlapping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def series_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-17 P-19: correlation of two aligned series of a conversation."""
     p = table(spark, sf_dir, "conversations").select("conv_id", F.length("text").alias("n"), F.lag(F.length("text")).over(W.partitionBy("conv_id").orderBy("turn")).alias("before")).where("before is not null")
-    g = p.groupBy("conv_id").agg(F.count(F.lit(1)).alias("pairs"), F.corr("before", "n").alias("c")).where("pairs >= 3")
+    g = s.correlated(p, ["conv_id"], "before", "n", "c").where("pairs >= 3")
     return g.select("conv_id", "pairs", r6("c").alias("r"), F.when(F.col("c") < 0.3, "mismatch").otherwise("consistent").alias("verdict"))
 
 
