@@ -7,9 +7,11 @@ of a strength is changed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contentlens.functions.texts import let
+
 # Replacements of words and of letters, what the strengths change, and the least share of texts still found after each attack.
 SYNONYMS = {"the": "a", "is": "are", "was": "were", "good": "great", "bad": "poor", "big": "large", "small": "tiny", "use": "utilise", "show": "demonstrate", "make": "create", "get": "obtain"}
 GLYPHS = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с"}
@@ -31,21 +33,30 @@ def _share(many: Column, per_cent: int) -> Column:
     return F.floor(many * per_cent / 100).cast("int")
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with the value worked out once a row: an expression within a lambda is worked out for each element."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def _drawn(parts: Column) -> Column:
+    """Places of the parts in the order in which they are drawn: the number above the lowest 31 bits, the place in them."""
+    many = F.size(parts)
+    return F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), lambda i: F.shiftleft(_number(i, many), 31).bitwiseOR(i.cast("long"))))
 
 
-def _spoiled(parts: Column, n, change, glue: str) -> Column:
-    """The parts, with change() of n(how many there are) of them, joined again."""
+def _places(parts: Column, drawn: Column, n) -> Column:
+    """The first n(how many parts there are) places that are drawn, ascending."""
+    many = F.size(parts)
+    first = F.slice(drawn, F.lit(1), F.coalesce(F.greatest(F.least(n(many), many), F.lit(0)), F.lit(0)).cast("int"))
+    return F.sort_array(F.transform(first, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
+
 
-    def drawn(p: Column) -> Column:
-        many = F.size(p)
-        numbers = F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), lambda i: _number(i, many)))
-        last = F.when((n(many) > 0) & (many > 0), F.get(numbers, F.least(n(many), many) - 1))
-        return _let(last, lambda x: F.array_join(F.transform(p, lambda w, i: F.when(F.coalesce(_number(i, many) <= x, F.lit(False)), change(w)).otherwise(w)), glue))
+def _changed(parts: Column, places: Column, change, glue: str) -> Column:
+    """The parts, with change() of those at the places, joined again.  What lies between two places is taken as one slice."""
+    before = lambda j: F.coalesce(F.get(places, j - 1), F.lit(-1))
+    piece = lambda p, j: F.array_join(F.concat(F.slice(parts, before(j) + 2, p - before(j) - 1), F.array(change(F.get(parts, p)))), glue)
+    end = before(F.size(places))
+    rest = F.when(end + 1 < F.size(parts), F.array(F.array_join(F.slice(parts, end + 2, F.size(parts)), glue))).otherwise(F.array().cast("array<string>"))
+    return F.when(parts.isNotNull(), F.array_join(F.concat(F.transform(places, piece), rest), glue))
 
-    return _let(parts, drawn)
+
+def _spoiled(parts: Column, n, change, glue: str) -> Column:
+    return let(parts, lambda p: let(_places(p, _drawn(p), n), lambda at: _changed(p, at, change, glue)))
 
 
 def _words(text: Column) -> Column:
@@ -53,42 +64,74 @@ def _words(text: Column) -> Column:
 
 
 def _chars(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+
+def _sentences(text: Column) -> Column:
+    return F.split(text, r"\. ", -1)
+
+
+def _shuffled(sentence: Column) -> Column:
+    order = F.array_sort(F.transform(_words(sentence), lambda w, i: F.struct(F.md5(F.concat_ws(":", i, w).cast("binary")).alias("o"), w.alias("w"))))
+    return F.array_join(F.transform(order, lambda x: x["w"]), " ")
+
+
+def _swapped(w: Column) -> Column:
+    bare = F.regexp_replace(F.lower(w), "[.,;:]+$", "")
+    new = F.try_element_at(F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair]), bare)
+    return F.when(new.isNotNull(), F.replace(w, bare, new)).otherwise(w)
+
+
+def _glyphed(c: Column) -> Column:
+    return F.when(F.lower(c).isin(*GLYPHS), F.translate(F.lower(c), "".join(GLYPHS), "".join(GLYPHS.values()))).otherwise(c)
+
+
+#: For each attack: parts of a text, how many of so many are drawn for an amount, what becomes of a part, and what joins them.
+HOW = {
+    "shuffle": (_sentences, lambda many, v: F.lit(v), _shuffled, ". "), "synonym": (_words, _share, _swapped, " "),
+    "zwsp": (_chars, _share, lambda c: F.concat(F.lit(BLANK), c), ""), "homoglyph": (_chars, lambda many, v: F.greatest(F.lit(1), _share(many, v)), _glyphed, ""),
+}
+
+
+def _attack(kind: str, text: Column, amount: int) -> Column:
+    parts, n, change, glue = HOW[kind]
+    return _spoiled(parts(text), lambda many: n(many, amount), change, glue)
 
 
 def shuffle_sentences(text: Column, sentences: int) -> Column:
     """The words of so many sentences, which end in a full stop and a space, are put in another order."""
-    order = lambda s: F.array_sort(F.transform(_words(s), lambda w, i: F.struct(F.md5(F.concat_ws(":", i, w).cast("binary")).alias("o"), w.alias("w"))))
-    return _spoiled(F.split(text, r"\. ", -1), lambda _: F.lit(sentences), lambda s: F.array_join(F.transform(order(s), lambda x: x["w"]), " "), ". ")
+    return _attack("shuffle", text, sentences)
 
 
 def swap_synonyms(text: Column, per_cent: int) -> Column:
     """Of so many words, those of a short list give way to others; words are parted by single spaces after that."""
-    other = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
-
-    def change(w: Column) -> Column:
-        bare = F.regexp_replace(F.lower(w), "[.,;:]+$", "")
-        new = F.try_element_at(other, bare)
-        return F.when(new.isNotNull(), F.replace(w, bare, new)).otherwise(w)
-
-    return _spoiled(_words(text), lambda many: _share(many, per_cent), change, " ")
+    return _attack("synonym", text, per_cent)
 
 
 def insert_blanks(text: Column, per_cent: int) -> Column:
     """A zero-width space before so many characters."""
-    return _spoiled(_chars(text), lambda many: _share(many, per_cent), lambda c: F.concat(F.lit(BLANK), c), "")
+    return _attack("zwsp", text, per_cent)
 
 
 def swap_glyphs(text: Column, per_cent: int) -> Column:
     """So many characters, one at least, give way to ones that look alike, if there are such."""
-    low, high = "".join(GLYPHS), "".join(GLYPHS.values())
-    return _spoiled(_chars(text), lambda many: F.greatest(F.lit(1), _share(many, per_cent)), lambda c: F.when(F.lower(c).isin(*GLYPHS), F.translate(F.lower(c), low, high)).otherwise(c), "")
+    return _attack("homoglyph", text, per_cent)
 
 
-ATTACKS = {"shuffle": shuffle_sentences, "synonym": swap_synonyms, "zwsp": insert_blanks, "homoglyph": swap_glyphs}
+def attacked(df: DataFrame, text: str = "text") -> DataFrame:
+    """Each row with its text under each attack at each strength: attack, strength and the text take the place of the text.
 
+    Texts are cut and places drawn once for all strengths, in columns of their own; names with two underscores in front are not for df.
+    """
+    cuts = {cut: f"__{cut.__name__}" for cut, *_ in HOW.values()}
+    rest = [c for c in df.columns if c != text]
+    cut = df.select(*rest, *[f(F.col(text)).alias(name) for f, name in cuts.items()])
+    cut = cut.withColumns({f"{name}_drawn": _drawn(F.col(name)) for name in cuts.values()})
+    each = [(k, s, v) for k, by in STRENGTHS.items() for s, v in by.items()]
+    at = lambda f, n, v: _places(F.col(cuts[f]), F.col(f"{cuts[f]}_drawn"), lambda many: n(many, v))
+    cut = cut.select(*rest, *cuts.values(), *[at(HOW[k][0], HOW[k][1], v).alias(f"__{k}_{s}") for k, s, v in each])
+    some = [F.struct(F.lit(k).alias("attack"), F.lit(s).alias("strength"), _changed(F.col(cuts[HOW[k][0]]), F.col(f"__{k}_{s}"), *HOW[k][2:]).alias(text)) for k, s, _ in each]
+    return cut.select(*rest, F.explode(F.array(*some)).alias("__a")).select(*rest, "__a.*")
 
-def variants(text: Column) -> Column:
-    """An array with each attack at each strength: attack, strength, text."""
-    some = [(k, s, ATTACKS[k](text, n)) for k, by in STRENGTHS.items() for s, n in by.items()]
-    return F.array(*[F.struct(F.lit(k).alias("attack"), F.lit(s).alias("strength"), c.alias("text")) for k, s, c in some])
+
+ATTACKS = {"shuffle": shuffle_sentences, "synonym": swap_synonyms, "zwsp": insert_blanks, "homoglyph": swap_glyphs}
