@@ -44,8 +44,9 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: dict[str, float
     """
     slack, accuracy = 0.001, 10_000
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    ends = [F.percentile_approx("__v", F.lit(max(0.0, q - slack) if low else min(1.0, q + slack)), F.lit(accuracy)) for q in qs.values() for low in (True, False)]
-    bounds = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*ends).alias("__e"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    ends = F.array(*[F.lit(max(0.0, q - slack) if low else min(1.0, q + slack)) for q in qs.values() for low in (True, False)])
+    # one sketch a group for all ends
+    bounds = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__v", ends, F.lit(accuracy)).alias("__e"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
     small = F.col("n") < 10 / slack  # too few rows for the slack to cover a rank on either side
     out = bounds.select(*keys)
     for i, (name, q) in enumerate(qs.items()):
