@@ -10,11 +10,12 @@ flagged once m is at least THRESHOLD.
 
 Defined cases: a frame without a session starts one, a "start" closes an open one first, as does
 silence of SILENCE milliseconds or more; "end" closes after its frame; frames of no length count for the times only; null lengths
-count as 0, null scores as 0.5 and null frame numbers come first; rows without a call or a time take no part.
+and such below 0 count as 0, null scores as 0.5 and null frame numbers come first; rows without a call or a time take no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 CHUNK, WINDOW, SILENCE, THRESHOLD, DECAY = 500, 4, 1_800_000, 0.75, 0.85
+#: Parts of chunks that a task of the batch twin sorts.
+PARTS = 500_000
 SUMMARY = "call_id long, started_ms long, duration_ms long, chunks long, flagged boolean, final_score double"
 
 
@@ -31,7 +34,7 @@ def _clean(frames: DataFrame) -> DataFrame:
     """call_id, seq, kind, ms, len, score, ts."""
     return frames.where("call_id is not null and ts is not null").select(
         F.col("call_id").cast("long").alias("call_id"), F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 62))).alias("seq"), F.coalesce("kind", F.lit("frame")).alias("kind"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.coalesce(F.col("len").cast("long"), F.lit(0)).alias("len"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.greatest(F.col("len").cast("long"), F.lit(0)).alias("len"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.5)).alias("score"), F.col("ts").cast("timestamp").alias("ts"),
     )
 
@@ -129,20 +132,29 @@ def sessions(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def summaries(frames: DataFrame) -> DataFrame:
-    """The summaries of all sessions of a table of frames."""
+    """The summaries of all sessions of a table of frames.
+
+    A task sorts twice, its calls' frames and the parts of their chunks, and groups nothing; it has some PARTS parts, so there are more tasks for a larger table.
+    """
+    frames = _clean(frames)
+    parts = frames.agg(F.sum(1 + F.col("len") / CHUNK)).first()[0] or 0
     w = W.partitionBy("call_id").orderBy("ms", "seq")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
     begins = (F.col("kind") == "start") | F.coalesce(F.lag("kind").over(w) == "end", F.lit(False)) | F.coalesce(F.col("ms") - F.lag("ms").over(w) >= SILENCE, F.lit(True))
-    rows = _clean(frames).withColumn("new", begins.cast("int"))
-    rows = rows.withColumn("session", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = frames.repartition(max(frames.sparkSession.sparkContext.defaultParallelism, math.ceil(parts / PARTS)), "call_id").select("call_id", "seq", "ms", "len", "score", begins.alias("new"))
+    rows = rows.withColumns({"session": F.sum(F.col("new").cast("int")).over(so_far), "started_ms": F.last(F.when(F.col("new"), F.col("ms")), True).over(so_far), "closing": F.coalesce(F.lead("new").over(w), F.lit(True)), "off": F.sum("len").over(so_far) - F.col("len")})
+    rows = rows.withColumn("off", F.col("off") - F.last(F.when(F.col("new"), F.col("off")), True).over(so_far))
     key = ["call_id", "session"]
-    rows = rows.withColumn("off", F.sum("len").over(W.partitionBy(*key).orderBy("ms", "seq").rowsBetween(W.unboundedPreceding, 0)) - F.col("len"))
-    calls = rows.groupBy(*key).agg(F.min("ms").alias("started_ms"), (F.max("ms") - F.min("ms")).alias("duration_ms"))
     first, last = F.floor(F.col("off") / CHUNK), F.floor((F.col("off") + F.col("len") - 1) / CHUNK)
-    parts = rows.where("len > 0").select(*key, "off", "len", "score", F.explode(F.sequence(first, last)).alias("k"))
+    # a session's last frame has a part even if it has no length
+    cut = rows.where("len > 0 or closing").select(*key, "started_ms", (F.col("ms") - F.col("started_ms")).alias("duration_ms"), "closing", "off", "len", "score", F.explode(F.sequence(first, F.greatest(first, last))).alias("k"))
     shared = F.least(F.col("off") + F.col("len"), (F.col("k") + 1) * CHUNK) - F.greatest("off", F.col("k") * CHUNK)
-    chunks = parts.groupBy(*key, "k").agg(F.sum(shared).alias("n"), (F.sum(shared * F.col("score")) / CHUNK).alias("score")).where(F.col("n") == CHUNK)
+    heard = W.partitionBy(*key, "k").orderBy("off").rowsBetween(W.unboundedPreceding, 0)
+    chunks = cut.withColumn("n", shared).select(*key, "started_ms", "duration_ms", "closing", "k", F.sum("n").over(heard).alias("n"), (F.sum(F.col("n") * F.col("score")).over(heard) / CHUNK).alias("score"))
+    # the part that fills a chunk has its score; of a session's last frame all other parts than the last fill theirs
+    chunks = chunks.where((F.col("n") == CHUNK) | F.col("closing")).withColumn("score", F.when(F.col("n") == CHUNK, F.col("score")))
     order = W.partitionBy(*key).orderBy("k")
-    means = chunks.withColumn("m", F.avg("score").over(order.rowsBetween(1 - WINDOW, 0))).withColumn("back", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("k"))) - 1)
-    scored = means.groupBy(*key).agg(F.count(F.lit(1)).alias("chunks"), (F.max("m") >= THRESHOLD).alias("flagged"), F.sum((1 - DECAY) * F.pow(F.lit(DECAY), "back") * F.col("m")).alias("final_score"))
-    zero = {"chunks": F.coalesce("chunks", F.lit(0)), "flagged": F.coalesce("flagged", F.lit(False)), "final_score": F.coalesce("final_score", F.lit(0.0))}
-    return calls.join(scored, key, "left").withColumns(zero).select("call_id", "started_ms", "duration_ms", "chunks", "flagged", "final_score")
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    means = chunks.withColumns({"m": F.when(F.col("score").isNotNull(), F.avg("score").over(order.rowsBetween(1 - WINDOW, 0))), "chunks": F.count("score").over(whole), "ends": F.lead("k").over(order).isNull()})
+    scored = means.withColumns({"flagged": F.max("m").over(whole) >= THRESHOLD, "final_score": F.sum((1 - DECAY) * F.pow(F.lit(DECAY), F.col("chunks") - 1 - F.col("k")) * F.col("m")).over(whole)}).where("ends")
+    return scored.select("call_id", "started_ms", "duration_ms", "chunks", F.coalesce("flagged", F.lit(False)).alias("flagged"), F.coalesce("final_score", F.lit(0.0)).alias("final_score"))
