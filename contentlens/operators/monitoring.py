@@ -36,6 +36,11 @@ def day_metrics(predictions: DataFrame) -> DataFrame:
     return one.withColumn("entropy_bits", entropy_bits(counts)).withColumn("ai_fraction", F.col("n_ai") / F.col("n_predictions"))
 
 
+def _by_group(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds what there is a group; without keys the whole table is one, and its one row is broadcast."""
+    return df.join(groups, keys) if keys else df.crossJoin(F.broadcast(groups))
+
+
 def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], method: str = "round") -> DataFrame:
     """Order statistics at index round_half_even(q (n - 1)), floor(n q) capped, or the lower or upper neighbour of q (n - 1), of a group: exact, without interpolation.
 
@@ -53,12 +58,12 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, qs: dict[str, float
         place = F.lit(q) * (F.col("n") - 1)
         at = {"round": F.bround(place), "floor": F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1), "lower": F.floor(place), "upper": F.ceil(place)}[method]
         one = bounds.select(*keys, at.alias("__at"), F.when(small, F.col("__min")).otherwise(F.col("__e")[2 * i]).alias("__lo"), F.when(small, F.col("__max")).otherwise(F.col("__e")[2 * i + 1]).alias("__hi"))
-        near = rows.join(one, keys).where("__v <= __hi")
+        near = _by_group(rows, one, keys).where("__v <= __hi")
         # what lies below the bracket counts as one value of it
         counts = near.groupBy(*keys, "__at", F.greatest("__v", "__lo").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
         upto = F.sum("__c").over(W.partitionBy(*keys).orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
         hit = counts.withColumn("__upto", upto).where(F.col("__upto") > F.col("__at")).groupBy(*keys).agg(F.min("__v").alias(name))
-        out = out.join(hit, keys)
+        out = _by_group(out, hit, keys)
     return out
 
 
@@ -66,7 +71,7 @@ def linear_percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str,
     """Percentiles by linear interpolation between the two ranks around q (n - 1): exact, and no group's values meet in one buffer."""
     rows = df.where(F.col(value).isNotNull())
     low, high = (nearest_rank(rows, keys, value, {f"__{m}_{name}": q for name, q in qs.items()}, m) for m in ("lower", "upper"))
-    both = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).join(low, keys).join(high, keys)
+    both = _by_group(_by_group(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), low, keys), high, keys)
     part = lambda q: F.lit(q) * (F.col("__n") - 1) - F.floor(F.lit(q) * (F.col("__n") - 1))
     mixed = lambda name, q: (1 - part(q)) * F.col(f"__lower_{name}") + part(q) * F.col(f"__upper_{name}")
     return both.select(*keys, *[mixed(name, q).alias(name) for name, q in qs.items()])

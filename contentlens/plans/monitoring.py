@@ -117,7 +117,7 @@ def reference_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
         r6(F.min("p")).alias("p_min"), r6(F.max("p")).alias("p_max"), r6(F.avg("p")).alias("p_mean"), r6(F.stddev_pop("p")).alias("p_std"),
         F.count(F.lit(1)).alias("n"),
     )
-    median = m.linear_percentiles(p.select(F.lit(1).alias("all"), "p"), ["all"], "p", {"p_median": 0.5})
+    median = m.linear_percentiles(p, [], "p", {"p_median": 0.5})
     stats = stats.crossJoin(F.broadcast(median.select(r6("p_median").alias("p_median"))))  # broadcast: one row
     counts = m.bucket_counts(p, [], "p", EDGES).where("count > 0")
     both = counts.crossJoin(F.broadcast(stats))  # broadcast: one row
