@@ -25,38 +25,52 @@ CRITERIA = {"shuffle": 0.75, "synonym": 0.80, "zwsp": 0.85, "homoglyph": 0.80}
 BLANK, TIMES, MODULUS = "\u200b", 2654435761, 1 << 32
 
 
-def _number(i: Column, many: Column) -> Column:
-    return (i.cast("long") + many) * F.lit(TIMES).cast("long") % F.lit(MODULUS).cast("long")
-
-
 def _share(many: Column, per_cent: int) -> Column:
     return F.floor(many * per_cent / 100).cast("int")
 
 
-def _drawn(parts: Column) -> Column:
-    """Places of the parts in the order in which they are drawn: the number above the lowest 31 bits, the place in them."""
-    many = F.size(parts)
-    return F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), lambda i: F.shiftleft(_number(i, many), 31).bitwiseOR(i.cast("long"))))
+#: The lowest bits of a place or turn that are packed in a long, and how many more places than asked for are held to be under a bound of the draw.
+_LOW, _SLACK = (1 << 31) - 1, 16
+
+
+def _drawn(many: Column, n: Column) -> Column:
+    """The first n of so many places that are drawn, ascending: the place above the lowest 31 bits, its turn in them.
+
+    A place's number is its own and that of all places times a constant, so that numbers are even: those under a
+    bound are hardly more than n, and only they are sorted.  If a bound should have fewer than n, all are.
+    """
+    number = lambda j: (j * F.lit(TIMES).cast("long")).bitwiseAND(F.lit(MODULUS - 1).cast("long"))
+    every = F.sequence(many.cast("long"), F.greatest(2 * many.cast("long") - 1, many.cast("long")))
+    bound = ((n + _SLACK) / F.greatest(many, F.lit(1)) * MODULUS).cast("long")
+    low = F.lit(_LOW).cast("long")
+    some = let(bound, lambda most: let(F.filter(every, lambda j: number(j) <= most), lambda c: F.when(F.size(c) >= n, c).otherwise(every)))
+    drawn = F.slice(F.sort_array(F.transform(some, lambda j: F.shiftleft(number(j), 31).bitwiseOR(j - many))), F.lit(1), n)
+    return F.sort_array(F.transform(drawn, lambda x, turn: F.shiftleft(x.bitwiseAND(low), 31).bitwiseOR(turn.cast("long"))))
+
 
+def _segments(parts: Column, most: Column, changes: dict, glue: str) -> Column:
+    """How many parts there are, what lies before the first of the ``most`` places that are drawn first, and what goes on from each of these: its turn, the text as it is, and with its first part changed in each way."""
+    place = lambda x: F.shiftright(x, 31).cast("int")
+    turn = lambda x: x.bitwiseAND(F.lit(_LOW).cast("long")).cast("int")
 
-def _places(parts: Column, drawn: Column, n) -> Column:
-    """The first n(how many parts there are) places that are drawn, ascending."""
-    many = F.size(parts)
-    first = F.slice(drawn, F.lit(1), F.coalesce(F.greatest(F.least(n(many), many), F.lit(0)), F.lit(0)).cast("int"))
-    return F.sort_array(F.transform(first, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
+    def of(p: Column, many: Column, at: Column) -> Column:
+        def segment(x: Column, j: Column) -> Column:
+            rest = F.coalesce(place(F.get(at, j + 1)), many) - place(x) - 1
+            tail = F.when(rest > 0, F.concat(F.lit(glue), F.array_join(F.slice(p, place(x) + 2, rest), glue))).otherwise("")
+            both = lambda s: F.struct(turn(x).alias("turn"), F.concat(s["head"], s["tail"]).alias("plain"), *[F.concat(f(s["head"]), s["tail"]).alias(k) for k, f in changes.items()])
+            return let(F.struct(F.get(p, place(x)).alias("head"), tail.alias("tail")), both)
 
+        before = F.coalesce(place(F.get(at, F.lit(0))), many)
+        lead = F.when(before > 0, F.array(F.array_join(F.slice(p, F.lit(1), before), glue))).otherwise(F.array().cast("array<string>"))
+        return F.struct(many.alias("many"), lead.alias("lead"), F.transform(at, segment).alias("segments"))
 
-def _changed(parts: Column, places: Column, change, glue: str) -> Column:
-    """The parts, with change() of those at the places, joined again.  What lies between two places is taken as one slice."""
-    before = lambda j: F.coalesce(F.get(places, j - 1), F.lit(-1))
-    piece = lambda p, j: F.array_join(F.concat(F.slice(parts, before(j) + 2, p - before(j) - 1), F.array(change(F.get(parts, p)))), glue)
-    end = before(F.size(places))
-    rest = F.when(end + 1 < F.size(parts), F.array(F.array_join(F.slice(parts, end + 2, F.size(parts)), glue))).otherwise(F.array().cast("array<string>"))
-    return F.when(parts.isNotNull(), F.array_join(F.concat(F.transform(places, piece), rest), glue))
+    whole = lambda p: let(F.size(p), lambda many: let(_drawn(many, F.greatest(F.least(most(many), many), F.lit(0))), lambda at: of(p, many, at)))
+    return let(parts, lambda p: F.when(p.isNotNull(), whole(p)))
 
 
-def _spoiled(parts: Column, n, change, glue: str) -> Column:
-    return let(parts, lambda p: let(_places(p, _drawn(p), n), lambda at: _changed(p, at, change, glue)))
+def _changed(cut: Column, n, kind: str, glue: str) -> Column:
+    """The text of such segments, with those changed whose turn is under n(how many parts there are)."""
+    return let(n(cut["many"]), lambda most: F.array_join(F.concat(cut["lead"], F.transform(cut["segments"], lambda s: F.when(s["turn"] < most, s[kind]).otherwise(s["plain"]))), glue))
 
 
 def _words(text: Column) -> Column:
@@ -95,7 +109,8 @@ HOW = {
 
 def _attack(kind: str, text: Column, amount: int) -> Column:
     parts, n, change, glue = HOW[kind]
-    return _spoiled(parts(text), lambda many: n(many, amount), change, glue)
+    amounts = lambda many: n(many, amount)
+    return let(_segments(parts(text), amounts, {kind: change}, glue), lambda cut: _changed(cut, amounts, kind, glue))
 
 
 def shuffle_sentences(text: Column, sentences: int) -> Column:
@@ -121,16 +136,18 @@ def swap_glyphs(text: Column, per_cent: int) -> Column:
 def attacked(df: DataFrame, text: str = "text") -> DataFrame:
     """Each row with its text under each attack at each strength: attack, strength and the text take the place of the text.
 
-    Texts are cut and places drawn once for all strengths, in columns of their own; names with two underscores in front are not for df.
+    Texts are cut and places drawn once for all attacks on parts of a kind, in columns of their own; names with two underscores in front are not for df.
     """
-    cuts = {cut: f"__{cut.__name__}" for cut, *_ in HOW.values()}
     rest = [c for c in df.columns if c != text]
-    cut = df.select(*rest, *[f(F.col(text)).alias(name) for f, name in cuts.items()])
-    cut = cut.withColumns({f"{name}_drawn": _drawn(F.col(name)) for name in cuts.values()})
     each = [(k, s, v) for k, by in STRENGTHS.items() for s, v in by.items()]
-    at = lambda f, n, v: _places(F.col(cuts[f]), F.col(f"{cuts[f]}_drawn"), lambda many: n(many, v))
-    cut = cut.select(*rest, *cuts.values(), *[at(HOW[k][0], HOW[k][1], v).alias(f"__{k}_{s}") for k, s, v in each])
-    some = [F.struct(F.lit(k).alias("attack"), F.lit(s).alias("strength"), _changed(F.col(cuts[HOW[k][0]]), F.col(f"__{k}_{s}"), *HOW[k][2:]).alias(text)) for k, s, _ in each]
+    amount = lambda k, v: lambda many: HOW[k][1](many, v)
+    cuts = {}  # the attacks on parts of a kind, which have one glue
+    for k, (cut, _, _, glue) in HOW.items():
+        cuts.setdefault((cut, glue), []).append(k)
+    name = lambda cut: f"__{cut.__name__}"
+    most = lambda kinds: lambda many: F.greatest(F.lit(0), *[amount(k, v)(many) for k, _, v in each if k in kinds])
+    cut = df.select(*rest, *[_segments(f(F.col(text)), most(kinds), {k: HOW[k][2] for k in kinds}, glue).alias(name(f)) for (f, glue), kinds in cuts.items()])
+    some = [F.struct(F.lit(k).alias("attack"), F.lit(s).alias("strength"), _changed(F.col(name(HOW[k][0])), amount(k, v), k, HOW[k][3]).alias(text)) for k, s, v in each]
     return cut.select(*rest, F.explode(F.array(*some)).alias("__a")).select(*rest, "__a.*")
 
 
